@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: The public pre-token patterns of the two vocabularies.
@@ -25,6 +27,11 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = regex.compile(r"\s")
 BIG = 1 << 62
+#: A word of letters and the marks after it: two pieces in either pattern.
+TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)*)")
+#: No id, in a row of merge_batch; no rule has it.
+NONE = (1 << 20) - 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenizer_path(name: str) -> str:
@@ -98,7 +105,7 @@ class Utf8Machine:
 class Bpe:
     """The model of one tokenizer file: merges, special strings, pre-token pattern."""
 
-    def __init__(self, path: str, cache: int = 200_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -130,9 +137,13 @@ class Bpe:
         self.pattern = regex.compile(WORD_PATTERN if self.suffix else BYTE_PATTERN)
         self.splitter = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.size = cache
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.packed: dict[str, bytes] = {}
+        #: Packed ids by a part between spaces, the space before it included in byte-level models.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
+        self.code = "H" if max(self.bytes_of) < 65536 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
+        self.marks = {m: self._pack(self.piece(m)) for m in ",." if m in self.vocab}
 
     # -- merging ---------------------------------------------------------------------------------
 
@@ -141,18 +152,18 @@ class Bpe:
         if len(ids) > 48:
             return self._merge_long(ids)
         get = self.merges.get
-        while len(ids) > 1:
-            best, at = BIG, -1
-            before = ids[0]
-            for k in range(1, len(ids)):
-                now = ids[k]
-                found = get(before << 20 | now, BIG)
-                if found < best:
-                    best, at = found, k
-                before = now
-            if at < 0:
+        ranks = [get(u << 20 | w, BIG) for u, w in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == BIG:
                 break
-            ids[at - 1 : at + 1] = (best & 0xFFFFF,)
+            at = ranks.index(best)
+            ids[at] = best & 0xFFFFF
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | ids[at], BIG)
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 20 | ids[at + 1], BIG)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -199,7 +210,7 @@ class Bpe:
     def piece(self, pre_token: str) -> list[int]:
         data = pre_token.encode()
         if len(data) <= self.window:
-            ids = [self.first[b] for b in data]
+            ids = list(map(self.first.__getitem__, data))
             ids[-1] = self.last[data[-1]]
             return self.merge(ids)
         return list(self.pieces([data]))
@@ -207,12 +218,14 @@ class Bpe:
     # -- texts -----------------------------------------------------------------------------------
 
     def normal(self, text: str) -> str:
-        """Lower case, composed, white space runs as one space; for files that ask for it."""
+        """Lower case and composed, for files that ask for it; white space stays, as no piece holds any."""
         if not self.lower:
             return text
         import unicodedata
 
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
         # the library lower-cases character by character, without the rule for a final sigma
         return text.lower() if "Σ" not in text and "İ" not in text else "".join(c.lower() for c in text)
 
@@ -235,16 +248,126 @@ class Bpe:
                 out += self.piece(x)
         return tuple(out)
 
-    def _remember(self, key: str) -> tuple[int, ...]:
-        found = self.old.get(key)
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _remember(self, part: str) -> bytes | None:
+        """Ids of a part that stands between two spaces; None if it can't be encoded by itself."""
+        found = self.old.get(part)
         if found is None:
-            found = self._ids(key)
-        if len(key) <= 64:
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = found
+            if not part or part[0].isspace() or part[-1].isspace():
+                return None
+            if part[-1] in self.marks and part[:-1].isalpha():
+                found = (self.young.get(part[:-1]) or self._remember(part[:-1])) + self.marks[part[-1]]
+            else:
+                found = self._pack(self._ids(part if self.suffix else " " + part))
+        if len(part) <= 64:
+            self._keep(part, found)
         return found
 
+    def _keep(self, part: str, found: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[part] = found
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Merge all new words of a few hundred texts at once."""
+        old, young, tails = self.old.get, self.young, {}
+        words, found = [], {}
+        for p in missing:
+            if (x := old(p)) is not None:
+                found[p] = x
+            elif len(p) < 40 and (m := TAIL.fullmatch(p)) and m[1].isalpha():
+                core, tail = m.groups()
+                if tail:
+                    tails[p] = core, tail
+                if core not in young and old(core) is None:
+                    words.append(core)
+        words = list(dict.fromkeys(words))
+        lead = b"" if self.suffix else b" "
+        made = dict(zip(words, self.merge_batch([lead + w.encode() for w in words]), strict=True))
+        ends = {t: self._pack(self.piece(t)) for t in {t for _, t in tails.values()}}
+        for p, (core, tail) in tails.items():
+            found[p] = (made.get(core) or young.get(core) or old(core)) + ends[tail]
+        return found | made
+
+    # -- many words at once ------------------------------------------------------------------------
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Open-addressed table of the rules: key u << 20 | w, value rank << 20 | new."""
+        bits = max(4, (4 * len(self.merges)).bit_length())
+        keys, values = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, BIG, np.int64)
+        self.shift, self.reach = np.uint64(64 - bits), 1
+        slot = (np.fromiter(self.merges, np.int64).view(np.uint64) * MIX >> self.shift).astype(np.int64)
+        for at, (k, v) in zip(slot.tolist(), self.merges.items(), strict=True):
+            n = 1
+            while keys[at] >= 0:
+                at += 1
+                n += 1
+            keys[at], values[at] = k, v
+            self.reach = max(self.reach, n)
+        return keys, values
+
+    def _ranks(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = self._table()
+        keys, values = self.table
+        key = u << 20 | w
+        at = (key.view(np.uint64) * MIX >> self.shift).view(np.int64)
+        out = np.where(keys[at] == key, values[at], BIG)
+        open_ = np.flatnonzero((keys[at] != key) & (keys[at] >= 0))
+        for k in range(1, self.reach):
+            if not len(open_):
+                break
+            now, want = at[open_] + k, key[open_]
+            hit = keys[now] == want
+            out[open_[hit]] = values[now[hit]]
+            open_ = open_[~hit & (keys[now] >= 0)]
+        return out
+
+    def merge_batch(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many short pre-tokens: in each step every word applies its best rule."""
+        if not words:
+            return []
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = np.array(self.first, np.int64)[raw]
+        rows = np.arange(len(words))
+        ids[rows, size - 1] = np.array(self.last, np.int64)[raw[rows, size - 1]]
+        ids[np.arange(width) >= size[:, None]] = NONE
+        rank = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, width - 1) if width > 1 else np.empty((len(words), 0), np.int64)
+        out: list[bytes] = [b""] * len(words)
+        kind, step = self.kind, int(self.kind[-1])
+        while True:
+            at = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+            here = np.arange(len(rows))
+            best = rank[here, at] if rank.shape[1] else np.full(len(rows), BIG)
+            done = best == BIG
+            if done.any():
+                own = ids[done]
+                blob, stride, n = own.astype(kind).tobytes(), own.shape[1] * step, ((own != NONE).sum(1) * step).tolist()
+                for k, r in enumerate(rows[done].tolist()):
+                    out[r] = blob[k * stride : k * stride + n[k]]
+                ids, rank, rows, at, best = (x[~done] for x in (ids, rank, rows, at, best))
+                here = np.arange(len(rows))
+            if not len(rows):
+                return out
+            ids[here, at] = best & 0xFFFFF
+            keep = np.ones(ids.shape, bool)
+            keep[here, at + 1] = False
+            ids = ids[keep].reshape(len(rows), -1)
+            keep = np.ones(rank.shape, bool)
+            keep[here, at] = False
+            rank = rank[keep].reshape(len(rows), -1)
+            if rank.shape[1]:
+                k = np.flatnonzero(at > 0)
+                rank[k, at[k] - 1] = self._ranks(ids[k, at[k] - 1], ids[k, at[k]])
+                k = np.flatnonzero(at < rank.shape[1])
+                rank[k, at[k]] = self._ranks(ids[k, at[k]], ids[k, at[k] + 1])
+
+    # -- texts, continued --------------------------------------------------------------------------
+
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that can be encoded by themselves.
 
@@ -266,37 +389,48 @@ class Bpe:
             whole = bool(p) and not p[-1].isspace()
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        get, remember = self.young.get, self._remember
-        for key in self.chunks(text or ""):
-            found = get(key)
-            if found is None:
-                found = remember(key)
-                get = self.young.get
-            out += found
-        return out
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian numbers, of 16 bits if the vocabulary allows it."""
+        out: list = []
+        missing: set[str] = set()
+        get = self.young.get
+        for text in texts:
+            text = text or ""
+            if self.suffix and ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+                out.append(self._pack(self._ids(text)))
+                continue
+            parts = self.normal(text).split() if self.suffix else text.split(" ")
+            found = list(map(get, parts))
+            if None in found:
+                gaps = [k for k, x in enumerate(found) if x is None]
+                missing.update([parts[k] for k in gaps])
+                out.append((text, parts, found, gaps))
+            else:
+                out.append((text, parts, found, ()))
+        new = self._learn(missing)
+        for p, x in new.items():
+            self._keep(p, x)
+        return [x if isinstance(x, bytes) else self._whole(*x, new) for x in out]
+
+    def _whole(self, text: str, parts: list[str], found: list, gaps: list[int], new: dict[str, bytes]) -> bytes:
+        if not self.suffix:
+            # the first part has no space before it
+            found[0] = self._pack(self._ids(parts[0]))
+            if not parts[0] or parts[0][-1].isspace():
+                return b"".join(self._pack(self._ids(key)) for key in self.chunks(text))
+        for k in gaps:
+            if k or self.suffix:
+                x = new.get(parts[k])
+                if x is None and (x := self.young.get(parts[k])) is None and (x := self._remember(parts[k])) is None:
+                    return b"".join(self._pack(self._ids(key)) for key in self.chunks(text))
+                found[k] = x
+        return b"".join(found)
 
     def encode_packed(self, text: str | None) -> bytes:
-        """Ids as little-endian 16-bit numbers (for vocabularies of up to 65,536 ids)."""
-        keys = self.chunks(text or "")
-        packed = self.packed
-        try:
-            return b"".join([packed[k] for k in keys])
-        except KeyError:
-            pass
-        out = []
-        for k in keys:
-            found = packed.get(k)
-            if found is None:
-                ids = self._ids(k)
-                found = struct.pack(f"<{len(ids)}H", *ids)
-                if len(k) <= 64:
-                    if len(packed) >= 2 * self.size:
-                        packed.clear()
-                    packed[k] = found
-            out.append(found)
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), self.kind).tolist()
 
     def encode_stream(self, texts: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in blocks, given out once stable.
@@ -311,7 +445,7 @@ class Bpe:
             done = self.chunks(held)
             if len(done) > 1:
                 for key in done[:-1]:
-                    yield from self._remember(key)
+                    yield from self._ids(key)
                 held = done[-1] if not self.suffix else held[held.rindex(done[-1]) :]
             if len(held) > 4 * self.window and "<|" not in held[-longest:]:
                 # no cut: everything up to the last pre-token but two is stable

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ def round_trip_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") ->
         for batch in batches:
             for part in slices(batch):
                 count, by_id, by_text = [], [], []
-                for t in part.column(1):
-                    ids = bpe.encode(t.as_py())
+                for packed in bpe.encode_many(part.column(1).to_pylist()):
+                    ids = np.frombuffer(packed, bpe.kind).tolist()
                     count.append(len(ids))
                     by_id.append(sha(",".join(map(name, ids)).encode()).hexdigest())
                     by_text.append(sha(bpe.decode(ids).encode()).hexdigest())

@@ -39,7 +39,7 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             for part in slices(batch):
-                ids = [bpe.encode_packed(t.as_py()) + end for t in part.column(1)]
+                ids = [x + end for x in bpe.encode_many(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"))
