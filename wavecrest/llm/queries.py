@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from wavecrest.llm.embedding_dedup import op6_rp_forest_dedup
 from wavecrest.llm.encode import op2_bpe_roundtrip
+from wavecrest.llm.jaccard import op3_jaccard_join
 from wavecrest.llm.packing import op4_bm25_packing
 from wavecrest.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_bm25_packing": op4_bm25_packing,
+    "op6_rp_forest_dedup": op6_rp_forest_dedup,
     "op7_token_counts": op7_token_counts,
 }
 
