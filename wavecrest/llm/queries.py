@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from wavecrest.llm.embedding_dedup import op6_rp_forest_dedup
 from wavecrest.llm.encode import op2_bpe_roundtrip
+from wavecrest.llm.html_text import op10_html_text
 from wavecrest.llm.jaccard import op3_jaccard_join
 from wavecrest.llm.packing import op4_bm25_packing
+from wavecrest.llm.pii import op8_pii_tagger
+from wavecrest.llm.quality_rules import op1_quality_rules
+from wavecrest.llm.site_quality import op9_site_quality
 from wavecrest.llm.token_counts import op7_token_counts
+from wavecrest.llm.toxicity import op5_toxicity_chain
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_bm25_packing": op4_bm25_packing,
+    "op5_toxicity_chain": op5_toxicity_chain,
     "op6_rp_forest_dedup": op6_rp_forest_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_pii_tagger": op8_pii_tagger,
+    "op9_site_quality": op9_site_quality,
+    "op10_html_text": op10_html_text,
 }
 
+#: Learned models, tokenizers, markup and connected components have no SQL form; tests/llm hold them
+#: against brute force.
 ORACLES: dict[str, str] = {}
