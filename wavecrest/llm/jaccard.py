@@ -8,6 +8,9 @@ single shingles (k = 1) and meets others in inverted lists; light sets near the
 lists too, so that no pair is lost between the kinds.  The boundary is where the postings of subsets
 would cost more than the list entries they save.
 
+Of two sets the smaller one needs only the shorter prefix of n - c' + 1 shingles, c' being the overlap
+with a partner of its own size or more: entries beyond it meet only smaller partners.
+
 A list whose members are alike (copies with few edits) isn't paired out.  Members are compared with
 about k pivots of the list, linked ones fall into one component, and only members of different
 components are compared further: with four times as many pivots while many pairs are open, then all
@@ -19,6 +22,7 @@ Other columns are ignored.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,6 +37,8 @@ from wavecrest.llm.graph import components
 
 #: Up to so many ids (8 bytes each) are broadcast for a filter; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Sets of candidates are broadcast up to so many bytes, and joined beyond.
+BROADCAST_BYTES = 24 << 20
 SLICE = 1 << 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, Dat
                     f2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 k = len(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "f1", "f2", "slice", "counts"])
-        parts = [total[a : a + SLICE].tobytes() for a in range(0, len(total), SLICE)]
+        parts = [zlib.compress(total[a : a + SLICE].tobytes(), 1) for a in range(0, len(total), SLICE)]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "slice", "counts"])
 
@@ -97,14 +103,15 @@ def sketch(parts: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now = np.frombuffer(c.as_py(), np.uint32)
+                now = np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
                 total[s] = total[s] + now if s in total else now.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "counts"])
 
     # summed within each reading task first, then by slice
     out = np.zeros(1 << bits, np.uint32)
     for r in parts.mapInArrow(add, "slice int, counts binary").repartition(8, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        out[r.slice * SLICE : r.slice * SLICE + len(r.counts) // 4] = np.frombuffer(r.counts, np.uint32)
+        own = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+        out[r.slice * SLICE : r.slice * SLICE + len(own)] = own
     return out
 
 
@@ -136,10 +143,11 @@ def postings(docs: DataFrame, words: int, counts: np.ndarray, edge: int, num: in
         low = edge * num // den
         for batch in batches:
             for part in slices(batch):
-                n, keys = [], []
+                n, keys, short = [], [], []
                 for t in part.column(1):
                     h = shingles(t.as_py(), words)
                     n.append(len(h))
+                    short.append(0)
                     if not len(h):
                         keys.append(h.view(np.int64))
                         continue
@@ -149,14 +157,15 @@ def postings(docs: DataFrame, words: int, counts: np.ndarray, edge: int, num: in
                     if 1 < len(h) <= edge:
                         i, j = np.triu_indices(len(first), 1)
                         own.append(mix(first[i] * ODD + first[j]))
+                    short[-1] = sum(map(len, own)) + len(h) - _least(len(h), 2 * num, num + den) + 1
                     if len(h) >= low:
                         own.append(first[: rest + 1])
                     keys.append(np.concatenate(own).view(np.int64) if own else h[:0].view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), lists], ["doc_id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), lists, pa.array(short, pa.int32())], ["doc_id", "n", "keys", "short"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, keys array<long>, short int")
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,42 +187,67 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and the set, for the given ids only."""
+#: Sets of up to so many shingles are compared by 16 bits of each hash first, larger ones by 32.
+SHORT = 2500
+
+
+def leading(h: np.ndarray) -> bytes:
+    """The leading bits of each hash, for an upper bound of an overlap at a fraction of the bytes."""
+    return (h >> np.uint64(48)).astype("<u2").tobytes() if len(h) <= SHORT else (h >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, whole: bool) -> DataFrame:
+    """doc_id, size and the set (whole, or its leading bits), for the given ids only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "set"])
+                sets = [shingles(t.as_py(), words) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() if whole else leading(h) for h in sets], pa.binary())], ["doc_id", "n", "set"])
 
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "doc_id long, set binary")
+    return rows.mapInArrow(run, "doc_id long, n int, set binary")
 
 
-def _verified(num: int, den: int):
+def _reaching(num: int, den: int, whole: bool):
+    """Of pairs with their sets, those that reach num / den, or may reach it by their leading bits."""
+
+    def read(data: pa.Scalar, n: int) -> np.ndarray:
+        return np.frombuffer(data.as_buffer(), "<u8" if whole else "<u2" if n <= SHORT else "<u4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                # both are sorted and distinct
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = read(x, m), read(y, n)
+                if x.dtype != y.dtype:
+                    x, y = (v if v.itemsize == 2 else v >> 16 for v in (x, y))
+                    x, y = x.astype("<u4"), y.astype("<u4")
+                # both are sorted; whole hashes are distinct, so that the count is the overlap itself
                 at = np.searchsorted(y, x)
-                o = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(den * o >= num * (len(x) + len(y) - o) and o > 0)
+                o = int((y[np.minimum(at, n - 1)] == x).sum()) if n else 0
+                keep.append(o > 0 and den * o >= num * (m + n - o))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that reach num / den, by their whole sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(sets_of(docs, ids, words))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verified(num, den), "a long, b long")
+    """Of distinct pairs (a, b), those that reach num / den by their whole sets.
+
+    The leading bits give an upper bound of the overlap; pairs that pass it are compared in full.
+    """
+    for whole in (False, True):
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = materialize(sets_of(docs, ids, words, whole))
+        left = sets.selectExpr("doc_id as a", "n as m", "set as x")
+        right = sets.selectExpr("doc_id as b", "n", "set as y")
+        if (sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0) <= BROADCAST_BYTES:
+            left, right = F.broadcast(left), F.broadcast(right)
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y")
+        pairs = materialize(both.mapInArrow(_reaching(num, den, whole), "a long, b long"))
+    return pairs
 
 
 def near_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, pivots: int = 8) -> DataFrame:
@@ -232,13 +266,18 @@ def near_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, pi
     few = copies.count() <= BROADCAST_IDS
     lists = postings(docs, words, counts, edge, num, den).where("size(keys) > 0").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = lists.select(F.explode("keys").alias("key"), "doc_id", "n").repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, doc_id long, n int").checkpoint()
-    posted = posted.join(posted.groupBy("key").agg(F.count("*").alias("m")), "key")
-    # the same documents are pivots in every list that they are in
-    posted = posted.withColumn("rank", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("m")).checkpoint()
-    fits = f"least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+    posted = lists.select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n", "short").select("key", "doc_id", "n", (F.col("pos") < F.col("short")).alias("first")).repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, doc_id long, n int, first boolean")
+    posted = materialize(posted)
+    # a document with many shared keys is central among its copies: it is a pivot more likely, and so
+    # in all its lists; rank is below k for about k members of a list
+    central = posted.groupBy("doc_id").agg(F.pow(F.count("*"), F.lit(3)).alias("w"))
+    posted = posted.join(central, "doc_id")
+    posted = posted.join(posted.groupBy("key").agg(F.count("*").alias("m"), F.sum("w").alias("total")), "key")
+    chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    posted = materialize(posted.select("key", "doc_id", "n", "first", "m", (-F.log(chance) / F.col("w") * F.col("total")).alias("rank")))
+    fits = f"least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and (x.n >= y.n and y.first or y.n >= x.n and x.first)"
     groups, links, k = None, [], 0
-    budget = 4 * posted.count() + 1_000_000
+    budget = 16 * posted.count()
     while True:
         state = posted
         if groups is not None:
@@ -246,21 +285,20 @@ def near_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, pi
         else:
             state = state.withColumn("component", F.col("doc_id"))
         # pivots of former rounds have met all members of their lists
-        open_ = state.where(F.col("m") > k)
         final = False
         if k:
-            fresh = open_.where(F.col("rank") >= k << 30)
+            fresh = state.where(F.col("rank") >= k)
             per = fresh.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"))
             left = per.agg(F.sum(F.expr("cast(s as double) * s - q")).alias("left")).first().left or 0.0
             if not left:
                 break
             final = left / 2 <= budget
         upto = k * 4 if k else pivots
-        fresh = open_.where(F.col("rank") >= k << 30)
-        chosen = fresh if final else fresh.where(F.col("rank") < upto << 30)
+        fresh = state.where(F.col("rank") >= k)
+        chosen = fresh if final else fresh.where(F.col("rank") < upto)
         pairs = fresh.alias("x").join(chosen.alias("y"), F.expr(f"x.key = y.key and x.doc_id <> y.doc_id and x.component <> y.component and {fits}"))
         pairs = pairs.selectExpr("least(x.doc_id, y.doc_id) as a", "greatest(x.doc_id, y.doc_id) as b").distinct().checkpoint()
-        links.append(verify(pairs, docs, words, num, den).checkpoint())
+        links.append(verify(pairs, docs, words, num, den))
         if final:
             break
         groups, k = components(reduce(DataFrame.union, links)), upto
