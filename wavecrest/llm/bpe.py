@@ -105,7 +105,7 @@ class Utf8Machine:
 class Bpe:
     """The model of one tokenizer file: merges, special strings, pre-token pattern."""
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 800_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -277,6 +277,8 @@ class Bpe:
         for p in missing:
             if (x := old(p)) is not None:
                 found[p] = x
+            elif len(p) < 25 and p.isalpha():
+                words.append(p)
             elif len(p) < 40 and (m := TAIL.fullmatch(p)) and m[1].isalpha():
                 core, tail = m.groups()
                 if tail:
@@ -408,8 +410,9 @@ class Bpe:
             else:
                 out.append((text, parts, found, ()))
         new = self._learn(missing)
-        for p, x in new.items():
-            self._keep(p, x)
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
         return [x if isinstance(x, bytes) else self._whole(*x, new) for x in out]
 
     def _whole(self, text: str, parts: list[str], found: list, gaps: list[int], new: dict[str, bytes]) -> bytes:

@@ -13,6 +13,7 @@ ignored.  An empty table gives no pieces.  Ties in score: the row that came firs
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -36,11 +37,13 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
+        gc.disable()  # the caches are large and hold no cycles
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             for part in slices(batch):
                 ids = [x + end for x in bpe.encode_many(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        gc.enable()
 
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"))
 
@@ -51,23 +54,31 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+            for part in slices(batch):
+                terms, _, _ = distinct_terms([np.frombuffer(x.as_buffer(), "<u2") for x in part.column(0)])
+                total += np.bincount(terms, minlength=1 << 16)
         terms = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(total[terms])], ["term", "n"])
 
     return tokens.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
+def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document by document the distinct terms, the documents' numbers, and the terms' counts there."""
+    owner = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(d) for d in docs])
+    both = np.sort(owner << np.uint32(16) | np.concatenate(docs)) if len(docs) <= 1 << 16 else np.sort(owner.astype(np.uint64) << np.uint64(16) | np.concatenate(docs))
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    found = both[first]
+    return (found & 0xFFFF).astype(np.uint16), (found >> 16).astype(np.int32), np.diff(np.concatenate([first, [len(both)]]))
+
+
 class Shard:
     """An inverted index over the documents of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, n_query: int) -> None:
-        found = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in found])
-        terms = np.concatenate([t for t, _ in found])
-        tf = np.concatenate([n for _, n in found]).astype(np.float32)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        terms, owner, tf = distinct_terms(docs)
+        tf = tf.astype(np.float32)
+        sizes = np.bincount(owner, minlength=len(docs))
         length = np.repeat(np.array([len(d) for d in docs], np.float32), sizes)
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         order = np.argsort(terms, kind="stable")
