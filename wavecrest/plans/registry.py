@@ -1,4 +1,8 @@
 """Queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from wavecrest.plans import signal_queries, token_queries
+
+QUERIES = signal_queries.QUERIES | token_queries.QUERIES
+ORACLES = signal_queries.ORACLES | token_queries.ORACLES
