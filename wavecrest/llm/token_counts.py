@@ -23,7 +23,7 @@ from wavecrest.llm.bpe import load
 from wavecrest.llm.common import table
 
 #: A block ends at so many bytes of text, or so many texts (an index in it has 16 bits).
-BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 60_000
+BLOCK_BYTES, BLOCK_DOCS = 48 << 20, 60_000
 POSTING = np.dtype([("doc", "<u2"), ("n", "u1")])
 HEADER = np.dtype([("doc_id", "<i8"), ("bytes", "<i8"), ("null", "u1")])
 
