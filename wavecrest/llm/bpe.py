@@ -105,7 +105,7 @@ class Utf8Machine:
 class Bpe:
     """The model of one tokenizer file: merges, special strings, pre-token pattern."""
 
-    def __init__(self, path: str, cache: int = 800_000) -> None:
+    def __init__(self, path: str, cache: int = 400_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -38,7 +38,7 @@ from wavecrest.llm.graph import components
 #: Up to so many ids (8 bytes each) are broadcast for a filter; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Sets of candidates are broadcast up to so many bytes, and joined beyond.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 SLICE = 1 << 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -30,7 +30,7 @@ from wavecrest.llm.linear import fit_logistic, predict
 from wavecrest.llm.quality_rules import labelled_sample
 
 #: At most so many labelled rows are used for training, and so many words get a weight.
-MAX_LABELLED, MAX_WORDS = 8_000, 2_000
+MAX_LABELLED, MAX_WORDS = 5_000, 2_000
 #: Lengths of word beginnings that are features too, for inflected forms.
 PREFIXES = (4, 5, 6, 7)
 #: Shrinkage of the weights.
