@@ -478,3 +478,9 @@ class Bpe:
 def load(name: str) -> Bpe:
     """One model for each file and Python worker."""
     return Bpe(tokenizer_path(name))
+
+
+def release(name: str) -> None:
+    """Forget what a worker's model has cached of words; its rules stay."""
+    model = load(name)
+    model.young, model.old = {}, {}

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm.bpe import load
+from wavecrest.llm.bpe import load, release
 from wavecrest.llm.common import materialize, slices, table
 
 #: A shard ends at so many tokens.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 3_000_000
 K1, B = 1.2, 0.75
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -178,6 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = shared.value
+        release(tokenizer)  # the encoding tasks of this worker are over
         part, number = TaskContext.get().partitionId(), 0
 
         def finish(names: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
