@@ -208,3 +208,14 @@ def test_pages(spark):
     assert got[9] == "Head\nOne two" and got[10] == got[11] == ""
     a, b = [1, 2, 3, 4, 2, 5], [9, 2, 3, 5, 4, 2]
     assert len(page.shared_lines(a, b)) == 4
+
+
+def test_postings_pack():
+    rng = np.random.default_rng(5)
+    for top in (3, 300, 70_000_000):
+        codes = np.unique(rng.integers(0, 40 << 16, 3000))
+        codes = codes[(codes >> 16 != 7) & (codes >> 16 != 39)]
+        n = rng.integers(1, top, len(codes))
+        blob, ends = token_counts.packed(codes >> 16, codes & 0xFFFF, n, 40)
+        doc, times, sizes = token_counts.unpacked(np.frombuffer(blob, np.uint8), ends)
+        assert (np.repeat(np.arange(40), sizes) << 16 | doc).tolist() == codes.tolist() and times.tolist() == n.tolist()

@@ -1,7 +1,7 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
 Each task cuts its texts into pre-tokens and gathers, for a block of texts, one row per distinct
-pre-token with its postings (document in the block, frequency).  The rows meet by pre-token, so a
+pre-token with its postings (document in the block, frequency; as gaps, a byte or two each).  The rows meet by pre-token, so a
 word in a third of all texts has one row per block, not one per text; sorted partitions let a task
 merge each distinct pre-token once and attach the count to all its postings.  The rows then return
 to their block, where counts times frequencies are summed.
@@ -24,10 +24,60 @@ from wavecrest.llm.common import table
 
 #: A block ends at so many bytes of text, or so many texts (an index in it has 16 bits).
 BLOCK_BYTES, BLOCK_DOCS = 48 << 20, 60_000
-POSTING = np.dtype([("doc", "<u2"), ("n", "u1")])
 HEADER = np.dtype([("doc_id", "<i8"), ("bytes", "<i8"), ("null", "u1")])
 
 
+def packed(piece: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: int) -> tuple[bytes, np.ndarray]:
+    """Postings in order of piece and document as numbers of 7 bits a byte; the offset of each piece.
+
+    A posting is twice the gap to the document before; a frequency over one adds 2 * (n - 2) + 1.
+    """
+    first = np.concatenate([[True], piece[1:] != piece[:-1]])
+    gap = np.where(first, doc, np.diff(doc, prepend=0))
+    more = n > 1
+    at = np.arange(len(gap)) + np.cumsum(more) - more
+    values = np.empty(len(gap) + int(more.sum()), np.int64)
+    values[at] = gap << 1
+    values[at[more] + 1] = (n[more] - 2) << 1 | 1
+    size = np.ones(len(values), np.int64)
+    k = 7
+    while (longer := values >> k > 0).any():
+        size += longer
+        k += 7
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(start[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        out[start[has] + k] = values[has] >> 7 * k & 127 | np.where(size[has] > k + 1, 128, 0)
+    last = np.searchsorted(piece, np.arange(pieces), "right")
+    ends = start[np.concatenate([at, [len(values)]])[last]]
+    return out.tobytes(), np.concatenate([[0], ends]).astype(np.int32)
+
+
+def unpacked(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of packed postings that end at the bounds (0 first): documents, frequencies, postings in each row."""
+    ends = np.flatnonzero(data < 128)
+    start = np.concatenate([[0], ends[:-1] + 1])
+    head = data[start]
+    values = (head & 127).astype(np.int64)
+    open_ = np.flatnonzero(head > 127)
+    k = 1
+    while len(open_):
+        now = data[start[open_] + k]
+        values[open_] |= (now & 127).astype(np.int64) << 7 * k
+        open_ = open_[now > 127]
+        k += 1
+    post = values & 1 == 0
+    upto = np.concatenate([[0], np.cumsum(post)])
+    sizes = np.diff(upto[np.searchsorted(ends, bounds)])
+    doc = np.cumsum(values[post] >> 1)
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    doc -= np.repeat(np.concatenate([[0], doc])[before], sizes)
+    n = np.ones(len(doc), np.int64)
+    n[upto[:-1][~post] - 1] += (values[~post] >> 1) + 1
+    return doc, n, sizes
+
+
 class _Block:
     def __init__(self) -> None:
         self.docs: list[tuple[int | None, int]] = []
@@ -45,16 +95,9 @@ class _Block:
 
     def rows(self, block: int) -> pa.RecordBatch:
         codes, counts = np.unique(np.concatenate(self.codes), return_counts=True)
-        # a frequency over 255 is several postings
-        more = np.repeat(codes, -(-counts // 255))
-        n = np.full(len(more), 255, np.int64)
-        last = np.cumsum(-(-counts // 255)) - 1
-        n[last] = counts - 255 * (-(-counts // 255) - 1)
-        post = np.empty(len(more), POSTING)
-        post["doc"], post["n"] = more & 0xFFFF, n
-        ends = np.searchsorted(more >> 16, np.arange(len(self.ids)), "right") * POSTING.itemsize
+        blob, ends = packed(codes >> 16, codes & 0xFFFF, counts, len(self.ids))
         head = np.array([(d or 0, s, d is None) for d, s in self.docs], HEADER).tobytes()
-        body = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(post.tobytes())])
+        body = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(ends), pa.py_buffer(blob)])
         keys = pa.array([f"\x00{block}", *self.ids], pa.string())
         return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), block)), pa.concat_arrays([pa.array([head], pa.binary()), body])], ["pre_token", "block", "postings"])
 
@@ -128,10 +171,9 @@ def _sum(limit: int):
                 body = part.filter(pa.array(n >= 0))
                 if len(body):
                     n = n[n >= 0]
-                    size = np.diff(np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1])
-                    start = np.frombuffer(body.buffers()[1], np.int32)[body.offset]
-                    post = np.frombuffer(body.buffers()[2], POSTING, count=int(size.sum()) // POSTING.itemsize, offset=int(start))
-                    total += np.bincount(post["doc"], post["n"].astype(np.float64) * np.repeat(n, size // POSTING.itemsize), 1 << 16).astype(np.int64)
+                    ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]
+                    doc, times, sizes = unpacked(np.frombuffer(body.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0])
+                    total += np.bincount(doc, times * np.repeat(n, sizes).astype(np.float64), 1 << 16).astype(np.int64)
         if now is not None:
             yield finish(head, total)
 
