@@ -28,39 +28,51 @@ from wavecrest.llm.common import materialize, slices, table
 
 #: A shard ends at so many tokens.
 SHARD_TOKENS = 3_000_000
+TERM = np.dtype([("term", "<u2"), ("n", "<i8")])
 K1, B = 1.2, 0.75
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encode_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and its ids with the end id, 16 bits each, written to the shared folder."""
+def encode_table(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, ids, n) with the end id, 16 bits an id, and each task's document frequencies (term, n_docs).
+
+    One pass over the texts, written to the shared folder.
+    """
+    schema = "doc_id long, ids binary, n int, terms binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         gc.disable()  # the caches are large and hold no cycles
         end = end_id.to_bytes(2, "little")
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in slices(batch):
                 ids = [x + end for x in bpe.encode_many(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                terms, _, _ = distinct_terms([np.frombuffer(x, "<u2") for x in ids])
+                total += np.bincount(terms, minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n", "terms"])
         gc.enable()
+        terms = np.flatnonzero(total)
+        packed = np.rec.fromarrays([terms, total[terms]], dtype=TERM).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "ids", "n", "terms"])
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"))
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+    return rows.where("terms is null").select("doc_id", "ids", "n"), rows.where("terms is not null").select("terms")
 
 
-def term_counts(tokens: DataFrame) -> DataFrame:
-    """term, n_docs over all rows; a task sends at most one row for each vocabulary entry."""
+def term_counts(parts: DataFrame) -> DataFrame:
+    """term, n_docs over all rows; a task has at most one row for each vocabulary entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                terms, _, _ = distinct_terms([np.frombuffer(x.as_buffer(), "<u2") for x in part.column(0)])
-                total += np.bincount(terms, minlength=1 << 16)
+            for x in batch.column(0):
+                own = np.frombuffer(x.as_buffer(), TERM)
+                total[own["term"]] += own["n"]
         terms = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(total[terms])], ["term", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return parts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,16 +137,17 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             owners, score = index.neighbours(seed)
             near = np.unique(owners[rest[owners] > 0])
             near = near[np.argsort(-score[near], kind="stable")]
-            cut = -1
-            for k in near.tolist():
-                n = int(rest[k])
-                if n <= room:
-                    take(seq, k, n)
-                    room -= n
-                    if not room:
-                        break
-                elif cut < 0:
-                    cut = k
+            size, cut, j = rest[near], -1, 0
+            while room:
+                fits = size[j:] <= room
+                step = int(fits.argmax()) if len(fits) else 0
+                if cut < 0 and len(fits) and not fits[0]:
+                    cut = int(near[j])
+                if not len(fits) or not fits[step]:
+                    break
+                take(seq, int(near[j + step]), int(size[j + step]))
+                room -= int(size[j + step])
+                j += step + 1
             if room and cut >= 0:
                 take(seq, cut, room)
                 room = 0
@@ -166,13 +179,13 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, n_query: int = 8, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids."""
-    tokens = encode_table(docs, tokenizer, end_id)
+    tokens, parts = encode_table(docs, tokenizer, end_id)
     spark = docs.sparkSession
     # one number for each entry of the vocabulary: at most 65,536 rows
     frequency = np.zeros(1 << 16)
-    for r in term_counts(tokens).collect():
+    for r in term_counts(parts).collect():
         frequency[r.term] = r.n_docs
-    n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")) / 2, F.lit(0.0))).first()
+    n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, max(1.0, total / max(1, n_docs))))
 
@@ -214,7 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
         arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.list_(pa.int64())) for c in cols[7:]]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(cols)])
 
-    return tokens.mapInArrow(run, COLUMNS + (", ids array<long>" if with_ids else ""))
+    return tokens.select("doc_id", "ids").mapInArrow(run, COLUMNS + (", ids array<long>" if with_ids else ""))
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
