@@ -169,6 +169,32 @@ def test_learned_filters(spark, sf_dir):
     assert toxicity.drop_toxic(frame(spark, ODD), labels).columns == frame(spark, ODD).columns
 
 
+def test_toxic_recall_of_small_samples(spark):
+    from tests.conftest import SMALL
+
+    insults = set("idiot moron loser scum trash clown worthless pathetic stupid disgusting".split())
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = {r.doc_id: r.rejected for r in toxicity.judge(docs, labels).collect()}
+    found = {i: len(insults & toxicity.words_of(t)) for i, t in texts.items()}
+    bad = [i for i, n in found.items() if n > 1]
+    assert len(bad) == 8 and sum(out[i] for i in bad) >= 6
+    assert not any(out[i] for i, n in found.items() if not n)
+
+
+@pytest.mark.parametrize("templates", [1, 2, 3])
+def test_toxic_recall_of_few_templates(templates):
+    rnd = random.Random(11)
+    text = lambda n=40: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    toxic = [f"{text()} you vile {text()} wretch" for _ in range(templates)]
+    sample = [text() for _ in range(400)] + [t for t in toxic for _ in range(30)]
+    y = np.array([k >= 400 for k in range(len(sample))])
+    chain = toxicity.fit_chain(sample, np.stack([y, y, y & False], 1))
+    p = lambda t: chain.probabilities([[chain.words[w] for w in sorted(toxicity.words_of(t, set(chain.words)))]])[0, 0]
+    assert all(p(f"{t} {text(3)}") >= 0.5 for t in toxic)
+    assert sum(p(text()) >= 0.5 for _ in range(200)) <= 2
+
+
 def test_pii(spark):
     rnd = random.Random(9)
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

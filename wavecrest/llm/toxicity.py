@@ -6,8 +6,8 @@ later model sees them as good as they will be on new text.  The categories, from
 toxic prose (of quality 1); toxic junk (of quality 0).  A text is rejected if the chain gives the
 first category at least the threshold.
 
-Words get a model weight only if they are significantly more frequent on one side, counted once per
-group of near copies in the sample.  Null and empty texts: no words, never rejected by words.
+Words get a model weight only if they are more frequent on one side beyond chance, counted once per
+group of near copies in the sample, at a level controlled for the number of words tested.  Null and empty texts: no words, never rejected by words.
 Repeated rows are judged each.  Rows without a label take no part in training; without both labels
 nothing is rejected.  Other columns are kept.  Empty tables give no rows.
 """
@@ -88,13 +88,18 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.array(sorted(xxhash.xxh3_64_intdigest(w) for w in words_of(text)), np.uint64)
 
 
-def _select(hashes: list[np.ndarray], y: np.ndarray, group: np.ndarray, level: float = 1e-11) -> np.ndarray:
-    """Words (as hashes) on one side against all chance: the tail of a binomial, by Chernoff's bound.
+def _select(hashes: list[np.ndarray], y: np.ndarray, group: np.ndarray, rate: float = 0.05) -> np.ndarray:
+    """Words (as hashes) on one side beyond chance: the tail of a binomial, by Chernoff's bound.
 
-    Groups of near copies count once for each class.
+    Groups of near copies count once for each class.  The level is that of Benjamini and Hochberg: about
+    this rate of the chosen words may be there by chance.  Words too rare to reach a level at all don't
+    count as tested at it (Tarone), so the level follows the size of the sample.  If no word reaches it
+    (labels that are copies of one text or two), those of most evidence are taken, and shrinkage has to do.
     """
     _, first = np.unique(np.stack([group, y.astype(np.int64)]), axis=1, return_index=True)
     words, n = np.unique(np.concatenate([hashes[k] for k in first]), return_counts=True)
+    if not len(words):
+        return words
     pos = np.zeros(len(words), np.int64)
     for k in first[y[first]]:
         pos[np.searchsorted(words, hashes[k])] += 1
@@ -102,8 +107,13 @@ def _select(hashes: list[np.ndarray], y: np.ndarray, group: np.ndarray, level: f
     q = pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         bits = n * (np.where(q > 0, q * np.log(q / share), 0.0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0))
-    found = np.flatnonzero(-bits <= np.log(level))
-    return words[found[np.argsort(-bits[found], kind="stable")[:MAX_WORDS]]]
+    order = np.argsort(-bits, kind="stable")
+    bits = bits[order]
+    most = np.sort(-n * np.log(min(share, 1 - share)))
+    tested = len(n) - np.searchsorted(most, bits - 1e-9)
+    passed = np.flatnonzero(np.log(tested) - bits <= np.log(rate * np.arange(1, len(n) + 1)))
+    last = passed[-1] + 1 if len(passed) else np.count_nonzero(bits >= bits[0] - 1e-9)
+    return words[order[: min(last, MAX_WORDS)]]
 
 
 def fit_chain(texts: list[str | None], targets: np.ndarray, folds: int = 4) -> Chain | None:
