@@ -80,6 +80,31 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_scores_all_terms(spark):
+    words = sorted(t[:-4] for t in library("word_bpe_49k.json").get_vocab() if re.fullmatch("[a-z]{5,7}</w>", t))[:400]
+    rare, middle, other = words[:8], words[8:58], words[58:]
+    rows = [(0, [*rare, *middle]), (1, rare * 5), (2, [*middle, *other[:2]])]
+    rows += [(k, [*middle[k % 50 :: 25], *other[k : k + 20]]) for k in range(3, 103)]
+    docs = frame(spark, [(k, " ".join(x)) for k, x in rows]).coalesce(1)
+    pieces = sorted((r.sequence_id, r.offset, r.doc_id) for r in packing.pack_documents(docs, window=256).collect())
+    seq = next(s for s, at, k in pieces if k == 0)
+    assert [k for s, _, k in pieces if s == seq][:2] == [0, 2]
+
+
+def test_shard_scores():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, rng.integers(1, 60)).astype("<u2") for _ in range(80)]
+    idf = rng.random(1 << 16).astype(np.float32)
+    index = packing.Shard(docs, idf, 30.0)
+    assert 0 < len(index.dense) < 300
+    for k in (0, 1, 79):
+        want = []
+        for d in docs:
+            tf = {t: np.count_nonzero(d == t) for t in set(docs[k].tolist()) & set(d.tolist())}
+            want.append(sum(float(idf[t]) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / 30)) for t, n in tf.items()))
+        assert np.allclose(index.scores(k), want, atol=1e-4)
+
+
 def brute_classes(texts):
     sets = {}
     for i, t in texts.items():

@@ -4,8 +4,8 @@ Documents are encoded once into a table of ids.  Document frequencies of all ter
 most one number for each vocabulary entry) come from the whole table.  The table is cut into shards
 of bounded size, each with its own inverted index, and no row is shuffled.  In a shard, the full
 windows of a long document are sequences of their own.  Then the largest rest is a seed: its unused
-BM25 neighbours fill the window in order of score, whole ones first; the best one left is cut to
-fill it exactly.  The last, partial window of a shard is cut into powers of two, so nothing is padded.
+BM25 neighbours, scored by all its distinct terms, fill the window in order of score, whole ones first;
+the best one left is cut to fill it exactly.  Neighbours in other shards aren't seen.  The last, partial window of a shard is cut into powers of two, so nothing is padded.
 
 Null text: empty, only the end id.  Repeated rows are packed each by itself.  Other columns are
 ignored.  An empty table gives no pieces.  Ties in score: the row that came first in the shard.
@@ -30,6 +30,8 @@ from wavecrest.llm.common import materialize, slices, table
 SHARD_TOKENS = 3_000_000
 TERM = np.dtype([("term", "<u2"), ("n", "<i8")])
 K1, B = 1.2, 0.75
+#: Terms that one document in so many has are summed as rows of a matrix, not from lists.
+DENSE = 16
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,9 +87,9 @@ def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Shard:
-    """An inverted index over the documents of one shard."""
+    """An inverted index over the documents of one shard; terms of one document in DENSE and more are rows of a matrix."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, n_query: int) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         terms, owner, tf = distinct_terms(docs)
         tf = tf.astype(np.float32)
         sizes = np.bincount(owner, minlength=len(docs))
@@ -97,19 +99,27 @@ class Shard:
         self.owner, self.weight = owner[order], weight[order]
         self.bounds = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
         self.ends = np.cumsum(sizes)
-        self.terms, self.own_weight, self.n_query, self.n = terms, weight, n_query, len(docs)
-
-    def neighbours(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that share one of the query terms (the n_query of most weight), and their scores."""
-        a, b = (self.ends[k - 1] if k else 0), self.ends[k]
-        own = self.own_weight[a:b]
-        top = np.argpartition(own, -self.n_query)[-self.n_query :] if len(own) > self.n_query else np.arange(len(own))
-        lists = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.terms[a:b][top].tolist()]
-        owners = np.concatenate([self.owner[s] for s in lists])
-        return owners, np.bincount(owners, np.concatenate([self.weight[s] for s in lists]), self.n)
-
-
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, n_query: int) -> Iterator[list[tuple[int, int, int]]]:
+        self.terms, self.n = terms, len(docs)
+        common = np.flatnonzero(np.diff(self.bounds) * DENSE >= self.n)
+        self.row = np.full(1 << 16, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for k, t in enumerate(common.tolist()):
+            at = slice(self.bounds[t], self.bounds[t + 1])
+            self.dense[k, self.owner[at]] = self.weight[at]
+
+    def scores(self, k: int) -> np.ndarray:
+        """BM25 of each document for all distinct terms of document k; 0: no term in common."""
+        own = self.terms[self.ends[k - 1] if k else 0 : self.ends[k]]
+        rows = self.row[own]
+        out = self.dense[rows[rows >= 0]].sum(axis=0)
+        lists = [slice(self.bounds[t], self.bounds[t + 1]) for t in own[rows < 0].tolist()]
+        if lists:
+            out = out + np.bincount(np.concatenate([self.owner[s] for s in lists]), np.concatenate([self.weight[s] for s in lists]), self.n)
+        return out
+
+
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences, each a list of (document in the shard, start, length)."""
     size = np.array([len(d) for d in docs])
     start = (size // window) * window
@@ -118,7 +128,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             yield [(int(k), at, window)]
     rest = size - start
     order = np.argsort(-rest, kind="stable")
-    index = Shard(docs, idf, mean, n_query)
+    index = Shard(docs, idf, mean)
     at, left = 0, int(rest.sum())
 
     def take(seq: list, k: int, n: int) -> None:
@@ -134,8 +144,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         room = window - int(rest[seed])
         take(seq, seed, int(rest[seed]))
         if room:
-            owners, score = index.neighbours(seed)
-            near = np.unique(owners[rest[owners] > 0])
+            score = index.scores(seed)
+            near = np.flatnonzero((score > 0) & (rest > 0))
             near = near[np.argsort(-score[near], kind="stable")]
             size, cut, j = rest[near], -1, 0
             while room:
@@ -177,7 +187,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             seq, room = [], power
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, n_query: int = 8, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids."""
     tokens, parts = encode_table(docs, tokenizer, end_id)
     spark = docs.sparkSession
@@ -197,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
         def finish(names: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal number
             rows = []
-            for seq in pack_shard(held, idf, mean, window, n_query):
+            for seq in pack_shard(held, idf, mean, window):
                 offset = 0
                 for k, a, n in seq:
                     ids = held[k][a : a + n].astype("<u4")
