@@ -261,6 +261,15 @@ def test_pages(spark):
     assert len(page.shared_lines(a, b)) == 4
 
 
+def test_pages_differencing_decides(spark):
+    body = "<body><div>Site name</div><article>Teaser {0}</article><div>Body {0}</div><main><div>Shared box</div><p>Main {0}</p><p>{1}</p></main></body>"
+    rows = [(k, f"http://h.org/{k}", body.format(f"{k} " * 30, "One sentence" if k < 3 else f"Sentence {k}")) for k in range(1, 6)]
+    got = {r.page_id: r.text.split("\n") for r in page.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (2, 3, 4):
+        own = " ".join([str(k)] * 30)
+        assert got[k] == [f"Teaser {own}", f"Body {own}", f"Main {own}", "One sentence" if k < 3 else f"Sentence {k}"]
+
+
 def test_postings_pack():
     rng = np.random.default_rng(5)
     for top in (3, 300, 70_000_000):

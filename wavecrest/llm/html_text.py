@@ -3,9 +3,12 @@
 Each page becomes lines (one for each block of its markup) with the zone they stand in.  Pages of a
 host are sorted by URL path; each is aligned with its neighbours by a longest common subsequence of
 lines, and lines shared with a neighbour are template and deleted.  Two neighbours that share most
-of their text are copies of one article, whose common lines tell nothing, so they are not differenced.  Lines inside an article or main element are content by declaration: an article line
-that happens to stand on another page too is kept.  Lines in elements that markup names as menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go in any case.
+of their text are copies of one article, whose common lines tell nothing, so they are not differenced.
+Markup is the check on it: a line inside an article or main element is given back if only one neighbour
+has it too, as two articles may share a sentence; one that both neighbours have is template there as
+well.  Lines outside such an element are printed as differencing leaves them.  Lines in elements that
+markup names as menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles
+go in any case.
 
 Lines that repeat in a page are told apart by their occurrence, so the alignment is a longest
 increasing subsequence, O(n log n) at any length.  Hosts above HOST_ROWS pages are cut by a hash of
@@ -64,7 +67,7 @@ def furniture(name: str, attrs: str, in_main: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """Lines of a page with zone: 2 in an article or main element, 1 elsewhere, 0 furniture."""
+    """Lines of a page with zone: 2 in an article or main element, 1 elsewhere, 0 furniture; so many neighbours delete a line."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
@@ -170,16 +173,16 @@ class _Page:
         self.hashes = [xxhash.xxh64_intdigest(t) for t in texts]
 
     def main(self, near: list[_Page]) -> str:
-        best = max(self.zones, default=0)
-        gone: set[int] = set()
+        times = [0] * len(self.texts)
         for other in near:
             shared = shared_lines(self.hashes, other.hashes)
             free = [k for k in range(len(self.texts)) if self.zones[k]]
             common = sum(len(self.texts[k]) for k in shared if self.zones[k])
             least = min(sum(len(self.texts[k]) for k in free), sum(len(t) for t, z in zip(other.texts, other.zones, strict=True) if z))
             if common <= COPY_SHARE * least:
-                gone.update(shared)
-        return "\n".join(t for k, (t, z) in enumerate(zip(self.texts, self.zones, strict=True)) if z and z == best and (z == 2 or k not in gone))
+                for k in shared:
+                    times[k] += 1
+        return "\n".join(t for t, z, n in zip(self.texts, self.zones, times, strict=True) if z and n < z)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
