@@ -102,3 +102,17 @@ def test_stream_repair(spark, tmp_path):
     q = repair_stream(stream, 1.0, 220.0).writeStream.format("memory").queryName("repaired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("repaired").collect()) == [(1, 1, 220.0), (1, 2, 50.0), (1, 3, 50.0), (2, 1, 7.0)]
+
+
+def test_whole_texts_are_aligned(spark):
+    from tests.conftest import SMALL
+    from wavecrest.plans.registry import QUERIES
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    assert min(map(len, texts.values())) > 60
+    found = {r.item_id: r.ref for r in QUERIES["indel_align"](spark, SMALL).collect()}
+    assert {k: v.replace("-", "") for k, v in found.items()} == {k: v.replace("-", "") for k, v in texts.items()}
+    for r in QUERIES["align_accuracy"](spark, SMALL).collect():
+        assert sum(op in "=XIS" for op in Q.parse_cigar(r.cigar)) == len(texts[r.item_id]) - 3
+    e = QUERIES["align_errors"](spark, SMALL).first()
+    assert e.n_match + e.n_mismatch + e.n_del == sum(map(len, texts.values())) - 3 * len(texts)

@@ -40,11 +40,14 @@ def local_alignment(query: str, ref: str, match: int = 5, mismatch: int = -4, op
     low = -(10**9)
     h, e, f = (np.zeros((n + 1, m + 1), np.int64) for _ in range(3))
     e[:], f[:] = low, low
+    a, b = np.array([ord(c) for c in query], np.int64), np.array([ord(c) for c in ref], np.int64)
+    step = min(extend, opening) * np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i, j] = max(e[i, j - 1] - extend, h[i, j - 1] - opening)
-            f[i, j] = max(f[i - 1, j] - extend, h[i - 1, j] - opening)
-            h[i, j] = max(0, h[i - 1, j - 1] + (match if query[i - 1] == ref[j - 1] else mismatch), e[i, j], f[i, j])
+        f[i, 1:] = np.maximum(f[i - 1, 1:] - extend, h[i - 1, 1:] - opening)
+        h[i, 1:] = np.maximum(0, np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch), f[i, 1:]))
+        # a gap opened after a gap is a longer gap, so the row without e has all openings
+        e[i, 1:] = np.maximum.accumulate(h[i] - opening + step)[:-1] - step[:-1]
+        h[i] = np.maximum(h[i], e[i])
     i, j = (int(x) for x in np.unravel_index(h.argmax(), h.shape))
     ops: list[str] = []
     end_q, end_r, state = i, j, "h"

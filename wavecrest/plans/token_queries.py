@@ -332,8 +332,8 @@ def fastq_format(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("ref"))
-    return b.select("item_id", "ref", F.concat(F.substring("ref", 4, 20), F.lit("x"), F.substring("ref", 25, 40)).alias("query"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
+    return b.select("item_id", "ref", F.concat(F.substring("ref", 4, 20), F.lit("x"), F.substring("ref", F.lit(25), F.length("ref"))).alias("query"))
 
 
 @query("align_accuracy")
