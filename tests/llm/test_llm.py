@@ -137,11 +137,57 @@ def test_jaccard(spark):
             w[rnd.randrange(120)] = f"x{rnd.randrange(900)}"
         texts[k] = " ".join(w)
     texts |= {100 + k: " ".join(rnd.choice("ab") for _ in range(rnd.randrange(5, 15))) for k in range(120)}
-    got = jaccard.near_classes(frame(spark, texts.items()), pivots=2).collect()
+    got = jaccard.near_classes(frame(spark, texts.items())).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(texts)
     assert jaccard.near_classes(frame(spark, []).limit(0)).count() == 0
 
 
+def near_group(rnd, size, edits, first=0):
+    """Copies of one text whose pairs lie on both sides of 0.8."""
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    out = {}
+    for k in range(size):
+        w = list(base)
+        for _ in range(rnd.randrange(edits)):
+            w[rnd.randrange(100)] = f"x{rnd.randrange(10**6)}"
+        out[first + k] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 2000])
+def test_jaccard_long_lists(spark, monkeypatch, tile):
+    """A list far above LIST, many of its pairs between 0.7 and 0.8; also cut into many tiles."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rnd = random.Random(11)
+    texts = near_group(rnd, 150, 7) | near_group(rnd, 60, 2, 1000) | {5000 + k: " ".join(t.split()[:30]) for k, t in near_group(rnd, 40, 6).items()}
+    got = jaccard.near_classes(frame(spark, texts.items())).collect()
+    want = brute_classes(texts)
+    assert len({c for _, c in want.values()}) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_jaccard_light_sets(spark, monkeypatch):
+    """The boundary follows the cost; at any boundary the links are the same."""
+    assert jaccard.boundary([], 4, 5) == 1
+    assert jaccard.boundary([(5, 1.0, 9.0), (50, 900.0, 10.0)], 4, 5) == 49
+    assert jaccard.boundary([(5, 90.0, 1.0), (50, 10.0, 900.0)], 4, 5) == 51 * 5
+    rnd = random.Random(12)
+    texts = near_group(rnd, 30, 4) | {100 + k: " ".join(t.split()[: 10 + k]) for k, t in near_group(rnd, 40, 2).items()}
+    want = brute_classes(texts)
+    for edge in (1, 20, 33, 1000):
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, num, den, edge=edge: edge)
+        got = jaccard.near_classes(frame(spark, texts.items())).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want, edge
+
+
+def test_jaccard_ids(spark):
+    """An id with several texts is one node of all their classes; a null id is linked with nothing."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, b + " z"), (7, c), (None, c), (None, None)]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.near_classes(frame(spark, rows)).collect())
+    assert got == [(-1, -1), (-1, -1), (3, 3), (4, 3), (5, 3), (5, 3), (6, 3), (7, 7)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centers = rng.standard_normal((20, 32))

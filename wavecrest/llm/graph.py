@@ -12,28 +12,32 @@ from pyspark.sql import functions as F
 from wavecrest.llm.common import shared_dir
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From links: a star (member, least member) for each of their components; no connection is lost."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    u, w = at[: len(a)], at[len(a) :]
+    while True:
+        low = np.minimum(root[u], root[w])
+        now = root.copy()
+        np.minimum.at(now, root[u], low)
+        np.minimum.at(now, root[w], low)
+        now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    while (root[root] != root).any():
+        root = root[root]
+    k = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[k], nodes[root[k]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the links of each batch by a star for each of its components; no connection is lost."""
+    """Replace the links of each batch by a star for each of its components."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = np.arange(len(nodes))
-        u, w = at[: len(a)], at[len(a) :]
-        while True:
-            low = np.minimum(root[u], root[w])
-            now = root.copy()
-            np.minimum.at(now, root[u], low)
-            np.minimum.at(now, root[w], low)
-            now = now[now]
-            if (now == root).all():
-                break
-            root = now
-        while (root[root] != root).any():
-            root = root[root]
-        k = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(nodes[root[k]])], ["a", "b"])
+        if batch.num_rows:
+            a, b = stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
