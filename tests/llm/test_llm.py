@@ -260,12 +260,40 @@ def test_toxic_recall_of_few_templates(templates):
     toxic = [f"{text()} you vile {text()} wretch" for _ in range(templates)]
     sample = [text() for _ in range(400)] + [t for t in toxic for _ in range(30)]
     y = np.array([k >= 400 for k in range(len(sample))])
-    chain = toxicity.fit_chain(sample, np.stack([y, y, y & False], 1))
-    p = lambda t: chain.probabilities([[chain.words[w] for w in sorted(toxicity.words_of(t, set(chain.words)))]])[0, 0]
+    chain = toxicity.fit_chain(sample, np.stack([y, y & False, y], 1))
+    p = lambda t: chain.probabilities([[chain.words[w] for w in sorted(toxicity.words_of(t, set(chain.words)))]])[0, -1]
     assert all(p(f"{t} {text(3)}") >= 0.5 for t in toxic)
     assert sum(p(text()) >= 0.5 for _ in range(200)) <= 2
 
 
+def test_toxic_verdict_rests_on_the_chain(spark, sf_dir):
+    """Without the earlier links' probabilities other verdicts come out."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    n = len(chain.words)
+    assert [len(w) for w in chain.models] == [n + 1, n + 2, n + 3]
+    cut = toxicity.Chain(chain.words, [*(np.concatenate([np.zeros(len(w) - 1), [-40.0]]) for w in chain.models[:-1]), chain.models[-1]])
+    found = [[k] for k in range(n)] + [[a, b] for a in range(n) for b in range(a)]
+    a, b = (c.probabilities(found)[:, -1] >= 0.5 for c in (chain, cut))
+    assert 0 < (a != b).sum()
+
+
+def test_sample_order(spark):
+    """Learned rules don't depend on the order of the rows, and the sample is bounded in rows."""
+    rnd = random.Random(3)
+    rows = [(k % 300, " ".join(rnd.choice(["aa", "b", "ccc!", "D|"]) for _ in range(rnd.randrange(1, 60)))) for k in range(900)]
+    labels = spark.createDataFrame([(k, k % 2, k % 3 % 2) for k in range(300)], "doc_id long, quality int, toxic int")
+    lists = set()
+    for _ in range(3):
+        rnd.shuffle(rows)
+        lists.add(str(rules.fit_rules(frame(spark, rows).repartition(rnd.randrange(1, 6)), labels)))
+    assert len(lists) == 1
+    some = frame(spark, [(1, f"t{k}") for k in range(500)])
+    from pyspark.sql import functions as F
+
+    assert rules.sampled_rows(some.select("doc_id", "text"), labels, F.xxhash64("text")).count() == rules.ROWS_PER_ID
+
+
 def test_pii(spark):
     rnd = random.Random(9)
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -281,19 +309,89 @@ def test_pii(spark):
     assert "<EMAIL>" in red[7] and red[-1] is None and red[-6] == ODD[6][1]
 
 
-def test_tagger_held_out():
+def small_tagger():
     from wavecrest.llm.tagger import Tagger
 
     model = Tagger(dim=3, hidden=2)
-    model.p = {k: v.astype(float) for k, v in model.p.items()}
     rng = np.random.default_rng(0)
-    x, y = rng.integers(1, 90, (2, 6)), rng.integers(0, 5, (2, 6))
-    held_out = pii.examples(150, 99)
-    found = pii.tagged_spans([t for t, _ in held_out], pii.trained())
-    right = sum(s in f for (_, spans), f in zip(held_out, found, strict=True) for s in spans)
-    assert right / sum(len(s) for _, s in held_out) > 0.7
-    g = model.gradients(x, y)
-    assert set(g) == set(model.p) and all(np.isfinite(v).all() for v in g.values())
+    model.p = {k: v.astype(float) + 0.3 * rng.standard_normal(v.shape) for k, v in model.p.items()}
+    return model, rng
+
+
+def test_tagger_gradients():
+    """By finite differences of the negative log likelihood, itself summed over all paths."""
+    import itertools
+
+    model, rng = small_tagger()
+    n_tags = model.p["T"].shape[0]
+    x, y = rng.integers(1, 90, (2, 4)), rng.integers(0, n_tags, (2, 4))
+    x[1, 3] = 0  # a padded position
+
+    def loss():
+        total = 0.0
+        for e, tags in zip(model.emissions(x).astype(float), y, strict=True):
+            paths = np.array(list(itertools.product(range(n_tags), repeat=4)))
+            score = sum(e[t][paths[:, t]] for t in range(4)) + sum(model.p["T"][paths[:, t], paths[:, t + 1]] for t in range(3))
+            own = sum(e[t][tags[t]] for t in range(4)) + sum(model.p["T"][tags[t], tags[t + 1]] for t in range(3))
+            total += np.log(np.exp(score).sum()) - own
+        return total / 2
+
+    got = model.gradients(x, y)
+    for name, g in got.items():
+        for at in [tuple(rng.integers(0, d) for d in g.shape) for _ in range(4)] + ([(x[0, 0], 0)] if name == "E" else []):
+            was = model.p[name][at]
+            model.p[name][at] = was + 1e-3
+            up = loss()
+            model.p[name][at] = was - 1e-3
+            down = loss()
+            model.p[name][at] = was
+            assert abs((up - down) / 2e-3 - g[at]) < 1e-3, (name, at)
+
+
+def test_tagger_decoding():
+    """Viterbi against all paths; decoding between sure positions, and window by window, against Viterbi."""
+    import itertools
+
+    model, rng = small_tagger()
+    n_tags = model.p["T"].shape[0]
+    paths = np.array(list(itertools.product(range(n_tags), repeat=4)))
+    for _ in range(20):
+        e = rng.standard_normal((4, n_tags))
+        score = sum(e[t][paths[:, t]] for t in range(4)) + sum(model.p["T"][paths[:, t], paths[:, t + 1]] for t in range(3))
+        assert model.viterbi(e).tolist() == paths[score.argmax()].tolist()
+    sure = 0
+    for _ in range(200):
+        e = rng.standard_normal((60, n_tags)) * 2
+        e[:, 0] += rng.choice([0.0, 9.0], (60,), p=[0.3, 0.7])
+        want = model.viterbi(e)
+        assert model.decode(e.astype(np.float32)).tolist() == want.tolist()
+        cut = model.outside(e[:40].astype(np.float32), False)
+        assert not want[:40][cut].any()
+        sure += cut.sum()
+    assert sure > 1000
+    parts = [rng.integers(1, 90, int(n)) for n in (1, 7, 7, 30, 2)]
+    for own, got in zip(parts, model.emissions_of(parts), strict=True):
+        assert np.allclose(model.emissions(own[None])[0], got, atol=1e-4)
+
+
+def test_tagger_held_out(monkeypatch):
+    model = pii.trained()
+    held_out = pii.examples(300, 99)
+    texts = [t for t, _ in held_out]
+    found = [s for _, s in pii.find_spans(texts, model)]
+    for kind in pii.KINDS:
+        want = [(k, s) for k, (_, spans) in enumerate(held_out) for s in spans if s[0] == kind]
+        got = [(k, s) for k, spans in enumerate(found) for s in spans if s[0] == kind]
+        assert sum(s in found[k] for k, s in want) > 0.9 * len(want), kind
+        assert sum(s in held_out[k][1] for k, s in got) > 0.9 * len(got), kind
+    # a long text: the same spans whatever is held, and as its parts have
+    text = "\n".join(texts)
+    whole = pii.tagged_spans([text], model)[0]
+    monkeypatch.setattr(pii, "HELD", 2000)
+    assert pii.tagged_spans(["", text, "x"], model)[1] == whole
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    wanted = {(k, starts[i] + a, starts[i] + b) for i, (_, spans) in enumerate(held_out) for k, a, b in spans}
+    assert len(wanted & set(whole)) > 0.9 * len(wanted)
 
 
 def test_pages(spark):

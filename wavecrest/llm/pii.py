@@ -1,21 +1,24 @@
 """Personal data: base patterns, and a character BiLSTM with CRF for forms that they miss.
 
-Base spans (email, ip, card, phone) are found by pattern in every whole text.  The tagger reads the
-neighbourhood of every digit and at sign (no other place can hold a span: each kind has one), in
-overlapping windows; each character's scores come from the window in which it lies furthest from an
-edge, and one Viterbi pass over the whole region decides its tags, so spans across windows are whole.
-Tagged spans that overlap no base span and hold what their kind needs (an address, four parts up to
-255, a Luhn number, 8 to 15 digits) are added.  The tagger is trained on spans that a seeded generator
-labels while writing them; it has no access to the tables.
-
-Null and empty texts: no spans.  Repeated rows are searched each.  Other columns are kept by redact
-and ignored by find.  Empty tables give no rows.  Spans are [start, end) in code points.
+Base spans (email, ip, card, phone) are found by pattern in every whole text.  The tagger reads every
+character of every text, in overlapping windows; a character's scores come from the window in which it
+lies furthest from an edge, and the tags of the whole text are decoded together, so spans across windows
+are whole.  Long texts are decoded up to the last position that is surely outside, so memory is bounded
+but for a text that has no such position.  Tagged spans that overlap no base span are added if the value
+can be one at all (an address with an at sign or its word, four numbers up to 255, a Luhn number, 7 to 15
+digits).  The tagger is trained on spans that a seeded generator labels while writing them; it has no
+access to the tables.
+
+Null and empty texts: no spans.  Repeated rows are searched each.  Of spans of two kinds at one place
+both stay if they are base ones.  Other columns are kept by redact and ignored by find.  Empty tables
+give no rows.  Spans are [start, end) in code points.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,14 +30,16 @@ from pyspark.sql import functions as F
 from wavecrest.llm.common import slices, table
 from wavecrest.llm.tagger import KINDS, Tagger, codes
 
-TRIGGER = re.compile(r"[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match never starts inside a run of digits, so the look-behind changes no result
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-REACH, WINDOW, STRIDE = 32, 64, 32
+#: Characters of a window, of a training example, and what neighbouring windows share.
+WINDOW, EXAMPLE, OVERLAP = 512, 96, 64
+#: Windows that are run at once; characters of one text that wait for their decoding, about.
+BATCH, HELD = 512, 1 << 18
 Span = tuple[str, int, int]
 
 
@@ -88,8 +93,11 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
     def number(n: int) -> str:
         return "".join(str(d) for d in rng.integers(0, 10, n))
 
+    def plain() -> str:
+        return "".join(pick(*"eeaaoinrtshlducmfpgbvwy") for _ in range(int(rng.integers(2, 10))))
+
     def word() -> str:
-        w = "".join(pick(*"eeaaoinrtshlducmfpgbvwyé") for _ in range(int(rng.integers(1, 9))))
+        w = "".join(pick(*"eeaaoinrtshlducmfpgbvwyé") for _ in range(int(rng.integers(1, 11))))
         return w.capitalize() if rng.random() < 0.1 else w.upper() if rng.random() < 0.05 else w
 
     def card() -> str:
@@ -102,8 +110,8 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
     def data() -> tuple[str, str]:
         kind = pick(*KINDS, "none", "none")
         if kind == "email":
-            name, host, end = word() + pick("", ".", "_") + pick(word(), number(2), ""), word(), pick("com", "org", "net", "example.com")
-            return kind, pick(f"{name}@{host}.{end}", f"{name}@{host}{number(1)}.{end}", f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name}[@]{host}.{end}")
+            name, host, end = plain() + pick("", ".", "_") + pick(plain(), number(2)), plain() + pick("", "", "-" + plain(), number(1)), pick("com", "org", "net", "de", "example.com", plain() + ".com")
+            return kind, pick(f"{name}@{host}.{end}", f"{name}@{host}.{end}", f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name}[@]{host}.{end}", f"{name}(at){host}.{end}", f"{name} [at] {host} [dot] {end}", f"{name} (at) {host}.{end}")
         if kind == "ip":
             parts = [str(int(rng.integers(0, 256))) for _ in range(4)]
             return kind, pick(".", ".", "[.]", " . ", "(.)").join(parts)
@@ -111,14 +119,15 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
             return kind, split(card(), pick("", " ", "-", ".", "  ", "/"))
         if kind == "phone":
             a, b, c = number(3), number(3), number(4)
-            return kind, pick(f"+{number(1)} ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b}{c}")
+            return kind, pick(f"+{number(1)} ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"+{number(2)} {number(2)} {number(4)}-{number(4)}", f"+{number(1)}{a}{b}{c}", f"+{number(1)} {a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b}{c}")
         hexes = "".join(pick(*"0123456789abcdef") for _ in range(int(rng.integers(8, 41))))
         year = str(int(rng.integers(1900, 2100)))
-        return "none", pick(number(int(rng.integers(1, 8))), f"version {number(1)}.", f"{number(1)}.{number(1)}.", f"{number(1)}.{number(1)}.{number(1)}", f'token = "{hexes}"', hexes, year, f"{year}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{year}", f"{number(3)}.{number(2)}", f"{number(2)}:{number(2)}", f"({year})", f"{number(2)}%", f"[{number(2)}]", f"@{word()}", f"{number(1)},{number(3)},{number(3)}", f"{number(20)}", f"{word()}{number(3)}")
+        link = f"http://www.{plain()}.com/{plain()}/{number(2)}"
+        return "none", pick(link, f"{plain()}.{plain()}", f"[{number(1)}]", f"({plain()})", f"{word()}({word()})", pick(*"#$|*&<>") * int(rng.integers(1, 5)), f"{plain()}_{plain()} = {number(2)};", f"{number(3)} - {number(3)}", f"{number(4)} {number(4)}", f"({plain()} {number(4)})", number(int(rng.integers(1, 8))), f"version {number(1)}.", f"{number(1)}.{number(1)}.", f"{number(1)}.{number(1)}.{number(1)}", f'token = "{hexes}"', hexes, year, f"{year}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{year}", f"{number(3)}.{number(2)}", f"{number(2)}:{number(2)}", f"({year})", f"{number(2)}%", f"[{number(2)}]", f"@{word()}", f"{number(1)},{number(3)},{number(3)}", f"{number(20)}", f"{word()}{number(3)}")
 
     text, spans = "", []
     mark = pick(" ", " ", " ", ", ", " | ", ".\n")
-    while len(text) < WINDOW * 2:
+    while len(text) < EXAMPLE * 2:
         if rng.random() < 0.25:
             kind, value = data()
             if kind != "none":
@@ -136,15 +145,16 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 1500, epochs: int = 8, seed: int = 17) -> Tagger:
+def trained(n: int = 4000, epochs: int = 9, seed: int = 17) -> Tagger:
     """The same model in every process: seeded data, seeded weights."""
-    x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    x, y = np.zeros((n, EXAMPLE), np.int64), np.zeros((n, EXAMPLE), np.int64)
     for k, (text, spans) in enumerate(examples(n, seed)):
-        at = (k * 7) % WINDOW
+        at = (k * 7) % EXAMPLE
         tags = np.zeros(len(text), np.int64)
         for kind, a, b in spans:
-            tags[a:b] = 1 + KINDS.index(kind)
-        own, label = codes(text)[at : at + WINDOW], tags[at : at + WINDOW]
+            tags[a:b] = 2 + 2 * KINDS.index(kind)
+            tags[a] -= 1
+        own, label = codes(text)[at : at + EXAMPLE], tags[at : at + EXAMPLE]
         x[k, : len(own)], y[k, : len(own)] = own, label
     model = Tagger()
     model.fit(x, y, epochs)
@@ -154,83 +164,114 @@ def trained(n: int = 1500, epochs: int = 8, seed: int = 17) -> Tagger:
 # -- search ------------------------------------------------------------------------------------------
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Merged neighbourhoods of digits and at signs."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def plausible(kind: str, value: str) -> bool:
-    """What a tagged span must hold to be one of its kind."""
+def possible(kind: str, value: str) -> bool:
+    """Whether the value can be one of its kind, in whatever form."""
     d = digits_of(value)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?[\[(]?@[\])]?\s?[A-Za-z0-9-]+(\s?[\[(]?\.[\])]?\s?[A-Za-z0-9-]+)+", value))
+        return bool(re.search(r"@|\bat\b", value)) and bool(re.search(r"\.|\bdot\b", value))
     if kind == "ip":
-        parts = re.split(r"\s?[\[(]?\.[\])]?\s?", value)
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = re.findall(r"[0-9]+", value)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 16 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", value))
-    return 8 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]*[0-9]", value)) and bool(re.search(r"[ (.-]", value)) and not re.fullmatch(r"[0-9]{1,4}[.-][0-9]{1,2}[.-][0-9]{1,4}", value)
+        return 16 <= len(d) <= 19 and luhn(d)
+    return 7 <= len(d) <= 15
+
+
+def _spans(tags: np.ndarray, at: int) -> Iterator[Span]:
+    """Spans of decoded tags, the first one standing at this place of the text."""
+    if not len(tags):
+        return
+    kind = (tags + 1) // 2
+    first = (tags % 2 == 1) | (kind != np.concatenate([[0], kind[:-1]]))
+    cuts = np.flatnonzero(first & (kind > 0))
+    ends = np.flatnonzero(first)
+    for s in cuts.tolist():
+        k = int(np.searchsorted(ends, s, "right"))
+        yield KINDS[kind[s] - 1], at + s, at + (int(ends[k]) if k < len(ends) else len(tags))
+
+
+def windows(text: str) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Codes of each window, and the part of it whose scores count: up to the middle of what it shares with the next one."""
+    own, step, half = codes(text), WINDOW - OVERLAP, OVERLAP // 2
+    for s in range(0, max(1, len(own) - OVERLAP), step):
+        part = own[s : s + WINDOW]
+        yield part, half if s else 0, len(part) if s + WINDOW >= len(own) else len(part) - half
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
     """Spans by the tagger alone, for many texts at once."""
-    jobs = [(k, a, b) for k, t in enumerate(texts) for a, b in regions(t)]
-    windows, owner = [], []
-    for j, (k, a, b) in enumerate(jobs):
-        own = codes(texts[k][a:b])
-        for s in range(0, max(1, len(own) - STRIDE), STRIDE):
-            part = own[s : s + WINDOW]
-            windows.append(np.pad(part, (0, WINDOW - len(part))))
-            owner.append((j, s, len(part)))
     out: list[list[Span]] = [[] for _ in texts]
-    score = [np.zeros((b - a, model.p["O"].shape[1])) for _, a, b in jobs]
-    depth = [np.full(b - a, -1.0) for _, a, b in jobs]
-    for at in range(0, len(windows), 1024):
-        e = model.emissions(np.stack(windows[at : at + 1024]))
-        for (j, s, n), own in zip(owner[at : at + 1024], e, strict=True):
-            total = len(depth[j])
-            # an edge of the region is no edge of a window
-            left = np.arange(n) + (WINDOW if s == 0 else 0)
-            right = np.arange(n)[::-1] + (WINDOW if s + n == total else 0)
-            inner = np.minimum(left, right)
-            better = inner > depth[j][s : s + n]
-            score[j][s : s + n][better] = own[:n][better]
-            depth[j][s : s + n][better] = inner[better]
-    for (k, a, _), e in zip(jobs, score, strict=True):
-        tags = model.viterbi(e)
-        cuts = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
-        for s, t in zip(cuts, cuts[1:], strict=False):
-            if tags[s]:
-                s, t = a + s, a + t
-                kind = KINDS[tags[s - a] - 1]
-                text = texts[k]
-                while s < t and text[s] in " \t\n,;:|\"'":
-                    s += 1
-                while t > s and text[t - 1] in " \t\n.,;:|\"'!?":
-                    t -= 1
-                if t > s:
-                    out[k].append((kind, s, t))
-    return out
+    rows: list[tuple[int, np.ndarray, int, int]] = []
+    held: list[np.ndarray] = []
+    owner, at = 0, 0
+
+    def close(last: bool) -> None:
+        """Decode what is held of a text: all of it, or up to the last sure position."""
+        nonlocal held, at
+        e = np.concatenate(held)
+        end = len(e)
+        if not last:
+            sure = np.flatnonzero(model.outside(e, False))
+            end = int(sure[-1]) + 1 if len(sure) else 0
+        out[owner].extend(_trimmed(texts[owner], s) for s in _spans(model.decode(e[:end]), at))
+        # the sure position stays, fixed, as the left neighbour of the rest
+        end = max(0, end - 1)
+        at, held = at + end, [e[end:].copy()]
+        if end:
+            held[0][0, 1:] = -1e9
+
+    def run() -> None:
+        nonlocal owner, at, held
+        for (k, _, a, b), e in zip(rows, model.emissions_of([r[1] for r in rows]), strict=True):
+            if k != owner:
+                if held:
+                    close(True)
+                owner, at, held = k, 0, []
+            held.append(e[a:b])
+            if sum(map(len, held)) > HELD:
+                close(False)
+        rows.clear()
+
+    for k, text in enumerate(texts):
+        if text:
+            for part, a, b in windows(text):
+                rows.append((k, part, a, b))
+                if len(rows) == BATCH:
+                    run()
+    if rows:
+        run()
+    if held:
+        close(True)
+    return [[s for s in found if s[1] < s[2]] for found in out]
+
+
+def _trimmed(text: str, span: Span) -> Span:
+    kind, s, t = span
+    while s < t and text[s] in " \t\n,;:|\"'":
+        s += 1
+    while t > s and text[t - 1] in " \t\n.,;:|\"'!?":
+        t -= 1
+    return kind, s, t
 
 
 def find_spans(texts: list[str | None], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans and all spans, both by kind, then start."""
     plain = [t or "" for t in texts]
-    base = [base_spans(t) if TRIGGER.search(t) else [] for t in plain]
-    some = [k for k, t in enumerate(plain) if TRIGGER.search(t)]
-    out = [(b, list(b)) for b in base]
-    for k, found in zip(some, tagged_spans([plain[k] for k in some], model), strict=True):
+    out = []
+    for text, found in zip(plain, tagged_spans(plain, model), strict=True):
+        base = base_spans(text)
+        taken: list[list[int]] = []
+        for _, s, e in sorted(base, key=lambda x: x[1:]):
+            if taken and s <= taken[-1][1]:
+                taken[-1][1] = max(e, taken[-1][1])
+            else:
+                taken.append([s, e])
+        starts, more = [s for s, _ in taken], list(base)
         for kind, a, b in found:
-            if plausible(kind, plain[k][a:b]) and all(b <= s or e <= a for _, s, e in base[k]):
-                out[k][1].append((kind, a, b))
-        out[k][1].sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+            k = bisect_left(starts, b) - 1
+            if (k < 0 or taken[k][1] <= a) and possible(kind, text[a:b]):
+                more.append((kind, a, b))
+        out.append((base, sorted(more, key=lambda x: (KINDS.index(x[0]), x[1]))))
     return out
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
-#: Outside, and one tag for each kind.
-TAGS = 1 + len(KINDS)
+#: Outside, and for each kind a tag for its first character and one for the others.
+TAGS = 1 + 2 * len(KINDS)
 #: Character codes: 0 padding, 1 white space, 2 letters beyond ASCII, 3 other, 4.. printable ASCII.
 CODES = 4 + 95
 
@@ -23,7 +23,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, dim: int = 10, hidden: int = 16, seed: int = 11) -> None:
+    def __init__(self, dim: int = 10, hidden: int = 12, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.hidden = hidden
 
@@ -61,6 +61,52 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._run(x, "f"), self._run(x, "b")], 2) @ self.p["O"] + self.p["bo"]
 
+    def emissions_of(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Emissions of sequences of any lengths: the longest first, so that each step has live columns only."""
+        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
+        size = np.array([len(parts[k]) for k in order])
+        length, n, k = int(size[0]), len(parts), self.hidden
+        live = np.searchsorted(-size, -np.arange(length), "left")
+        # sigmoid(z) = (tanh(z / 2) + 1) / 2
+        half = np.where(np.arange(4 * k) < 3 * k, 0.5, 1.0).astype(np.float32)
+        out = []
+        for turn, d in enumerate("fb"):
+            x = np.zeros((n, length), np.int64)
+            for j, i in enumerate(order):
+                x[j, : size[j]] = parts[i] if d == "f" else parts[i][::-1]
+            x = np.ascontiguousarray(x.T)
+            wide = (self.p["E"] @ self.p[f"W{d}"] + self.p[f"c{d}"]) * half
+            u = np.ascontiguousarray((self.p[f"U{d}"] * half).T)
+            h, c, product = np.zeros((3, k, n), np.float32)
+            rows, z = np.empty((n, 4 * k), np.float32), np.empty((4 * k, n), np.float32)
+            states = np.zeros((length, k, n), np.float32)
+            for t in range(length):
+                m = live[t]
+                if m < h.shape[1]:
+                    h, c, product = (np.ascontiguousarray(v[:, :m]) for v in (h, c, product))
+                    rows, z = rows[:m], np.empty((4 * k, m), np.float32)
+                np.take(wide, x[t, :m], axis=0, out=rows, mode="clip")
+                np.matmul(u, h, out=z)
+                z += rows.T
+                np.tanh(z, out=z)
+                z[: 3 * k] += 1
+                c *= z[k : 2 * k]
+                np.multiply(z[:k], z[3 * k :], out=product)
+                c += product
+                c *= 0.5
+                np.tanh(c, out=h)
+                h *= z[2 * k : 3 * k]
+                h *= 0.5
+                states[t, :, :m] = h
+            out.append(np.matmul(self.p["O"][turn * k : (turn + 1) * k].T, states))
+        whole = int(live[-1])
+        forth, back = out
+        full = np.ascontiguousarray((forth[:, :, :whole] + back[::-1, :, :whole]).transpose(2, 0, 1)) + self.p["bo"]
+        found: list[np.ndarray] = [np.empty(0)] * n
+        for j, i in enumerate(order):
+            found[i] = full[j] if j < whole else forth[: size[j], :, j] + back[: size[j], :, j][::-1] + self.p["bo"]
+        return found
+
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags of one sequence of emissions (L, TAGS)."""
         best, back = e[0].astype(float), []
@@ -73,6 +119,59 @@ class Tagger:
             out.append(int(b[out[-1]]))
         return np.array(out[::-1])
 
+    def outside(self, e: np.ndarray, last: bool = True) -> np.ndarray:
+        """Positions that the best path has outside (if more emissions follow: whatever these are).
+
+        A stretch of other tags between two outsides gains at most, at each position, the best of
+        emission and transition into it over those of outside, and loses the transition back.  In
+        the best path no stretch loses, so a position is open only if the best sum around it doesn't.
+        """
+        tr = self.p["T"].astype(float)
+        oo = tr[0, 0]
+        into, leave = (tr.max(0)[1:] - oo).astype(np.float32), tr[1:, 0].max() - oo
+        gain = e[:, 1] + into[0]
+        for k in range(2, TAGS):
+            np.maximum(gain, e[:, k] + into[k - 1], out=gain)
+        gain -= e[:, 0]
+        gain[0] = max(gain[0], (e[0, 1:] - e[0, 0]).max())
+        total = np.concatenate([[0.0], np.cumsum(gain, dtype=float)])
+        low = np.minimum.accumulate(total[:-1])
+        inner = np.maximum.accumulate(total[:0:-1])[::-1] - low + leave
+        # at the end there is no way back; before more emissions a stretch may be cut where it loses
+        end = total[-1] - low + (0.0 if last else float((tr[1:, 1:] - tr[:1, 1:]).max()))
+        return np.maximum(inner, end) < -1e-3
+
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """Best tags of one sequence, as viterbi(): between sure positions, all stretches at once."""
+        tags = np.zeros(len(e), np.int64)
+        if not len(e):
+            return tags
+        open_ = ~self.outside(e)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+        start, size = edge[::2], np.diff(edge)[::2]
+        if not len(start):
+            return tags
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        tr = self.p["T"].astype(float)
+        live = np.searchsorted(-size, -np.arange(size[0]), "left")
+        best = e[start] + np.where(start[:, None] > 0, tr[0], 0.0)
+        back = np.zeros((size[0], len(start), TAGS), np.int8)
+        for t in range(1, int(size[0])):
+            m = live[t]
+            s = best[:m, :, None] + tr
+            back[t, :m] = s.argmax(1)
+            best[:m] = s.max(1) + e[start[:m] + t]
+        best += np.where((start + size < len(e))[:, None], tr[:, 0], 0.0)
+        now = best.argmax(1)
+        rows = np.arange(len(start))
+        for t in range(int(size[0]) - 1, -1, -1):
+            m = live[t]
+            tags[start[:m] + t] = now[:m]
+            if t:
+                now[:m] = back[t, rows[:m], now[:m]]
+        return tags
+
     # -- training --------------------------------------------------------------------------------
 
     def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
