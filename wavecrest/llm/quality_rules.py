@@ -5,9 +5,12 @@ labelled rows and is pruned on the rest; the rows that it covers go, and the nex
 until a rule isn't precise enough on the pruning rows.  The list is emitted as ordered F.when
 conditions over the statistics' columns.
 
-Null text: no words.  Empty text, and any text of fewer than 20 words, fails the base rules.  Rows
-without a label take no part in learning; repeated rows count each.  Other columns are ignored.  With
-no usable labels the list is empty and the base rules decide.  Empty tables give no rows.
+Null text: no words.  Empty text, and any text of fewer than 20 words, fails the base rules.  A text
+of any length is read whole.  Rows without a label take no part in learning; repeated rows count each,
+of one id ROWS_PER_ID at most while learning.  The rows are put in order by their values first, so the
+list doesn't depend on the order of the table; of thresholds that gain the same the first column's
+lowest is taken.  Other columns are ignored.  With no usable labels the list is empty and the base
+rules decide.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.llm.common import slices, table
 
 #: At most so many labelled rows are used for learning, chosen by a hash of the id.
 MAX_LABELLED = 20_000
+#: Rows of one labelled id that are used, so the sample is bounded in rows also if ids repeat.
+ROWS_PER_ID = 2
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "upper_ratio", "digit_ratio", "mark_ratio"]
 SPACE, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
@@ -184,11 +189,22 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def sampled_rows(rows: DataFrame, sample: DataFrame, order: Column) -> DataFrame:
+    """The sample's rows with their labels, ROWS_PER_ID of each id at most, the first ones in this order.
+
+    The sample is bounded, so it may be broadcast; a window's rank limit is applied before its shuffle.
+    """
+    window = Window.partitionBy("doc_id").orderBy(order)
+    return rows.join(F.broadcast(sample), "doc_id").withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= ROWS_PER_ID).drop("_rank")
+
+
 def fit_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Rules for labels of quality 0; the sample's size is bounded, so it may be broadcast and collected."""
+    """Rules for labels of quality 0, from the bounded sample, in an order of its own."""
     sample = labelled_sample(labels.where("quality is not null"))
-    rows = text_statistics(docs.join(F.broadcast(sample), "doc_id", "left_semi")).join(F.broadcast(sample), "doc_id").collect()
+    stats = text_statistics(docs.join(F.broadcast(sample), "doc_id", "left_semi"))
     names = [*RATIOS, "n_words"]
+    rows = sampled_rows(stats, sample, F.xxhash64(*names)).collect()
+    rows.sort(key=lambda r: (r["doc_id"], *(r[c] for c in names)))
     x = np.array([[float(r[c]) for c in names] for r in rows]).reshape(-1, len(names))
     bad = np.array([r["quality"] == 0 for r in rows], bool)
     return learn_rules(x, bad, names)

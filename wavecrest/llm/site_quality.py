@@ -7,8 +7,9 @@ its host's; the strength of each prior comes from how much shares vary between s
 (method of moments).  A document's posterior adds its path's prior log-odds, less the global ones, to
 its own.  Sums are partial aggregates, so a source with a third of all rows is no hot task.
 
-Null and empty texts: a document without words, judged by its statistics.  Null source or language:
-a site of its own.  Repeated rows count each.  Rows without a label take no part in fitting; without
+Null and empty texts: a document without words, judged by its statistics.  A text of any length is
+read whole.  Null source or language: a site of its own.  Repeated rows count each; of one id the
+sample holds a bounded number of rows.  A posterior at the threshold keeps.  Rows without a label take no part in fitting; without
 both labels all are kept.  Other columns are ignored.  Empty tables give no rows.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.llm.common import materialize, slices, table
 from wavecrest.llm.linear import fit_logistic, predict
-from wavecrest.llm.quality_rules import BASE, RATIOS, labelled_sample, statistics
+from wavecrest.llm.quality_rules import BASE, RATIOS, labelled_sample, sampled_rows, statistics
 
 #: At most so many labelled rows are used for fitting.
 MAX_LABELLED = 20_000
@@ -59,7 +60,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame) -> Evidence | None:
                 rows = [[float(v) for v in statistics(t.as_py())] for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "stats"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").selectExpr("cast(quality as int) as good", "text").mapInArrow(run, "good int, stats array<double>").collect()
+    chosen = sampled_rows(docs.select(F.col("doc_id").cast("long"), "text"), sample, F.xxhash64("text"))
+    rows = chosen.selectExpr("cast(quality as int) as good", "text").mapInArrow(run, "good int, stats array<double>").collect()
     good = np.array([r.good == 1 for r in rows], bool)
     if not len(rows) or good.all() or not good.any():
         return None

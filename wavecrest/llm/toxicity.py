@@ -2,14 +2,15 @@
 
 Categories come one after the other; each has a linear model over the presence of words and the
 probabilities of the earlier categories.  While training, those probabilities are out of fold, so a
-later model sees them as good as they will be on new text.  The categories, from the labels: toxic;
-toxic prose (of quality 1); toxic junk (of quality 0).  A text is rejected if the chain gives the
-first category at least the threshold.
+later model sees them as good as they will be on new text.  The categories, from the labels: toxic
+prose (of quality 1); toxic junk (of quality 0); toxic, the last one, which rests on both.  A text is
+rejected if the end of the chain gives it at least the threshold.
 
 Words get a model weight only if they are more frequent on one side beyond chance, counted once per
 group of near copies in the sample, at a level controlled for the number of words tested.  Null and empty texts: no words, never rejected by words.
-Repeated rows are judged each.  Rows without a label take no part in training; without both labels
-nothing is rejected.  Other columns are kept.  Empty tables give no rows.
+Repeated rows are judged each; of an id with several texts the sample holds at most ROWS_PER_ID.  A text of any length
+is read whole.  Words of equal evidence are taken in the order of their hashes.  Rows without a label take no part in
+training; without both labels nothing is rejected.  Other columns are kept.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from wavecrest.llm.common import slices, table
 from wavecrest.llm.jaccard import mix, shingles
 from wavecrest.llm.linear import fit_logistic, predict
-from wavecrest.llm.quality_rules import labelled_sample
+from wavecrest.llm.quality_rules import labelled_sample, sampled_rows
 
 #: At most so many labelled rows are used for training, and so many words get a weight.
 MAX_LABELLED, MAX_WORDS = 5_000, 2_000
@@ -35,7 +36,7 @@ MAX_LABELLED, MAX_WORDS = 5_000, 2_000
 PREFIXES = (4, 5, 6, 7)
 #: Shrinkage of the weights.
 L2 = 0.05
-CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
+CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -117,12 +118,12 @@ def _select(hashes: list[np.ndarray], y: np.ndarray, group: np.ndarray, rate: fl
 
 
 def fit_chain(texts: list[str | None], targets: np.ndarray, folds: int = 4) -> Chain | None:
-    """targets: one column for each category, in the chain's order."""
-    if not len(texts) or targets[:, 0].all() or not targets[:, 0].any():
+    """targets: one column for each category, in the chain's order; the last one is the verdict's."""
+    if not len(texts) or targets[:, -1].all() or not targets[:, -1].any():
         return None
     group = near_groups(texts)
     fold = group % folds
-    chosen = set(_select([_hashes(t) for t in texts], targets[:, 0], group).tolist())
+    chosen = set(_select([_hashes(t) for t in texts], targets[:, -1], group).tolist())
     rows = [[w for w in words_of(t) if xxhash.xxh3_64_intdigest(w) in chosen] for t in texts]
     at = {w: k for k, w in enumerate(sorted({w for r in rows for w in r}))}
     x = np.zeros((len(texts), len(at)))
@@ -145,11 +146,11 @@ def fit_chain(texts: list[str | None], targets: np.ndarray, folds: int = 4) -> C
 def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
     """From a bounded sample of labelled rows, which may be broadcast and collected."""
     sample = labelled_sample(labels.where("toxic is not null"), MAX_LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").collect()
+    rows = sampled_rows(docs.select(F.col("doc_id").cast("long"), "text"), sample, F.xxhash64("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     toxic = np.array([r.toxic == 1 for r in rows], bool)
     good = np.array([r.quality == 1 for r in rows], bool)
-    return fit_chain([r.text for r in rows], np.stack([toxic, toxic & good, toxic & ~good], 1))
+    return fit_chain([r.text for r in rows], np.stack([toxic & good, toxic & ~good, toxic], 1))
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
@@ -183,7 +184,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for batch in batches:
             for part in slices(batch):
                 found = [[chain.words[w] for w in sorted(words_of(t, known))] if t else [] for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(chain.probabilities(found)[:, 0] < threshold))
+                yield part.filter(pa.array(chain.probabilities(found)[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
