@@ -43,6 +43,32 @@ def test_bpe_equals_library():
                 assert list(own.encode_stream(t[j : j + k] for j in range(0, len(t), k))) == ids
 
 
+def test_transducer(monkeypatch):
+    """Any cut into blocks gives the library's ids; the state stays small on a text of 50 MB."""
+    rnd = random.Random(8)
+    own, lib = bpe.load("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    runs = ["a", "ab", " ", "\n", "1", "-", "é", "<|", "\t ", "'s", "\x1c"]
+    for k in range(120):
+        text = "".join(rnd.choice(runs) * rnd.choice([1, 1, 2, 700, 3000]) + rnd.choice(["", " ", " b ", "<|endoftext|>"]) for _ in range(rnd.randrange(1, 9)))
+        ids = lib.encode(text, add_special_tokens=False).ids
+        size = rnd.choice([1, 7, 500, 4096])
+        if size * 3000 > len(text):
+            assert list(own.encode_stream(text[j : j + size] for j in range(0, len(text), size))) == ids, text[:80]
+        parts = bpe.Transducer(own)
+        got = []
+        for j in range(0, len(text) or 1, 4096):
+            for x in parts.feed(text[j : j + 4096], j + 4096 >= len(text)):
+                got += np.frombuffer(own.encode_many([x], inner=True)[0], own.kind).tolist() if isinstance(x, str) else x
+        assert got == ids, text[:80]
+    for unit in ("ab", "word and ", "   ", "\u00e9-"):
+        state, most, n = bpe.Transducer(own), 0, 0
+        block = unit * (4096 // len(unit))
+        for _ in range(300 if unit != "word and " else 50 * 2**20 // 4096):
+            n += sum(1 for _ in state.feed(block))
+            most = max(most, len(state.held) + (len(state.run.held) if state.run else 0))
+        assert most < 4096 + 8 * own.window and n
+
+
 def test_utf8_machine():
     data = "aé日😀".encode() + b"\xff\xe2\x82" + "é".encode() + b"\xf0\x9f"
     for k in (1, 2, 3, 7):

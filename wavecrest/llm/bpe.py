@@ -102,6 +102,130 @@ class Utf8Machine:
         return out
 
 
+class Run:
+    """One pre-token whose bytes come in blocks: ids are given out once the lookahead has passed them."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bpe, self.held = bpe, bytearray()
+
+    def push(self, block: bytes) -> list[int]:
+        bpe, held, out = self.bpe, self.held, []
+        for at in range(0, len(block), bpe.window):
+            held += block[at : at + bpe.window]
+            if len(held) > bpe.window + 1:
+                # the last byte stays: it may carry the end-of-word mark
+                stable, done = len(held) - 1 - bpe.lookahead, 0
+                for x in bpe.merge([bpe.first[b] for b in held[:-1]]):
+                    size = len(bpe.bytes_of[x])
+                    if done + size > stable:
+                        break
+                    done += size
+                    out.append(x)
+                del held[:done]
+        return out
+
+    def close(self) -> list[int]:
+        held, self.held = self.held, bytearray()
+        return self.bpe.merge([*(self.bpe.first[b] for b in held[:-1]), self.bpe.last[held[-1]]]) if held else []
+
+
+class Transducer:
+    """State of one text that is read block by block (byte-level models).
+
+    A step reads a block and gives the parts that no later input can change: text up to the last cut, a
+    single space between two characters that aren't white space; without a cut, up to the last
+    pre-token but two; and inside a pre-token longer than the window, ids that lie further back than the
+    merge list's lookahead.  What is held is at most a block and a few windows, whatever the text.
+    """
+
+    CLASSES = tuple(regex.compile(c) for c in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bpe, self.held = bpe, ""
+        self.longest = max(map(len, bpe.special), default=1)
+        self.run: Run | None = None
+        self.kind = self.CLASSES[0]
+
+    def feed(self, block: str, last: bool = False) -> list[str | list[int]]:
+        """Stable parts in order: texts that are encoded by themselves, and ids."""
+        out: list[str | list[int]] = []
+        text = self.held + block
+        while True:
+            if self.run is not None:
+                text = self._in_run(text, last, out)
+                if self.run is not None:
+                    break
+            if last:
+                if text:
+                    out.append(text)
+                text = ""
+                break
+            at = self._cut(text)
+            if at:
+                out.append(text[:at])
+                text = text[at:]
+            elif len(text) > 4 * self.bpe.window:
+                found = list(self.bpe.pattern.finditer(text))
+                before = [m.start() for m in found[:-2] if m.start() < len(text) - self.longest]
+                special = self._last_special(text)
+                if special:
+                    out.append(text[:special])
+                    text = text[special:]
+                elif before and before[-1]:
+                    out.append(text[: before[-1]])
+                    text = text[before[-1] :]
+                if len(text) > 4 * self.bpe.window and not self._last_special(text):
+                    # nearly all of it is one pre-token
+                    m = max(self.bpe.pattern.finditer(text), key=lambda x: x.end() - x.start())
+                    if m.end() - m.start() > self.bpe.window:
+                        if m.start():
+                            out.append(text[: m.start()])
+                            text = text[m.start() :]
+                        self.run = Run(self.bpe)
+                        self.kind = next(c for c in self.CLASSES if c.match(text[1]))
+                        if not self.kind.match(text[0]):
+                            out.append(self.run.push(text[0].encode()))
+                            text = text[1:]
+                        continue
+            break
+        self.held = text
+        return out
+
+    def _in_run(self, text: str, last: bool, out: list) -> str:
+        """Push what belongs to the pre-token; what is returned doesn't, or may not."""
+        found = self.bpe.splitter.search(text) if self.bpe.splitter else None
+        end = found.start() if found else len(text)
+        m = self.kind.match(text[:end])
+        k = m.end() if m else 0
+        space = self.kind is self.CLASSES[2]
+        if not last and found is None and k > len(text) - self.longest:
+            # the run may go on, or a special string may begin in it
+            k = max(0, len(text) - self.longest)
+            out.append(self.run.push(text[:k].encode()))
+            return text[k:]
+        if space and k < end:
+            # the last white space of a run belongs to what follows
+            k -= 1
+        out.append(self.run.push(text[: max(0, k)].encode()))
+        out.append(self.run.close())
+        self.run = None
+        return text[max(0, k) :]
+
+    @staticmethod
+    def _cut(text: str) -> int:
+        at = text.rfind(" ", 0, -1)
+        while at > 0:
+            if not text[at - 1].isspace() and not text[at + 1].isspace():
+                return at
+            at = text.rfind(" ", 0, at)
+        return 0
+
+    def _last_special(self, text: str) -> int:
+        if self.bpe.splitter is None or "<|" not in text:
+            return 0
+        return max((m.end() for m in self.bpe.splitter.finditer(text)), default=0)
+
+
 class Bpe:
     """The model of one tokenizer file: merges, special strings, pre-token pattern."""
 
@@ -189,23 +313,10 @@ class Bpe:
 
     def pieces(self, data: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token that comes in blocks of bytes; memory is a few lookaheads."""
-        held = bytearray()
+        run = Run(self)
         for block in data:
-            for at in range(0, len(block), self.window):
-                held += block[at : at + self.window]
-                if len(held) > self.window + 1:
-                    # the last byte stays: it may carry the end-of-word mark
-                    ids = self.merge([self.first[b] for b in held[:-1]])
-                    stable, done = len(held) - 1 - self.lookahead, 0
-                    for x in ids:
-                        size = len(self.bytes_of[x])
-                        if done + size > stable:
-                            break
-                        done += size
-                        yield x
-                    del held[:done]
-        if held:
-            yield from self.merge([*(self.first[b] for b in held[:-1]), self.last[held[-1]]])
+            yield from run.push(block)
+        yield from run.close()
 
     def piece(self, pre_token: str) -> list[int]:
         data = pre_token.encode()
@@ -391,8 +502,11 @@ class Bpe:
             whole = bool(p) and not p[-1].isspace()
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian numbers, of 16 bits if the vocabulary allows it."""
+    def encode_many(self, texts: list[str | None], inner: bool = False) -> list[bytes]:
+        """Ids of whole texts as little-endian numbers, of 16 bits if the vocabulary allows it.
+
+        inner: texts are parts as a transducer gives them, which may begin at a cut.
+        """
         out: list = []
         missing: set[str] = set()
         get = self.young.get
@@ -401,28 +515,30 @@ class Bpe:
             if self.suffix and ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
                 out.append(self._pack(self._ids(text)))
                 continue
-            parts = self.normal(text).split() if self.suffix else text.split(" ")
+            after = inner and len(text) > 1 and text[0] == " " and not text[1].isspace()
+            parts = self.normal(text).split() if self.suffix else text[after:].split(" ")
             found = list(map(get, parts))
             if None in found:
                 gaps = [k for k, x in enumerate(found) if x is None]
                 missing.update([parts[k] for k in gaps])
-                out.append((text, parts, found, gaps))
+                out.append((text, parts, found, gaps, after))
             else:
-                out.append((text, parts, found, ()))
+                out.append((text, parts, found, (), after))
         new = self._learn(missing)
         if len(self.young) + len(new) > self.size:
             self.old, self.young = self.young, {}
         self.young.update(new)
         return [x if isinstance(x, bytes) else self._whole(*x, new) for x in out]
 
-    def _whole(self, text: str, parts: list[str], found: list, gaps: list[int], new: dict[str, bytes]) -> bytes:
+    def _whole(self, text: str, parts: list[str], found: list, gaps: list[int], after: bool, new: dict[str, bytes]) -> bytes:
         if not self.suffix:
-            # the first part has no space before it
-            found[0] = self._pack(self._ids(parts[0]))
+            if not after:
+                # the first part has no space before it
+                found[0] = self._pack(self._ids(parts[0]))
             if not parts[0] or parts[0][-1].isspace():
                 return b"".join(self._pack(self._ids(key)) for key in self.chunks(text))
         for k in gaps:
-            if k or self.suffix:
+            if k or self.suffix or after:
                 x = new.get(parts[k])
                 if x is None and (x := self.young.get(parts[k])) is None and (x := self._remember(parts[k])) is None:
                     return b"".join(self._pack(self._ids(key)) for key in self.chunks(text))
@@ -438,28 +554,29 @@ class Bpe:
     def encode_stream(self, texts: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in blocks, given out once stable.
 
-        Blocks are held until a cut as in chunks(); inside a run of letters, digits or marks that has
-        none, the run's bytes go through the window of pieces().
+        Byte-level models: by a Transducer.  Others: blocks are held until a cut as in chunks().
         """
+        if not self.suffix:
+            state = Transducer(self)
+            for block in texts:
+                yield from self._part_ids(state.feed(block))
+            yield from self._part_ids(state.feed("", True))
+            return
         held = ""
-        longest = max(map(len, self.special), default=0)
         for block in texts:
             held += block
             done = self.chunks(held)
             if len(done) > 1:
                 for key in done[:-1]:
                     yield from self._ids(key)
-                held = done[-1] if not self.suffix else held[held.rindex(done[-1]) :]
-            if len(held) > 4 * self.window and "<|" not in held[-longest:]:
-                # no cut: everything up to the last pre-token but two is stable
-                found = list(self.pattern.finditer(held))
-                if len(found) > 3 and not self.suffix:
-                    at = found[-3].start()
-                    yield from self._ids(held[:at])
-                    held = held[at:]
+                held = held[held.rindex(done[-1]) :]
         if held:
             yield from self._ids(held)
 
+    def _part_ids(self, parts: list[str | list[int]]) -> Iterator[int]:
+        for x in parts:
+            yield from self._ids(x) if isinstance(x, str) else x
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         machine = Utf8Machine()
         for x in ids:

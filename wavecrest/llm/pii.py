@@ -37,7 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Characters of a window, of a training example, and what neighbouring windows share.
-WINDOW, EXAMPLE, OVERLAP = 512, 96, 64
+WINDOW, EXAMPLE, OVERLAP = 768, 96, 64
 #: Windows that are run at once; characters of one text that wait for their decoding, about.
 BATCH, HELD = 512, 1 << 18
 Span = tuple[str, int, int]
