@@ -78,8 +78,7 @@ def document_evidence(docs: DataFrame, model: Evidence | None) -> DataFrame:
                 p = model(np.array([statistics(t.as_py()) for t in part.column(3)], float)) if model else np.ones(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(p)], ["doc_id", "host", "path", "p_doc"])
 
-    host = F.coalesce(F.col("source"), F.lit(""))
-    path = F.concat_ws("/", host, F.coalesce(F.col("lang"), F.lit("")))
+    host, path = _sites()
     return docs.select(F.col("doc_id").cast("long"), host.alias("host"), path.alias("path"), "text").mapInArrow(run, "doc_id long, host string, path string, p_doc double")
 
 
@@ -103,20 +102,62 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     return both.withColumn("prior_path", (F.col("s") + F.col("kappa") * F.col("prior_host")) / (F.col("n") + F.col("kappa"))).select("host", "path", "mean", "prior_host", "prior_path")
 
 
+#: Sites that are broadcast; rows of more sites are joined, salted in so many parts, as one path may hold a third of them.
+BROADCAST_SITES, SALTS = 100_000, 32
+
+
+def odds(c: str):
+    p = F.greatest(F.least(F.col(c), F.lit(1 - 1e-6)), F.lit(1e-6))
+    return F.log(p / (1 - p))
+
+
+def with_priors(rows: DataFrame, priors: DataFrame, host: str, path: str, spread) -> DataFrame:
+    """Rows with their site's priors; spread is a column that deals a hot path's rows out."""
+    if priors.count() <= BROADCAST_SITES:
+        return rows.join(F.broadcast(priors), [rows[host] == priors["host"], rows[path] == priors["path"]]).drop(priors["host"]).drop(priors["path"])
+    salted = priors.withColumn("_salt_right", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt_left", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    on = [rows[host] == salted["host"], rows[path] == salted["path"], rows["_salt_left"] == salted["_salt_right"]]
+    return rows.join(salted, on).drop(salted["host"]).drop(salted["path"]).drop("_salt_left", "_salt_right")
+
+
+def _sites() -> tuple:
+    host = F.coalesce(F.col("source"), F.lit(""))
+    return host, F.concat_ws("/", host, F.coalesce(F.col("lang"), F.lit("")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_doc, prior_host, prior_path, posterior, kept for each row."""
     evidence = materialize(document_evidence(docs, fit_evidence(docs, labels)))
     priors = materialize(site_priors(evidence))
-
-    def odds(c: str):
-        p = F.greatest(F.least(F.col(c), F.lit(1 - 1e-6)), F.lit(1e-6))
-        return F.log(p / (1 - p))
-
-    few = priors.count() <= 100_000
-    out = evidence.join(F.broadcast(priors) if few else priors, ["host", "path"])
+    out = with_priors(evidence, priors, "host", "path", F.struct("doc_id", "p_doc"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(odds("p_doc") + odds("prior_path") - odds("mean")))))
     return out.select("doc_id", "p_doc", "prior_host", "prior_path", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that classify() keeps, with all their columns, each by its own text.
+
+    The texts are read twice rather than joined with their verdicts, so they aren't shuffled.
+    """
+    model = fit_evidence(docs, labels)
+    priors = materialize(site_priors(materialize(document_evidence(docs, model))))
+    names = ["_site_host", "_site_path", "_site_odds"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    host, path = _sites()
+    rows = with_priors(docs.withColumn(names[0], host).withColumn(names[1], path), priors.select("host", "path", (odds("prior_path") - odds("mean")).alias(names[2])), names[0], names[1], F.col("text"))
+    columns, at, least = docs.columns, docs.columns.index("text"), float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                p = model(np.array([statistics(t.as_py()) for t in part.column(at)], float)) if model else np.full(part.num_rows, 1 - 1e-6)
+                own = np.log(p / (1 - p)) + part.column(part.num_columns - 1).to_numpy()
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], columns).filter(pa.array(own >= least))
+
+    return rows.select(*columns, names[2]).mapInArrow(run, docs.schema)
+
+
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
