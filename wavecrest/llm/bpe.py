@@ -29,6 +29,8 @@ SPACE = regex.compile(r"\s")
 BIG = 1 << 62
 #: A word of letters and the marks after it: two pieces in either pattern.
 TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)*)")
+#: A comma or full stop after a mark: one pre-token with it.
+JOINED = re.compile(r"[.,](?<=(?:[^\w\s]|_).)")
 #: No id, in a row of merge_batch; no rule has it.
 NONE = (1 << 20) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -516,7 +518,12 @@ class Bpe:
                 out.append(self._pack(self._ids(text)))
                 continue
             after = inner and len(text) > 1 and text[0] == " " and not text[1].isspace()
-            parts = self.normal(text).split() if self.suffix else text[after:].split(" ")
+            if self.suffix:
+                plain = self.normal(text)
+                # commas and full stops after a letter or digit begin a pre-token: words are looked up without them
+                parts = (plain if JOINED.search(plain) else plain.replace(",", " ,").replace(".", " .")).split()
+            else:
+                parts = text[after:].split(" ")
             found = list(map(get, parts))
             if None in found:
                 gaps = [k for k, x in enumerate(found) if x is None]
