@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,3 +136,47 @@ def crf_states(n_classes: int, bases: int = 4) -> int:
         if n_classes in ((bases + 1) * bases**s, bases ** (s + 1)):
             return s
     raise ValueError(f"no state length gives {n_classes} classes")
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def viterbi_path(scores: np.ndarray, transitions: np.ndarray) -> list[int]:
+    """The best path of states for (T, S) scores; the lowest state of equals."""
+    best, back = scores[0].astype(float), []
+    for row in scores[1:]:
+        step = best[:, None] + transitions
+        back.append(step.argmax(0))
+        best = step.max(0) + row
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def collapse_path(path: list[int]) -> list[int]:
+    """Labels of a path: a repeat is one label, a blank (0) ends it, so 1 0 1 are two."""
+    out, before = [], 0
+    for x in path:
+        if x and x != before:
+            out.append(x)
+        before = x
+    return out
+
+
+def decode_rows(df: DataFrame, scores: str, steps: int, classes: int, decode: Callable[[np.ndarray], list[int]]) -> DataFrame:
+    """The rows' other columns and their bases, decoded from the first steps * classes scores."""
+    at = df.columns.index(scores)
+    keep = [k for k in range(len(df.columns)) if k != at]
+    schema = ", ".join(f"`{df.columns[k]}` {df.dtypes[k][1]}" for k in keep) + ", bases string"
+    names = [*(df.columns[k] for k in keep), "bases"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([v[: steps * classes] for v in b.column(at).to_pylist()], float).reshape(-1, steps, classes)
+            bases = ["".join(ALPHABET[k] for k in decode(s) if 0 < k < len(ALPHABET)) for s in x]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(bases, pa.string())], names)
+
+    return df.mapInArrow(run, schema)

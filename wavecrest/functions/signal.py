@@ -38,10 +38,56 @@ def normalize_trimmed(df: DataFrame) -> DataFrame:
 
 
 def repair(df: DataFrame, low: float, high: float) -> DataFrame:
-    """A value outside [low, high] takes the last valid one; a first one is clamped."""
-    v, first = F.col("value"), F.row_number().over(in_order()) == 1
-    clamped = F.when(v.between(low, high), v).when(first, F.least(F.greatest(v, F.lit(low)), F.lit(high)))
-    return df.withColumn("y", F.last(clamped, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    """A value outside [low, high] takes the last valid one; a first one takes the bound it is beyond.
+
+    NaN counts as outside only in a read that has another value outside; a first NaN takes the lower bound.
+    """
+    v = F.col("value")
+    nan, first = F.isnan(v), F.row_number().over(in_order()) == 1
+    wanted = F.max(~nan & ((v < low) | (v > high))).over(by_read())
+    held = F.when(~nan & v.between(low, high), v).when(first, F.when(~nan & (v > high), F.lit(high)).otherwise(F.lit(low)))
+    return df.withColumn("y", F.when(wanted, F.last(held, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).otherwise(v))
+
+
+def repair_neighbours(df: DataFrame, low: float, high: float, reach: int = 10) -> DataFrame:
+    """A value outside [low, high] takes the mean of the nearest valid ones within reach on both sides, the one of
+    the only side that has one, or the bound it is beyond."""
+    v = F.col("value")
+    ok = ~F.isnan(v) & v.between(low, high)
+    held = F.when(ok, v)
+    left, right = F.last(held, True).over(in_order().rowsBetween(-reach, -1)), F.first(held, True).over(in_order().rowsBetween(1, reach))
+    bound = F.when(~F.isnan(v) & (v > high), F.lit(high)).otherwise(F.lit(low))
+    return df.withColumn("y", F.when(ok, v).otherwise(F.coalesce((left + right) / 2, left, right, bound)))
+
+
+def repair_by_window(df: DataFrame, low: float, high: float, size: int) -> DataFrame:
+    """Values outside [low, high] take the median of an odd window around, the edge sample standing beyond the ends."""
+    if size % 2 == 0:
+        raise ValueError("the window must be odd")
+    m = _running_median(df, size, nearest=True)
+    return m.withColumn("y", F.when(F.col("value").between(low, high), F.col("value")).otherwise(F.col("y")))
+
+
+def normalize_strict(df: DataFrame) -> DataFrame:
+    """Less the median, over 1.4826 times the median deviation; a read whose deviation is 0 has no rows."""
+    r = df.withColumn("_r", F.col("value") - F.median("value").over(by_read()))
+    r = r.withColumn("_m", 1.4826 * F.median(F.abs("_r")).over(by_read())).where("_m <> 0")
+    return r.withColumn("y", F.col("_r") / F.col("_m")).drop("_r", "_m")
+
+
+def normalize_local(df: DataFrame, size: int) -> DataFrame:
+    """Less the running median, over the running median of the deviations (1.4826 times, one at least)."""
+    size += 1 - size % 2
+    base = median_reflected(df, size).select("read", "pos", F.col("value").alias("_v"), F.abs(F.col("value") - F.col("y")).alias("value"), (F.col("value") - F.col("y")).alias("_r"))
+    scale = median_reflected(base.select("read", "pos", "value"), size).select("read", "pos", F.greatest(1.4826 * F.col("y"), F.lit(1.0)).alias("_m"))
+    return base.join(scale, ["read", "pos"]).select("read", "pos", F.col("_v").alias("value"), (F.col("_r") / F.col("_m")).alias("y"))
+
+
+def normalize_hybrid(df: DataFrame, size: int) -> DataFrame:
+    """Less the running median, over the robust scale of the whole read's residuals."""
+    base = median_reflected(df, size + 1 - size % 2)
+    r = F.col("value") - F.col("y")
+    return base.withColumn("y", r / robust_scale(r))
 
 
 def clip(df: DataFrame, limit: float) -> DataFrame:
@@ -64,14 +110,14 @@ def median_reflected(df: DataFrame, size: int) -> DataFrame:
 
     For small windows; a read's samples are gathered once and padded by an index map of period 2n.
     """
-    half = size // 2
-    reads = df.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))
+    return _running_median(df, size, nearest=False)
 
-    def source(i: Column, n: Column) -> Column:
-        m = F.pmod(i, 2 * n)
-        return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
-    one = F.expr(f"transform(sequence(0, size(s) - 1), i -> array_sort(transform(sequence(i - {half}, i - {half} + {size - 1}), j -> s[if(pmod(j, 2 * size(s)) < size(s), pmod(j, 2 * size(s)), 2 * size(s) - 1 - pmod(j, 2 * size(s)))].value))[{size // 2}])")
+def _running_median(df: DataFrame, size: int, nearest: bool) -> DataFrame:
+    half = size // 2
+    reads = df.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))
+    at = "greatest(0, least(j, size(s) - 1))" if nearest else "if(pmod(j, 2 * size(s)) < size(s), pmod(j, 2 * size(s)), 2 * size(s) - 1 - pmod(j, 2 * size(s)))"
+    one = F.expr(f"transform(sequence(0, size(s) - 1), i -> array_sort(transform(sequence(i - {half}, i - {half} + {size - 1}), j -> s[{at}].value))[{half}])")
     return reads.select("read", F.posexplode(F.arrays_zip(F.col("s"), one.alias("y"))).alias("k", "x")).select("read", F.col("x.s.pos").alias("pos"), F.col("x.s.value").alias("value"), F.col("x.y").alias("y"))
 
 

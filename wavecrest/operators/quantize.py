@@ -74,6 +74,29 @@ def kmeans(df: DataFrame, vector: str, start: np.ndarray, iterations: int) -> np
     return c
 
 
+def pair_cosines(df: DataFrame, codes: np.ndarray, centroids: np.ndarray) -> DataFrame:
+    """One row of sums over the cosines of all ordered pairs of different codes: n, total, total_abs, squares, mx, mn,
+    b1 .. b9 (absolute value below 0.1 .. 0.9) and a9 (above 0.9).  df holds the code and the vector."""
+    shared = df.sparkSession.sparkContext.broadcast((codes, centroids / np.linalg.norm(centroids, axis=1, keepdims=True)))
+    names = ["n", *(f"b{k}" for k in range(1, 10)), "a9", "total", "total_abs", "squares", "mx", "mn"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, c = shared.value
+        step = max(1, 8_000_000 // max(1, len(c)))
+        for b in batches:
+            own, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for a in range(0, len(x), step):
+                s = (x[a : a + step] @ c.T)[own[a : a + step, None] != codes[None]]
+                if len(s):
+                    size = np.abs(s)
+                    row = [len(s), *(int((size < k / 10).sum()) for k in range(1, 10)), int((size > 0.9).sum()), s.sum(), size.sum(), (s * s).sum(), s.max(), s.min()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 11 else pa.float64()) for k, v in enumerate(row)], names)
+
+    parts = df.mapInArrow(run, ", ".join(f"{n} {'long' if k < 11 else 'double'}" for k, n in enumerate(names)))
+    return parts.agg(*((F.max if n == "mx" else F.min if n == "mn" else F.sum)(n).alias(n) for n in names))
+
+
 def format_tokens(ids: Column, prefix: str = "tok", offset: int = 0) -> Column:
     return F.array_join(F.transform(ids, lambda x: F.concat(F.lit(f"<|{prefix}:"), (x + offset).cast("string"), F.lit("|>"))), "")
 
@@ -87,3 +110,23 @@ def select_levels(codes: Column, level: int, n_levels: int) -> Column:
     if not 1 <= level <= n_levels:
         raise ValueError(f"level {level} of {n_levels}")
     return F.slice(codes, 1, level)
+
+
+def level_text(codes: Column, level: int, n_levels: int, prefix: str = "tok") -> Column:
+    """Residual codes, one array for each level, as interleaved token text of the first levels, each with its number."""
+    if not 1 <= level <= n_levels:
+        raise ValueError(f"level {level} of {n_levels}")
+    at = F.sequence(F.lit(0), F.size(codes[0]) - 1)
+    tokens = F.transform(at, lambda i: F.concat(*[F.concat(F.lit(f"<|{prefix}:L{k + 1}_"), F.get(codes[k], i).cast("string"), F.lit("|>")) for k in range(level)]))
+    return F.when(F.size(codes[0]) > 0, F.array_join(tokens, "")).otherwise("")
+
+
+def decode_codes(df: DataFrame, key: str, codes: str, book: DataFrame, code: str, vector: str, target: int) -> DataFrame:
+    """Vectors of the codes one after the other, cut or filled with zeros to the target; an unknown code is an error."""
+    rows = df.select(key, F.posexplode_outer(codes).alias("_i", "_code"))
+    found = rows.join(book.select(F.col(code).alias("_code"), F.col(vector).alias("_v")), "_code", "left")
+    v = F.when(F.col("_code").isNotNull() & F.col("_v").isNull(), F.raise_error(F.concat(F.lit("no code "), F.col("_code").cast("string")))).otherwise(F.col("_v"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("_code").isNotNull(), F.struct(F.col("_i"), v.alias("v"))))), lambda x: x.v))
+    out = found.groupBy(key).agg(flat.alias("signal"))
+    zeros = F.transform(F.array_repeat(F.lit(0), F.greatest(F.lit(target) - F.size("signal"), F.lit(0))), lambda x: x.cast("float"))
+    return out.withColumn("signal", F.concat(F.slice(F.col("signal"), 1, target), zeros))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecrest.sources.scratch import dense_index
+
+#: Groups whose first rank is broadcast; more are joined.
+BROADCAST_GROUPS = 100_000
+
 
 def spread(key: Column, seed: int = 42) -> Column:
     """An arithmetic hash in [0, 1000003) that any SQL engine can compute."""
@@ -22,12 +27,26 @@ def group_split(groups: DataFrame, key: str, order: Column, ratios: tuple[float,
 
 
 def sample_per_group(df: DataFrame, group: str, order: list[Column], ratio: float) -> DataFrame:
-    """int(n * ratio) rows of each group, without replacement."""
+    """int(n * ratio) rows of each group, without replacement; ranks are global, so a hot group is no hot task."""
     if not 0 <= ratio <= 1:
         raise ValueError("the ratio must be between 0 and 1")
-    w = Window.partitionBy(group)
-    return df.withColumn("_k", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w)).where(F.col("_k") <= F.floor(F.col("_n") * ratio)).drop("_k", "_n")
+    at = dense_index(df, group, *order, name="_index")
+    groups = at.groupBy(group).agg(F.min("_index").alias("_first"), F.count("*").alias("_n"))
+    groups = groups.withColumnRenamed(group, "_group")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    inside = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_index") >= F.col("_first"))
+    return at.join(groups, inside).where(F.col("_index") - F.col("_first") < F.floor(F.col("_n") * ratio)).select(*df.columns)
 
 
 def bernoulli(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     return df.where(spread(F.col(key), seed) < 1000003 * ratio)
+
+
+def fixed_sample(df: DataFrame, key: str, ratio: float, least: int = 0) -> DataFrame:
+    """int(n * ratio) rows of the whole table, so many at least, in order of a hash of the key."""
+    if not 0 <= ratio <= 1:
+        raise ValueError("the ratio must be between 0 and 1")
+    n = max(least, int(df.count() * ratio))
+    at = dense_index(df.withColumn("_hash", spread(F.col(key))), "_hash", key, name="_rank")
+    return at.where(F.col("_rank") < n).drop("_hash", "_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,67 @@ def overlap_plan(chunk_size: int, window: int, target: int) -> dict[str, int]:
     if overlap >= chunk_size:
         raise ValueError("the overlap must be smaller than the chunk")
     return {"chunk_size": chunk_size, "window": window, "overlap": overlap, "stride": chunk_size - overlap, "tokens": chunk_size // window}
+
+
+def micro_batches(chunk_index: Column, most: int) -> Column:
+    """Number of the batch of at most so many chunks that a chunk of a read goes with."""
+    if most <= 0:
+        raise ValueError("a batch has one chunk at least")
+    return F.floor(chunk_index / most)
+
+
+def logic_chunks_whole(size: int, logic: int) -> int:
+    """How many sub-windows without overlap a chunk has, which they must fill."""
+    if logic <= 0 or size % logic:
+        raise ValueError(f"{size} isn't a multiple of {logic}")
+    return size // logic
+
+
+def margin_windows(df: DataFrame, data: str, tokens: int, stride: int, margin: int = 2, receptive: int = 1) -> DataFrame:
+    """Windows of tokens * stride samples that overlap by a margin of tokens on both sides, zeros after the end.
+
+    Adds window, n_windows, n_tokens (of the whole: ceil(samples / stride)) and chunk.  Shorter input
+    than the receptive field has no window.
+    """
+    size, step = tokens * stride, (tokens - 2 * margin) * stride
+    if step <= 0:
+        raise ValueError("the margins leave nothing of a window")
+    n = F.size(data)
+    count = F.when(n < receptive, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - size) / step) + 1)).cast("int")
+    rows = df.withColumn("n_windows", count).where("n_windows > 0").withColumn("n_tokens", F.ceil(n / stride)).withColumn("window", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    own = F.slice(data, F.col("window") * step + 1, F.lit(size))
+    pad = F.array_repeat(F.lit(0.0), size - F.size(own))
+    return rows.withColumn("chunk", F.concat(own, pad))
+
+
+def stitch_windows(df: DataFrame, keys: list[str], codes: str, margin: int = 2) -> DataFrame:
+    """The windows' codes as one array: the first keeps all but its last margin, the last all but its first,
+    others neither margin; cut, or filled with zeros, to n_tokens."""
+    t, k = F.size(codes), F.col("window")
+    first, last = k == 0, k == F.col("n_windows") - 1
+    start = F.when(first, 1).otherwise(margin + 1)
+    length = t - F.when(first, 0).otherwise(margin) - F.when(last, 0).otherwise(margin)
+    part = df.withColumn("_part", F.slice(codes, start, F.greatest(length, F.lit(0))))
+    whole = part.groupBy(*keys).agg(F.max("n_tokens").cast("int").alias("n_tokens"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window", "_part"))), lambda x: x["_part"])).alias("codes"))
+    zeros = F.transform(F.array_repeat(F.lit(0), F.greatest(F.col("n_tokens") - F.size("codes"), F.lit(0))), lambda x: x.cast("bigint"))
+    return whole.withColumn("codes", F.concat(F.slice("codes", F.lit(1), F.col("n_tokens")), zeros))
+
+
+def token_cut(tokens: Column, total_tokens: Column, bases: Column) -> Column:
+    """The base at which so many tokens of a piece end, halves to even; 0 without tokens."""
+    return F.coalesce(F.bround(F.try_divide(tokens * bases, total_tokens)), F.lit(0.0)).cast("int")
+
+
+def stitch_by_tokens(df: DataFrame, keys: list[str], order: str, bases: str, tokens: str, size: int, overlap: int) -> DataFrame:
+    """Called bases of overlapping token windows joined; at each inner edge half of the overlap goes.
+
+    The end of the last but one piece depends on how far the last one reaches back: its overlap is
+    size less the rest of the whole, stub = (total - overlap) mod (size - overlap).
+    """
+    w, half = Window.partitionBy(*keys), overlap // 2
+    rows = df.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w)).withColumn("_total", F.max(F.col(order) + F.col(tokens)).over(w))
+    n = F.length(bases)
+    left = F.when(F.col("_k") == 1, 0).otherwise(token_cut(F.lit(half), F.col(tokens), n))
+    right = F.when(F.col("_k") == F.col("_n"), n).otherwise(n - token_cut(F.lit(overlap - half), F.col(tokens), n))
+    part = rows.withColumn("_part", F.substring(bases, left + 1, F.greatest(right - left, F.lit(0))))
+    return part.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "").alias("bases"), F.first(F.pmod(F.col("_total") - overlap, F.lit(size - overlap))).alias("stub"))

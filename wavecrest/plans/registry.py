@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wavecrest.plans import signal_queries, token_queries
+from wavecrest.plans import decode_queries, file_queries, signal_queries, token_queries
 
-QUERIES = signal_queries.QUERIES | token_queries.QUERIES
-ORACLES = signal_queries.ORACLES | token_queries.ORACLES
+_PARTS = (signal_queries, token_queries, file_queries, decode_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

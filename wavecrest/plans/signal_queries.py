@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
 from wavecrest.operators import windows as W
+from wavecrest.sources.scratch import total_before
 from wavecrest.sources.tables import samples, signals, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,14 +192,11 @@ def chunk_headcut(spark, sf_dir):
 l as (select *, unnest(generate_series(0, 3)) as sub from p) select read, chunk_start, sub::bigint as sub, chunk_start + sub::int * 8 as logic_start, (chunk * 4 + sub)::bigint as logic_id from l""",
 )
 def chunk_logic(spark, sf_dir):
-    """Sub-windows of 16 with overlap 8 in physical chunks of 40, by a global index.
-
-    Chunks get dense numbers by read through running counts of reads, so no window holds all chunks.
-    """
+    """Sub-windows of 16 with overlap 8 in physical chunks of 40, by a global index: reads in order, each after
+    the chunks of all former ones."""
     per = W.logic_chunks(40, 16, 8)
     reads = signals(spark, sf_dir).select("read", F.floor(F.size("signal") / 40).cast("int").alias("k"))
-    before = reads.alias("a").join(reads.alias("b"), F.col("b.read") < F.col("a.read"), "left").groupBy("a.read").agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("base"))
-    rows = reads.where("k > 0").join(before, "read").select("read", "base", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    rows = total_before(reads, "k", "read", name="base").where("k > 0").select("read", "base", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)).alias("sub"))
     return rows.select("read", (F.col("c") * 40).alias("chunk_start"), "sub", (F.col("c") * 40 + F.col("sub").cast("int") * 8).alias("logic_start"), ((F.col("base") + F.col("c")) * 4 + F.col("sub")).alias("logic_id"))
 
@@ -244,14 +242,63 @@ def entry_chunk_profile(spark, sf_dir):
     return p.select("read", "chunk_start", *((F.round(c, 6) + 0.0).alias(c) for c in ("mn", "mx", "mean", "sd")))
 
 
-@query(
-    "qc_skip_reasons",
-    _READS + " select reason, count(*) as n_reads, sum(n)::bigint as n_samples from (select n, case when n = 0 then 'empty' when n < 60 then 'too_short' when list_max(d) > 500 then 'raw_range' when list_avg(d) > 55 then 'high_mean' else 'ok' end as reason from a) group by reason",
+_QC = (
+    "with e as (select user_id as read, event_id as pos, case when event_id % 997 = 0 then 'nan'::double else value end as value from events)"
+    + MAD.format("e")
+    + ", a as (select read, count(*) as n, bool_or(isnan(value)) as nan, max(value) as mx, min(value) as mn, max(abs(r / sc)) as far from s group by read), r as (select read, n, case when n = 0 then 'empty' when nan then 'nan' when mx > 500 or mn < 0 then 'raw_range' when far > 9 then 'norm_range' when n < 100 then 'too_short' else 'ok' end as reason from a)"
 )
+
+
+@query("qc_skip_reasons", _QC + " select reason, count(*) as n_reads, sum(n)::bigint as n_samples from r group by reason")
 def qc_skip_reasons(spark, sf_dir):
-    n, mean = F.size("signal"), F.aggregate("signal", F.lit(0.0), lambda a, x: a + x) / F.size("signal")
-    reason = F.when(n == 0, "empty").when(n < 60, "too_short").when(F.array_max("signal") > 500, "raw_range").when(mean > 55, "high_mean").otherwise("ok")
-    return signals(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n_reads"), F.sum(n).alias("n_samples"))
+    return _qc(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n_reads"), F.sum("n").alias("n_samples"))
+
+
+@query("qc_file_counts", _QC + " select read % 5 as file, count(*) as n_reads, count(*) filter (where reason = 'ok') as n_valid, sum(case when reason = 'ok' then n // 16 else 0 end)::bigint as chunks from r group by 1")
+def qc_file_counts(spark, sf_dir):
+    """Reads, valid reads and whole chunks of each file (five of them)."""
+    ok = F.col("reason") == "ok"
+    return _qc(spark, sf_dir).groupBy((F.col("read") % 5).alias("file")).agg(F.count("*").alias("n_reads"), F.count_if(ok).alias("n_valid"), F.sum(F.when(ok, F.floor(F.col("n") / 16)).otherwise(0)).alias("chunks"))
+
+
+def _qc(spark, sf_dir) -> DataFrame:
+    """read, n and the first reason that holds: no samples, NaN, raw range, range after normalisation, length."""
+    x = samples(spark, sf_dir).withColumn("value", F.when(F.col("pos") % 997 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    per = S.normalize(x).groupBy("read").agg(F.count("*").alias("n"), F.max(F.isnan("value")).alias("nan"), F.max("value").alias("mx"), F.min("value").alias("mn"), F.max(F.abs("y")).alias("far"))
+    reason = F.when(F.col("n") == 0, "empty").when(F.col("nan"), "nan").when((F.col("mx") > 500) | (F.col("mn") < 0), "raw_range").when(F.col("far") > 9, "norm_range").when(F.col("n") < 100, "too_short").otherwise("ok")
+    return per.select("read", "n", reason.alias("reason"))
+
+
+_OVER = "over (partition by read order by pos rows between"
+
+
+@query("sig_normalize_strict", BASE + ", m as (select *, value - median(value) over (partition by read) as r from e), s as (select *, 1.4826 * median(abs(r)) over (partition by read) as sc from m) select read, pos, round(r / sc, 6) + 0.0 as y from s where sc <> 0")
+def sig_normalize_strict(spark, sf_dir):
+    return _y(S.normalize_strict(samples(spark, sf_dir)))
+
+
+@query("sig_normalize_hybrid", BASE + _reflect("e", 7, "b") + " select read, pos, round((value - base) / greatest(1.4826 * median(abs(value - base)) over (partition by read), 1.0), 6) + 0.0 as y from b")
+def sig_normalize_hybrid(spark, sf_dir):
+    return _y(S.normalize_hybrid(samples(spark, sf_dir), 6))
+
+
+@query("sig_normalize_local", BASE + _reflect("e", 7, "b") + ", d as (select read, pos, abs(value - base) as value from b)" + _reflect("d", 7, "g") + " select b.read, b.pos, round((b.value - b.base) / greatest(1.4826 * g.base, 1.0), 6) + 0.0 as y from b join g using (read, pos)")
+def sig_normalize_local(spark, sf_dir):
+    return _y(S.normalize_local(samples(spark, sf_dir), 6))
+
+
+@query("sig_repair_neighbours", BASE + f", h as (select *, case when value between 20 and 80 then value end as ok from e), k as (select *, last_value(ok ignore nulls) {_OVER} 3 preceding and 1 preceding) as a, first_value(ok ignore nulls) {_OVER} 1 following and 3 following) as b from h) select read, pos, round(coalesce(ok, (a + b) / 2, a, b, case when value > 80 then 80.0 else 20.0 end), 6) + 0.0 as y from k")
+def sig_repair_neighbours(spark, sf_dir):
+    return _y(S.repair_neighbours(samples(spark, sf_dir), 20.0, 80.0, 3))
+
+
+@query(
+    "sig_repair_window",
+    BASE
+    + f", k as (select *, list_sort([coalesce(lag(value, 2) over w, first_value(value) {_OVER} unbounded preceding and current row)), coalesce(lag(value, 1) over w, value), value, coalesce(lead(value, 1) over w, value), coalesce(lead(value, 2) over w, last_value(value) {_OVER} current row and unbounded following))])[3] as m from e window w as (partition by read order by pos)) select read, pos, round(case when value between 20 and 80 then value else m end, 6) + 0.0 as y from k",
+)
+def sig_repair_window(spark, sf_dir):
+    return _y(S.repair_by_window(samples(spark, sf_dir), 20.0, 80.0, 5))
 
 
 def fixed_histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -283,25 +330,29 @@ def hist_merge(spark, sf_dir):
     return merged.join(total).select("bin", "n", F.round(F.col("n") / F.col("t"), 9).alias("ratio"))
 
 
-@query("global_stats_5sigma", "with g as (select avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as s from lineitem) select count(*) as n, min(l_extendedprice) as mn, max(l_extendedprice) as mx, round(any_value(m), 4) as mean, round(any_value(s), 4) as sd, count(*) filter (where abs(l_extendedprice - m) > 2 * s) as outliers from lineitem, g")
-def global_stats_5sigma(spark, sf_dir):
-    """Two sigmas here, so that the table has outliers."""
-    v = table(spark, sf_dir, "lineitem").select("l_extendedprice")
-    g = F.broadcast(v.agg(F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s")))
-    x = F.col("l_extendedprice")
-    return v.join(g).agg(F.count("*").alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.round(F.any_value("m"), 4).alias("mean"), F.round(F.any_value("s"), 4).alias("sd"), F.count_if(F.abs(x - F.col("m")) > 2 * F.col("s")).alias("outliers"))
-
-
 @query("extreme_reads", "select user_id as read, min(value) + 0.0 as mn, max(value) as mx from events group by 1 having max(value) > 200 or min(value) < -200")
 def extreme_reads(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("read").agg((F.min("value") + 0.0).alias("mn"), F.max("value").alias("mx")).where("mx > 200 or mn < -200")
 
 
-@query("dwa_weights", BASE + ", a as (select read, pos, avg(value) over (partition by read order by pos rows between 4 preceding and current row) as f, avg(value) over (partition by read order by pos rows between 19 preceding and current row) as s from e) select read, pos, round(f / (s + 1e-8), 6) + 0.0 as ratio, round(exp(-f / (s + 1e-8)), 6) + 0.0 as weight from a")
+_LOSSES = ("value + 1", "201 - least(value, 200)", "abs(value - 50) + 1")
+_FAST = ", ".join(f"avg({x}) {_OVER} 4 preceding and current row) / (avg({x}) {_OVER} 19 preceding and current row) + 1e-8) as r{k}" for k, x in enumerate(_LOSSES))
+
+
+@query("dwa_weights", BASE + f", a as (select read, pos, row_number() over (partition by read order by pos) as step, {_FAST} from e) select read, pos, " + ", ".join(f"round(case when step <= 10 then 1 / 3.0 else exp(-r{k}) / (t + case when t + 1e-8 <= 1 then 0 else 1e-8 end) end::double, 6) as w{k}" for k in range(3)) + " from (select *, exp(-r0) + exp(-r1) + exp(-r2) as t from a)")
 def dwa_weights(spark, sf_dir):
-    fast, slow = F.avg("value").over(S.in_order().rowsBetween(-4, 0)), F.avg("value").over(S.in_order().rowsBetween(-19, 0))
-    r = samples(spark, sf_dir).withColumn("r", fast / (slow + 1e-8))
-    return r.select("read", "pos", (F.round("r", 6) + 0.0).alias("ratio"), (F.round(F.exp(-F.col("r")), 6) + 0.0).alias("weight"))
+    """Three losses of each step: softmax of minus the ratio of trailing means over 5 and 20 steps, then the
+    projection on the bounds (none here but 0 and 1); the first ten steps have equal weights."""
+    from wavecrest.functions.weights import box_projection
+
+    rows = samples(spark, sf_dir)
+    loss = [F.expr(x) for x in _LOSSES]
+    ratio = [F.avg(x).over(S.in_order().rowsBetween(-4, 0)) / (F.avg(x).over(S.in_order().rowsBetween(-19, 0)) + 1e-8) for x in loss]
+    e = rows.select("read", "pos", F.row_number().over(S.in_order()).alias("step"), *(F.exp(-r).alias(f"e{k}") for k, r in enumerate(ratio)))
+    total = F.col("e0") + F.col("e1") + F.col("e2") + 1e-8
+    w = e.withColumn("w", F.when(F.col("step") <= 10, F.array(*[F.lit(1 / 3)] * 3)).otherwise(F.array(*(F.col(f"e{k}") / total for k in range(3)))))
+    w = box_projection(w.select("read", "pos", "w"), "w", [0.0] * 3, [1.0] * 3)
+    return w.select("read", "pos", *(F.round(F.col("w")[k], 6).alias(f"w{k}") for k in range(3)))
 
 
 @query("tumbling_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

@@ -82,17 +82,27 @@ def codebook_metrics(spark, sf_dir):
     return d.agg(F.round(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)), 6).alias("entropy"), *tops, F.round(F.sum(F.when(F.col("k") <= 10, F.col("p")).otherwise(0.0)) * 32, 6).alias("top10"), F.round(F.sum(kl), 6).alias("kl"), (F.count_if(F.col("n") > 0) / 32.0).alias("usage"))
 
 
+_ORTHO = "with c as (select vec_id, embedding::double[] as v from embeddings), s as (select list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.v, lambda x: x * x)) * list_sum(list_transform(b.v, lambda x: x * x))) as s from c a, c b where a.vec_id <> b.vec_id), "
+
+
 @query(
     "codebook_orthogonality",
-    "with c as (select vec_id, embedding::double[] as v from embeddings where vec_id < 64), s as (select list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.v, lambda x: x * x)) * list_sum(list_transform(b.v, lambda x: x * x))) as s from c a, c b where a.vec_id <> b.vec_id) select count(*) as n, round(avg(abs(s)), 6) as mean_abs, round(max(s), 6) as mx, round(min(s), 6) as mn, round(stddev_pop(s), 6) as sd, count(*) filter (where abs(s) < 0.1) as below_01, count(*) filter (where abs(s) > 0.9) as above_09 from s",
+    _ORTHO
+    + "t as (select count(*) as n, avg(abs(s)) as m, max(s) as mx, min(s) as mn, stddev_pop(s) as sd, "
+    + ", ".join(f"count(*) filter (where abs(s) < 0.{k}) as b{k}" for k in range(1, 10))
+    + ", count(*) filter (where abs(s) > 0.9) as a9 from s) select n, round(m, 6) as mean_abs, round(mx, 6) as mx, round(mn, 6) as mn, round(sd, 6) as sd, "
+    + ", ".join(f"round(b{k} / n, 6) as below_0{k}" for k in range(1, 10))
+    + ", round(a9 / n, 6) as above_09, case when m < 0.05 then 'excellent' when m < 0.1 then 'good' when m < 0.2 then 'fair' else 'poor' end as grade from t",
 )
 def codebook_orthogonality(spark, sf_dir):
-    """All pairs of a codebook: bounded by the codebook, which is the broadcast side."""
-    c = table(spark, sf_dir, "embeddings").where("vec_id < 64").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, p: a + p)
-    a, b = c.alias("a"), F.broadcast(c.alias("b"))
-    s = a.join(b, F.col("a.vec_id") != F.col("b.vec_id")).select((dot(F.col("a.v"), F.col("b.v")) / F.sqrt(dot(F.col("a.v"), F.col("a.v")) * dot(F.col("b.v"), F.col("b.v")))).alias("s"))
-    return s.agg(F.count("*").alias("n"), F.round(F.avg(F.abs("s")), 6).alias("mean_abs"), F.round(F.max("s"), 6).alias("mx"), F.round(F.min("s"), 6).alias("mn"), F.round(F.stddev_pop("s"), 6).alias("sd"), F.count_if(F.abs("s") < 0.1).alias("below_01"), F.count_if(F.abs("s") > 0.9).alias("above_09"))
+    """All pairs of a codebook, the whole table here: blocks of it against the broadcast codebook, whose size is checked."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    s = V.pair_cosines(e, *V.load_codebook(e, "vec_id", "embedding"))
+    m = F.col("total_abs") / F.col("n")
+    mean = F.col("total") / F.col("n")
+    share = [F.round(F.col(f"b{k}") / F.col("n"), 6).alias(f"below_0{k}") for k in range(1, 10)]
+    grade = F.when(m < 0.05, "excellent").when(m < 0.1, "good").when(m < 0.2, "fair").otherwise("poor")
+    return s.select("n", F.round(m, 6).alias("mean_abs"), F.round("mx", 6).alias("mx"), F.round("mn", 6).alias("mn"), F.round(F.sqrt(F.col("squares") / F.col("n") - mean * mean), 6).alias("sd"), *share, F.round(F.col("a9") / F.col("n"), 6).alias("above_09"), grade.alias("grade"))
 
 
 _RES = _NEAR + f", y as (select x.vec_id, n.code as l1, list_transform(list_zip(x.v, c.v), lambda p: p[1] - p[2]) as v from x join n using (vec_id) join c on c.code = n.code) select x.vec_id, any_value(x.l1) as level1, arg_min(c.code, (round({_DIST}, 9), c.code)) as level2 from y x, c group by x.vec_id"
@@ -286,15 +296,23 @@ def left_default_zero(spark, sf_dir):
 _OFF = "with s as (select source, sum(n) over (order by source) - n as lo, sum(n) over (order by source) as hi from (select source, count(*) as n from documents group by source)), i as (select row_number() over (order by doc_id) - 1 as g from documents)"
 
 
-@query("range_locate", _OFF + " select i.g::bigint as g, s.source, (i.g - s.lo)::bigint as local from i join s on s.lo <= i.g and i.g < s.hi where i.g % 7 = 0")
+@query("range_locate", _OFF + " select i.g::bigint as g, s.source, (i.g - s.lo)::bigint as local from i join s on s.lo <= i.g and i.g < s.hi")
 def range_locate(spark, sf_dir):
-    """Global indices to shard and local index; a manifest is one row for each shard."""
+    """Global indices to shard and local index; a manifest has one row for each shard, broadcast if they are few."""
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     w = Window.orderBy("source")
     manifest = n.select("source", (F.sum("n").over(w) - F.col("n")).alias("lo"), F.sum("n").over(w).alias("hi"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    wanted = spark.range(0, total, 7).withColumnRenamed("id", "g")
-    return wanted.join(manifest, (F.col("lo") <= F.col("g")) & (F.col("g") < F.col("hi"))).select("g", "source", (F.col("g") - F.col("lo")).alias("local"))
+    total, shards = n.agg(F.sum("n"), F.count("*")).first()
+    wanted = spark.range(0, total or 0).withColumnRenamed("id", "g")
+    inside = (F.col("lo") <= F.col("g")) & (F.col("g") < F.col("hi"))
+    if shards <= 100_000:
+        found = wanted.join(F.broadcast(manifest), inside)
+    else:
+        # an equality on blocks of indices, each shard in all blocks that it reaches
+        block = 1 << 20
+        spread = manifest.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
+        found = wanted.withColumn("block", F.floor(F.col("g") / block)).join(spread, "block").where(inside)
+    return found.select("g", "source", (F.col("g") - F.col("lo")).alias("local"))
 
 
 @query("shard_manifest", "select source, count(*) as num_samples, sum(n_chars)::bigint as total_chars from documents group by source order by num_samples desc, source")
@@ -325,12 +343,6 @@ def stitch_chunks(spark, sf_dir):
     return s.select("conv_id", F.md5(F.array_join(F.transform("s", lambda x: x.x), "")).alias("digest"))
 
 
-@query("fastq_format", "select doc_id, md5('@' || doc_id::varchar || chr(10) || substr(lang, 1, 2) || chr(10) || '+' || chr(10) || repeat(chr((greatest(0, least(n_chars, 93)) + 33)::int), 2)) as record from documents")
-def fastq_format(spark, sf_dir):
-    q = F.repeat(Q.phred(F.col("n_chars")), 2)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws("\n", F.concat(F.lit("@"), F.col("doc_id").cast("string")), F.substring("lang", 1, 2), F.lit("+"), q)).alias("record"))
-
-
 def _aligned(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
     return b.select("item_id", "ref", F.concat(F.substring("ref", 4, 20), F.lit("x"), F.substring("ref", F.lit(25), F.length("ref"))).alias("query"))
@@ -354,11 +366,3 @@ def align_errors(spark, sf_dir):
 def indel_align(spark, sf_dir):
     a = _aligned(spark, sf_dir).withColumn("x", Q.indel_align("query", "ref"))
     return a.select("item_id", F.col("x.query").alias("query"), F.col("x.ref").alias("ref"))
-
-
-@query("confusion_counts", "with p as (select substr(text, i::int, 1) as a, substr(text, i::int + 1, 1) as b from (select text, unnest(generate_series(1, least(length(text) - 1, 200))) as i from benchmark)) select a, b, count(*) as n from p where a in ('a', 't', 'e', 'n', 'o') and b in ('a', 't', 'e', 'n', 'o') and a <> b group by a, b")
-def confusion_counts(spark, sf_dir):
-    i = F.explode(F.sequence(F.lit(1), F.least(F.length("text") - 1, F.lit(200))))
-    p = table(spark, sf_dir, "benchmark").where(F.length("text") > 1).select("text", i.alias("i")).select(F.substring("text", F.col("i"), F.lit(1)).alias("a"), F.substring("text", F.col("i") + 1, F.lit(1)).alias("b"))
-    letters = list("ateno")
-    return p.where(F.col("a").isin(letters) & F.col("b").isin(letters) & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
