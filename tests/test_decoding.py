@@ -143,3 +143,17 @@ def test_codes_out_of_range(spark):
         V.decode_codes(spark.createDataFrame([(1, [7])], "k long, codes array<long>"), "k", "codes", book, "code", "v", 5).collect()
     with pytest.raises(ValueError):
         V.level_text(F.array(), 3, 2)
+
+
+def test_kmeans_redo(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.1, (40, 2)) for m in ((0, 0), (5, 5), (0, 9))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    c = V.fit_kmeans(df, "id", "v", 3, 8, redo=6)
+    out = V.assign(df, "id", "v", c).orderBy("id").collect()
+    assert len({(r.id // 40, r.cluster) for r in out}) == 3
+    assert np.allclose([r.distance for r in out], ((x - c[[r.cluster for r in out]]) ** 2).sum(1))
+    few = V.fit_kmeans(df, "id", "v", 3, 2, most_per_code=10)
+    assert few.shape == (3, 2)
+    with pytest.raises(ValueError):
+        V.fit_kmeans(df, "id", "v", 500, 1)

@@ -74,6 +74,45 @@ def kmeans(df: DataFrame, vector: str, start: np.ndarray, iterations: int) -> np
     return c
 
 
+def fit_kmeans(df: DataFrame, key: str, vector: str, k: int, iterations: int, redo: int = 1, most_per_code: int | None = None, seed: int = 42) -> np.ndarray:
+    """Centroids of the best of several runs, by the sum of squared distances over the rows used.
+
+    most_per_code bounds the rows used to k times that many, by a hash of the key; starts are rows in the
+    order of another hash for each run.  Fewer rows than k are an error.
+    """
+    n = df.count()
+    if n < k:
+        raise ValueError(f"{n} rows for {k} codes")
+    rows = df.select(key, vector)
+    if most_per_code is not None and n > k * most_per_code:
+        share = k * most_per_code / n
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    rows = rows.cache()
+    best, least = None, np.inf
+    for turn in range(redo):
+        first = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1 + turn)), key).limit(k).collect()
+        c = kmeans(rows, vector, np.array([r[vector] for r in first], float), iterations)
+        cost = assign(rows, key, vector, c).agg(F.sum("distance")).first()[0]
+        if cost < least:
+            best, least = c, cost
+    rows.unpersist()
+    return best
+
+
+def assign(df: DataFrame, key: str, vector: str, centroids: np.ndarray) -> DataFrame:
+    """key, cluster and squared distance of every row."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            k = _nearest(x, c)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(((x - c[k]) ** 2).sum(1) if len(x) else np.empty(0))], [key, "cluster", "distance"])
+
+    return df.select(key, vector).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, cluster long, distance double")
+
+
 def pair_cosines(df: DataFrame, codes: np.ndarray, centroids: np.ndarray) -> DataFrame:
     """One row of sums over the cosines of all ordered pairs of different codes: n, total, total_abs, squares, mx, mn,
     b1 .. b9 (absolute value below 0.1 .. 0.9) and a9 (above 0.9).  df holds the code and the vector."""

@@ -221,6 +221,14 @@ def kmeans_tokens(spark, sf_dir):
     return per.select("read", F.size("s").cast("long").alias("n"), V.format_tokens(F.transform("s", lambda x: x.code)).alias("text"))
 
 
+@query("code_distances", _CODES + f" select vec_id, cluster, round(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) as distance from (select x.vec_id, any_value(x.v) as v, arg_min(c.code, (round({_DIST}, 9), c.code)) as cluster, arg_min(c.v, (round({_DIST}, 9), c.code)) as w from x, c group by x.vec_id)")
+def code_distances(spark, sf_dir):
+    """Identity, cluster and squared distance of every vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    _, c = V.load_codebook(e.where("vec_id < 16"), "vec_id", "embedding")
+    return V.assign(e, "vec_id", "embedding", c).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
 @query("level_text", f"select vec_id, '<|tok:L1_' || level1 || '|><|tok:L2_' || level2 || '|>' as text from ({_RES})")
 def level_text(spark, sf_dir):
     return _coded(spark, sf_dir, 2).select("vec_id", V.level_text(F.transform("codes", lambda x: F.array(x)), 2, 2).alias("text"))
