@@ -228,6 +228,44 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i) for i in (1001, 1002, 1003, 1004, 1005))
 
 
+def test_embeddings_of_other_lengths(spark, monkeypatch):
+    """Vectors of uncommon lengths link among themselves; large leaves and repeated rows count each link once."""
+    monkeypatch.setattr(emb, "LEAF_ROWS", 40)
+    monkeypatch.setattr(emb, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(24)
+    rows = [(k, (base + 0.05 * rng.standard_normal(24)).tolist(), 1) for k in range(150)]
+    rows += [(200 + k, [1.0, 2.0, 3.0 + k / 100], 1) for k in range(5)] + [(300 + k, np.ones(40).tolist(), 1) for k in range(3)] + [(400, [1.0], 1), (401, [2.0], 1), (402, [-1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in emb.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=20).collect()}
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e, _ in rows}
+    for i, x in unit.items():
+        n = sum(j != i and len(y) == len(x) and x @ y >= 0.98 for j, y in unit.items())
+        assert got[i][0] <= n and (i < 200 or got[i][0] == n), i
+    assert sum(got[i][0] for i in range(150)) >= 0.9 * sum(unit[i] @ unit[j] >= 0.98 for i in range(150) for j in range(150) if i != j)
+    assert {got[i][1] for i in range(200, 205)} == {200} and {got[i][1] for i in range(300, 303)} == {300}
+    assert got[401] == (1, 400, False) and got[402] == (0, 402, True)
+    assert emb.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_forest_recall_when_deep():
+    """Pairs at the threshold still meet in some tree after 14 splits."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    forest = emb.Forest(x, 14, 5, 0.9 * np.sqrt(2 - 2 * 0.98) / np.sqrt(64))
+    met = np.zeros(2000, bool)
+    both = np.concatenate([x[:2000], y[:2000]])
+    for _, row, at in forest.leaves(both):
+        leaves = [set() for _ in both]
+        for r, leaf in zip(row.tolist(), at.tolist(), strict=True):
+            leaves[r].add(leaf)
+        met |= np.array([bool(leaves[k] & leaves[2000 + k]) for k in range(2000)])
+    assert met.mean() >= 0.9
+
+
 def test_statistics():
     rnd = random.Random(8)
     for _ in range(200):

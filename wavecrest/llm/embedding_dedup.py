@@ -3,14 +3,16 @@
 Equal vectors of a label are one node with a multiplicity.  Each tree splits by a random direction
 per level at a threshold (the median of the sample rows in that node), and a vector within the margin
 of the threshold goes to both sides, so that close vectors seldom part; several trees make a pair
-that parted in one meet in another.  Vectors of one label in one leaf are compared; a leaf above
-LEAF_ROWS is compared block by block, every block against every other, so none is cut.  Links with
-cosine at or above the threshold are united over the whole table.
-
-The thresholds come from at most SAMPLE_ROWS rows (a documented bound); every row is indexed.
-Null labels, null or zero vectors, vectors with null or non-finite components and vectors whose
-length differs from the table's commonest: linked with nothing.  Equal rows are links of each other.
-Other columns are ignored; an empty table gives no rows.
+that parted in one meet in another.  Vectors of one label and length in one leaf are compared; a leaf above
+LEAF_ROWS is compared block by block, every block against every other, so none is cut.  A pair counts
+in the first leaf that both are in; what leaves a block are its rows' numbers of links, and stars of
+linked rows, so a group of many alike gives no rows for its pairs.  Stars are united over the table.
+
+The thresholds come from at most SAMPLE_ROWS rows of the commonest length (a documented bound); every
+row is indexed, others by the components that they have in common with it.  Null labels, null or zero
+vectors, and vectors with null or non-finite components: linked with nothing.  Equal rows are links of
+each other.  Rows that repeat an id are rows of their own with one id.  Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import shared_dir, table
-from wavecrest.llm.graph import components
+from wavecrest.llm.common import materialize, shared_dir, table
+from wavecrest.llm.graph import components, stars
 
 SAMPLE_ROWS = 20_000
 LEAF_ROWS, BLOCK_ROWS = 768, 384
@@ -58,8 +60,9 @@ class Forest:
 
     def leaves(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each tree: row numbers and leaves; a row in the margin of a split is in both sides."""
+        d = min(unit.shape[1], self.way.shape[2])
         for t, own in enumerate(self.nodes):
-            shot = unit @ self.way[t].T
+            shot = unit[:, :d] @ self.way[t, :, :d].T
             row, at = np.arange(len(unit)), np.ones(len(unit), np.int64)
             for k in range(self.depth):
                 cut = own[at] if k < NODE_LEVELS else self.level[t, k]
@@ -70,7 +73,7 @@ class Forest:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, unit vector (doubles) and digest of the raw one; null where it links with nothing."""
+    """vec_id, label, size, unit vector (doubles) and digest of the raw one; null where it links with nothing."""
     for batch in batches:
         unit, f1, f2 = [], [], []
         for x, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -82,29 +85,63 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = xxhash.xxh3_128_intdigest((v + 0.0).tobytes())
             unit.append((v / norm).tobytes())
             f1.append((d >> 64) - (1 << 63)), f2.append((d & ((1 << 64) - 1)) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(unit, pa.binary()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["vec_id", "label", "unit", "f1", "f2"])
+        size = pa.array([None if u is None else len(u) // 8 for u in unit], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, pa.array(unit, pa.binary()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["vec_id", "label", "size", "unit", "f1", "f2"])
+
+
+#: A leaf of a tree as one number: tree << LEAF_BITS | leaf.
+LEAF_BITS = 48
+KEYS = ["label", "size", "leaf", "bi", "bj"]
+
+
+def first_met(codes: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
+    """Whether this leaf is the first one that both rows of a pair are in; codes: each row's leaves, ascending."""
+    width = max(map(len, codes))
+    table = np.full((len(codes), width), -1, np.int64)
+    for k, c in enumerate(codes):
+        table[k, : len(c)] = c
+    out = np.empty(len(i), bool)
+    step = max(1, 4_000_000 // (width * width))
+    for a in range(0, len(i), step):
+        x, y = table[i[a : a + step]], table[j[a : a + step]]
+        common = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+        out[a : a + step] = x[np.arange(len(x)), common.argmax(1)] == leaf
+    return out
 
 
 def _compare(cosine: float):
-    """Rows sorted by (label, tree, leaf, bi, bj): the links within each group, or between its blocks."""
+    """Rows sorted by KEYS: links within each group, or between its blocks, as numbers of links (vec_id, d) and stars (a, b)."""
+    names = ["vec_id", "d", "a", "b"]
 
-    def links(ids: np.ndarray, unit: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(unit: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if side.any():
             a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
             i, j = np.nonzero(unit[a] @ unit[b].T >= cosine)
-            i, j = a[i], b[j]
-        else:
-            i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            return a[i], b[j]
+        return np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             rows = pa.concat_batches(held)
             unit = np.frombuffer(b"".join(rows.column("unit").to_pylist()), float).reshape(rows.num_rows, -1)
-            a, b = links(rows.column("vec_id").to_numpy(), unit, rows.column("side").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            i, j = links(unit, rows.column("side").to_numpy())
+            if not len(i):
+                return
+            codes = [c.values.to_numpy() for c in rows.column("codes")]
+            keep = first_met(codes, i, j, now[2])
+            i, j = i[keep], j[keep]
+            if not len(i):
+                return
+            ids, m = rows.column("vec_id").to_numpy(), rows.column("m").to_numpy()
+            d = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
+            some = np.flatnonzero(d)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(d[some].astype(np.int64)), none, none], names)
+            a, b = stars(ids[i], ids[j])
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b)], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -112,13 +149,13 @@ def _compare(cosine: float):
             key = np.stack([batch.column(k).to_numpy() for k in range(5)]).astype(np.int64)
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), batch.num_rows]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if held and now != tuple(key[:, s]):
-                    yield flush()
+                if held and now != tuple(key[:, s].tolist()):
+                    yield from flush()
                     held = []
-                now = tuple(key[:, s])
+                now = tuple(key[:, s].tolist())
                 held.append(batch.slice(s, e - s))
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -131,51 +168,55 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, trees: int = 5, leaf: in
     spark = rows.sparkSession
     shared_dir(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long")).mapInArrow(_vectors, "vec_id long, label long, unit binary, f1 long, f2 long").checkpoint()
-    size = own.where("unit is not null").groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
+    own = rows.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long")).mapInArrow(_vectors, "vec_id long, label long, size long, unit binary, f1 long, f2 long").checkpoint()
+    good = own.where("unit is not null and vec_id is not null")
+    usual = good.groupBy("size").count().orderBy(F.desc("count"), "size").first()
+    if usual is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = own.where(F.octet_length("unit") == size["n"])
-    nodes = good.groupBy("label", "f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).checkpoint()
-    reps = good.join(nodes.select("rep"), F.col("vec_id") == F.col("rep"), "left_semi").dropDuplicates(["vec_id"]).select("vec_id", "label", "unit").checkpoint()
+    node = ["label", "size", "f1", "f2"]
+    nodes = good.groupBy(*node).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).checkpoint()
+    reps = good.join(nodes, node).where("vec_id = rep").dropDuplicates(["vec_id", *node]).select("vec_id", "label", "size", "m", "unit").checkpoint()
     # at most SAMPLE_ROWS vectors come to the driver
     n = reps.count()
     labels = max(1, reps.select("label").distinct().count())
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("unit").collect()
+    sample = reps.where(F.col("size") == usual["size"]).orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("unit")).limit(SAMPLE_ROWS).select("unit").collect()
     x = np.frombuffer(b"".join(bytes(r.unit) for r in sample), float).reshape(len(sample), -1)
     depth = max(0, int(np.ceil(np.log2(max(1.0, n / labels / leaf)))))
     gap = np.sqrt(2 - 2 * cosine) / np.sqrt(x.shape[1])
     forest = spark.sparkContext.broadcast(Forest(x, depth, trees, margin * gap))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """codes: the leaves of each row in all trees."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = np.frombuffer(b"".join(batch.column(2).to_pylist()), float).reshape(batch.num_rows, -1)
-            for t, row, at in forest.value.leaves(unit):
-                part = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.full(len(row), t)), pa.array(at), part.column(0), part.column(2)], ["label", "tree", "leaf", "vec_id", "unit"])
-
-    placed = reps.mapInArrow(index, "label long, tree long, leaf long, vec_id long, unit binary")
-    leaves = reps.mapInArrow(index, "label long, tree long, leaf long, vec_id long, unit binary").groupBy("label", "tree", "leaf").agg(F.count("*").alias("m"))
-    large = leaves.where(F.col("m") > LEAF_ROWS).withColumn("nb", F.ceil(F.col("m") / BLOCK_ROWS).cast("int")).checkpoint()
+            size = batch.column(2).to_numpy()
+            for s in np.unique(size).tolist():
+                part = batch.take(pa.array(np.flatnonzero(size == s)))
+                unit = np.frombuffer(b"".join(part.column(4).to_pylist()), float).reshape(-1, s)
+                found = [(row, (t << LEAF_BITS) | at) for t, row, at in forest.value.leaves(unit)]
+                row, code = (np.concatenate(v) for v in zip(*found, strict=True))
+                order = np.lexsort((code, row))
+                starts = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(starts), pa.array(code[order]))
+                yield pa.RecordBatch.from_arrays([*part.columns, codes], ["vec_id", "label", "size", "m", "unit", "codes"])
+
+    placed = reps.mapInArrow(index, "vec_id long, label long, size long, m long, unit binary, codes array<long>")
+    placed = placed.withColumn("leaf", F.explode("codes")).checkpoint()
+    large = placed.groupBy("label", "size", "leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > LEAF_ROWS).withColumn("nb", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).drop("rows").checkpoint()
     # large leaves by pairs of blocks: side 1 against side 2, side 0 within a block
-    block = placed.join(large, ["label", "tree", "leaf"], "left").withColumn("b", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")))
+    block = placed.join(large, ["label", "size", "leaf"], "left").withColumn("b", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")))
     pairs = F.when(F.col("nb").isNull(), F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("bi"), F.greatest(F.col("b"), o).alias("bj"), F.when(o == F.col("b"), 0).when(F.col("b") < o, 1).otherwise(2).alias("side")))
     )
-    dealt = block.select("label", "tree", "leaf", "vec_id", "unit", F.explode(pairs).alias("p")).select("label", "tree", "leaf", "p.bi", "p.bj", "p.side", "vec_id", "unit")
-    keys = ["label", "tree", "leaf", "bi", "bj"]
-    links = dealt.repartition(n_parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine), "a long, b long").distinct().checkpoint()
-    weight = nodes.select(F.col("rep").alias("b"), "m").groupBy("b").agg(F.sum("m").alias("m")).checkpoint()
-    both = links.union(links.select("b", "a"))
-    degree = both.join(weight, "b").groupBy("a").agg(F.sum("m").alias("d"))
-    found = weight.withColumnRenamed("b", "rep").join(degree.withColumnRenamed("a", "rep"), "rep", "left").join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select("rep", (F.col("m") - 1 + F.coalesce("d", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    per_class = nodes.select("label", "f1", "f2", "rep").join(found, "rep").select("label", "f1", "f2", "n", "c").checkpoint()
-    out = own.withColumn("g", F.octet_length("unit") == size["n"]).join(per_class, ["label", "f1", "f2"], "left")
-    component = F.when(F.col("g") & F.col("c").isNotNull(), F.col("c")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("g"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    dealt = block.select("label", "size", "leaf", "vec_id", "m", "unit", "codes", F.explode(pairs).alias("p")).select("label", "size", "leaf", "p.bi", "p.bj", "p.side", "vec_id", "m", "unit", "codes")
+    found = materialize(dealt.repartition(n_parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_compare(cosine), "vec_id long, d long, a long, b long"))
+    degree = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("d").alias("d"))
+    groups = components(found.where("a is not null").select("a", "b")).withColumnRenamed("id", "rep")
+    per_class = nodes.join(degree, "rep", "left").join(groups, "rep", "left")
+    per_class = per_class.select(*node, (F.col("m") - 1 + F.coalesce("d", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")).checkpoint()
+    out = own.join(per_class, node, "left")
+    component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("c")), F.col("vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.col("n"))
+    return out.select("vec_id", F.coalesce(links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op6_rp_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
