@@ -478,6 +478,51 @@ def test_pages_differencing_decides(spark):
         assert got[k] == [f"Teaser {own}", f"Body {own}", f"Main {own}", "One sentence" if k < 3 else f"Sentence {k}"]
 
 
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_shared_lines_against_brute_force():
+    """Of distinct lines the longest common subsequence; of repeated ones a common one."""
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b = (rnd.sample(range(12), rnd.randrange(12)) for _ in range(2))
+        got = page.shared_lines(a, b)
+        assert len(got) == brute_lcs(a, b) and brute_lcs([a[k] for k in got], b) == len(got)
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(9))] for _ in range(2))
+        got = page.shared_lines(a, b)
+        assert brute_lcs([a[k] for k in got], b) == len(got) <= brute_lcs(a, b)
+
+
+def test_pages_ranges(spark):
+    """A large host, null URLs and repeated rows: the same texts however the pages are cut into ranges."""
+    rnd = random.Random(5)
+    template = [f"<div>Menu entry number {k}</div>" for k in range(4)]
+    rows = []
+    for k in range(700):
+        own = " ".join(f"word{rnd.randrange(999)}" for _ in range(40))
+        url = None if k % 5 == 0 else f"http://{'big' if k % 5 < 4 else 'small' + str(k % 7)}.org/{rnd.choice('abc')}/{k}"
+        rows.append((k, url, "<body>" + "".join(template) + f"<div>{own}</div><div>Seen {k % 3} times</div></body>"))
+    rows += rows[:3] + [(None, None, None), (901, "http://one.org", "<p>alone</p>"), (5, None, "<p>other page of one id</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, page.extract_text(df, ranges=1).collect()))
+    for ranges in (2, 9, 250):
+        assert sorted(map(str, page.extract_text(df, ranges=ranges).collect())) == want, ranges
+    assert sum("Menu entry" in w for w in want) < 20 and len(want) == len(rows)
+    # against neighbours found by brute force
+    order = sorted(range(700), key=lambda k: (*page.address(rows[k][1]), k))
+    texts = {r.page_id: r.text for r in page.extract_text(spark.createDataFrame(rows[:700], "page_id long, url string, html string"), ranges=40).collect()}
+    for n, k in enumerate(order):
+        p = [page._Page(j, None, page.address(rows[j][1])[0], *zip(*page.lines_of(rows[j][2]), strict=True)) for j in (order[n - 1] if n else k, k, order[n + 1] if n < 699 else k)]
+        p[1].meet(p[0] if n else None)
+        p[1].meet(p[2] if n < 699 else None)
+        assert texts[k] == p[1].main(), k
+
+
 def test_postings_pack():
     rng = np.random.default_rng(5)
     for top in (3, 300, 70_000_000):

@@ -11,17 +11,20 @@ markup names as menus, headers, footers, sidebars, notices, adverts, forms, comm
 go in any case.
 
 Lines that repeat in a page are told apart by their occurrence, so the alignment is a longest
-increasing subsequence, O(n log n) at any length.  Hosts above HOST_ROWS pages are cut by a hash of
-the path into groups of about that size, each in path order, so no task holds a host.
+increasing subsequence, O(n log n) at any length.  Pages are dealt by ranges of (host, path, page_id), so
+no task holds a large host; the first and last page of a range then meet their neighbours in the next
+ranges, so a page's neighbours are the nearest in URL order wherever the cuts lie.
 
-Null html: empty.  Null URL: a host of its own.  Repeated rows are pages of their own.  Other columns
-are ignored.  An empty table gives no rows.
+Null html: empty.  Null URL: a host of its own, in order of page_id.  Repeated rows are pages of their
+own; rows of one page_id and URL are in order of their html's hash.  A page of any length is read whole.
+Other columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import slices, table
+from wavecrest.llm.common import materialize, slices, table
 
-#: Pages in a group of one host, about.
-HOST_ROWS = 512
-#: Large hosts that are broadcast with their number of groups; more are joined.
-BROADCAST_HOSTS = 100_000
+#: Keys from which the cuts of one range are chosen, about; they decide the balance only, never a result.
+KEYS_PER_RANGE = 64
+#: Pages that a range has at least, about.
+RANGE_PAGES = 512
 #: Neighbours that share so much of the shorter page's free text are copies of one article.
 COPY_SHARE = 0.6
 
@@ -168,76 +171,176 @@ def address(url: str | None) -> tuple[str, str]:
 
 
 class _Page:
-    def __init__(self, page_id, url, host, texts, zones) -> None:
+    """Lines of a page, their zones, and by how many neighbours each is shared."""
+
+    def __init__(self, page_id, url, host, texts, zones, times=None) -> None:
         self.page_id, self.url, self.host, self.texts, self.zones = page_id, url, host, texts, zones
         self.hashes = [xxhash.xxh64_intdigest(t) for t in texts]
+        self.times = list(times) if times is not None else [0] * len(texts)
+
+    def meet(self, other: _Page | None) -> None:
+        """Count the lines shared with a neighbour of the same host, unless both are copies of one article."""
+        if other is None or other.host != self.host:
+            return
+        shared = shared_lines(self.hashes, other.hashes)
+        common = sum(len(self.texts[k]) for k in shared if self.zones[k])
+        least = min(sum(len(t) for t, z in zip(p.texts, p.zones, strict=True) if z) for p in (self, other))
+        if common <= COPY_SHARE * least:
+            for k in shared:
+                self.times[k] += 1
+
+    def main(self) -> str:
+        return "\n".join(t for t, z, n in zip(self.texts, self.zones, self.times, strict=True) if z and n < z)
+
+
+def _pack(texts: list[str]) -> bytes:
+    # a line holds no line break
+    return zlib.compress("\n".join(texts).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpack(data: bytes) -> list[str]:
+    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
+def _parse(cuts: list[tuple]):
+    """page_id, url, host, path, part (the range), tie, lines, zones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, 128):
+                host, path, part, tie, texts, zones = [], [], [], [], [], []
+                for i, url, page in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
+                    h, p = address(url)
+                    html = page.as_py() or ""
+                    found = lines_of(html)
+                    host.append(h)
+                    path.append(p)
+                    part.append(bisect_left(cuts, _order(h, p, i)))
+                    tie.append(xxhash.xxh64_intdigest(html) - (1 << 63))
+                    texts.append(_pack([t for t, _ in found]))
+                    zones.append(bytes(z for _, z in found))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(host), pa.array(path), pa.array(part, pa.int32()), pa.array(tie, pa.int64()), pa.array(texts, pa.binary()), pa.array(zones, pa.binary())], ["page_id", "url", "host", "path", "part", "tie", "lines", "zones"])
+
+    return run
 
-    def main(self, near: list[_Page]) -> str:
-        times = [0] * len(self.texts)
-        for other in near:
-            shared = shared_lines(self.hashes, other.hashes)
-            free = [k for k in range(len(self.texts)) if self.zones[k]]
-            common = sum(len(self.texts[k]) for k in shared if self.zones[k])
-            least = min(sum(len(self.texts[k]) for k in free), sum(len(t) for t, z in zip(other.texts, other.zones, strict=True) if z))
-            if common <= COPY_SHARE * least:
-                for k in shared:
-                    times[k] += 1
-        return "\n".join(t for t, z, n in zip(self.texts, self.zones, times, strict=True) if z and n < z)
 
+def _order(host: str, path: str, page_id: int | None) -> tuple:
+    return host, path, -(1 << 63) if page_id is None else page_id
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 128):
-            host, path, texts, zones = [], [], [], []
-            for url, page in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                h, p = address(url)
-                found = lines_of(page.as_py() or "")
-                host.append(h)
-                path.append(p)
-                texts.append([t for t, _ in found])
-                zones.append(bytes(z for _, z in found))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(host), pa.array(path), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.binary())], ["page_id", "url", "host", "path", "texts", "zones"])
+        found = [address(u) for u in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["page_id", "host", "path"])
+
+
+def range_cuts(pages: DataFrame, ranges: int) -> list[tuple]:
+    """Upper ends of all ranges but the last, from a bounded number of keys; reads ids and URLs only."""
+    n = pages.count()
+    if ranges < 2 or not n:
+        return []
+    every = max(1, n // (ranges * KEYS_PER_RANGE))
+    keys = pages.select(F.col("page_id").cast("long"), "url").where(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0)
+    found = sorted(_order(r.host, r.path, r.page_id) for r in keys.mapInArrow(_keys, "page_id long, host string, path string").orderBy(F.xxhash64("host", "path", "page_id")).limit(4 * ranges * KEYS_PER_RANGE).collect())
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
+
+
+OUT = "page_id long, url string, text string, n_chars long"
+EDGE = "part int, at int, host string, lines binary, zones binary, times binary"
+#: Of a range: its only page, its first one, its last one.
+ONLY, FIRST, LAST = 0, 1, 2
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of group and path; a page waits for the next one of its group."""
-    before = now = None
-    group = None
+    """Rows in order of range and key: texts of inner pages, and the edge pages of each range with what they know so far."""
+    rows: list[tuple] = []
+    before: _Page | None = None
+    part, first = None, True
+
+    def edge(page: _Page, at: int) -> tuple:
+        return page.page_id, page.url, None, None, part, at, page.host, _pack(page.texts), page.zones, bytes(page.times)
+
+    def inner(page: _Page) -> tuple:
+        text = page.main()
+        return page.page_id, page.url, text, len(text), None, None, None, None, None, None
+
+    for batch in batches:
+        for some in slices(batch, 128):
+            for r in some.to_pylist():
+                page = _Page(r["page_id"], r["url"], r["host"], _unpack(r["lines"]), r["zones"])
+                if before is not None and part != r["part"]:
+                    rows.append(edge(before, ONLY if first else LAST))
+                    before, first = None, True
+                if before is not None:
+                    before.meet(page)
+                    page.meet(before)
+                    rows.append(edge(before, FIRST) if first else inner(before))
+                    first = False
+                before, part = page, r["part"]
+            if rows:
+                yield _batch(rows)
+                rows = []
+    if before is not None:
+        yield _batch([edge(before, ONLY if first else LAST)])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["page_id", "url", "text", "n_chars", "part", "at", "host", "lines", "zones", "times"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and side: the last page of the range before (0), the range's own edges (1), the first page after (2)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    key, own, near = None, [], {}
 
-    def row(page: _Page, near: list) -> dict:
-        text = page.main([x for x in near if x is not None])
-        return {"page_id": page.page_id, "url": page.url, "text": text, "n_chars": len(text)}
+    def finish() -> Iterator[pa.RecordBatch]:
+        out = []
+        for page, at in own:
+            if at in (ONLY, FIRST):
+                page.meet(near.get(0))
+            if at in (ONLY, LAST):
+                page.meet(near.get(2))
+            text = page.main()
+            out.append({"page_id": page.page_id, "url": page.url, "text": text, "n_chars": len(text)})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     for batch in batches:
-        for part in slices(batch, 128):
-            out = []
-            for r in part.to_pylist():
-                page, own = _Page(r["page_id"], r["url"], r["host"], r["texts"], r["zones"]), (r["host"], r["part"])
-                if own != group and now is not None:
-                    out.append(row(now, [before]))
-                    now = None
-                if now is None:
-                    before, now, group = None, page, own
-                else:
-                    out.append(row(now, [before, page]))
-                    before, now = now, page
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-    if now is not None:
-        yield pa.RecordBatch.from_pylist([row(now, [before])], schema=schema)
-
-
-def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row."""
-    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*://)?([^/?#]*)", 1))
-    large = pages.groupBy(host.alias("h")).agg(F.count("*").alias("m")).where(F.col("m") > 2 * HOST_ROWS).select(F.col("h").alias("host"), F.ceil(F.col("m") / HOST_ROWS).alias("parts"))
-    few = large.count() <= BROADCAST_HOSTS
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, texts array<string>, zones binary")
-    rows = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("path"), F.col("parts")), F.lit(0)))
-    order = ["host", "part", "path", "page_id"]
-    return rows.select("page_id", "url", "host", "part", "path", "texts", "zones").repartition(n_parts, "host", "part").sortWithinPartitions(*order).mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+        for r in batch.to_pylist():
+            if r["key"] != key:
+                yield from finish()
+                key, own, near = r["key"], [], {}
+            page = _Page(r["page_id"], r["url"], r["host"], _unpack(r["lines"]), r["zones"], r["times"])
+            if r["side"] == 1:
+                own.append((page, r["at"]))
+            else:
+                near[r["side"]] = page
+    yield from finish()
+
+
+def extract_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars for each row; ranges: how many parts the pages are dealt into."""
+    spark = pages.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        ranges = max(1, min(4 * n_parts, pages.count() // RANGE_PAGES))
+    cuts = range_cuts(pages, ranges)
+    lines = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(cuts), "page_id long, url string, host string, path string, part int, tie long, lines binary, zones binary")
+    rows = lines.repartition(n_parts, "part").sortWithinPartitions("part", "host", "path", "page_id", "tie")
+    done = materialize(rows.select("page_id", "url", "host", "part", "lines", "zones").mapInArrow(_difference, f"{OUT}, {EDGE}"))
+    edges = done.where("part is not null")
+    # one number for each range
+    parts = sorted(r.part for r in edges.select("part").distinct().collect())
+    steps = spark.createDataFrame(list(zip(parts, parts[1:], strict=False)), "earlier int, later int")
+    after = edges.where(F.col("at") != LAST).join(F.broadcast(steps), F.col("part") == F.col("later")).select(F.col("earlier").alias("key"), F.lit(2).alias("side"), "*")
+    before = edges.where(F.col("at") != FIRST).join(F.broadcast(steps), F.col("part") == F.col("earlier")).select(F.col("later").alias("key"), F.lit(0).alias("side"), "*")
+    names = ["key", "side", "at", "page_id", "url", "host", "lines", "zones", "times"]
+    all_ = edges.select(F.col("part").alias("key"), F.lit(1).alias("side"), "*").select(*names).union(after.select(*names)).union(before.select(*names))
+    met = all_.repartition(n_parts, "key").sortWithinPartitions("key", "side", "at").mapInArrow(_join_edges, OUT)
+    return done.where("part is null").select("page_id", "url", "text", "n_chars").union(met)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
