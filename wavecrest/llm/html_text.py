@@ -37,8 +37,8 @@ from wavecrest.llm.common import materialize, slices, table
 
 #: Keys from which the cuts of one range are chosen, about; they decide the balance only, never a result.
 KEYS_PER_RANGE = 64
-#: Pages that a range has at least, about.
-RANGE_PAGES = 512
+#: Pages that a range has, about, unless that would be more ranges than the cuts may take memory for.
+RANGE_PAGES, MOST_RANGES = 512, 100_000
 #: Neighbours that share so much of the shorter page's free text are copies of one article.
 COPY_SHARE = 0.6
 
@@ -326,11 +326,11 @@ def extract_text(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = pages.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if ranges is None:
-        ranges = max(1, min(4 * n_parts, pages.count() // RANGE_PAGES))
+        ranges = max(1, min(MOST_RANGES, pages.count() // RANGE_PAGES))
     cuts = range_cuts(pages, ranges)
     lines = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(cuts), "page_id long, url string, host string, path string, part int, tie long, lines binary, zones binary")
-    rows = lines.repartition(n_parts, "part").sortWithinPartitions("part", "host", "path", "page_id", "tie")
-    done = materialize(rows.select("page_id", "url", "host", "part", "lines", "zones").mapInArrow(_difference, f"{OUT}, {EDGE}"))
+    rows = lines.repartition(max(n_parts, ranges // 2), "part").sortWithinPartitions("part", "host", "path", "page_id", "tie")
+    done = materialize(rows.select("page_id", "url", "host", "part", "lines", "zones").mapInArrow(_difference, f"{OUT}, {EDGE}"), "zstd")
     edges = done.where("part is not null")
     # one number for each range
     parts = sorted(r.part for r in edges.select("part").distinct().collect())
