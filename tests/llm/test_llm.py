@@ -14,7 +14,6 @@ from wavecrest.llm import html_text as page
 from wavecrest.llm import quality_rules as rules
 from wavecrest.llm import site_quality as site
 
-public = pytest.importorskip("public_tokenizers")
 ODD = [(-1, None), (-2, ""), (-3, "x<|endoftext|> y"), (-3, "x<|endoftext|> y"), (-4, "a" * 30000), (-5, " \n a  b\t c"), (-6, "don't 12 é́ 😀!!"), (None, "x y")]
 SCHEMA = "doc_id long, text string, lang string, source string, component_id long, n int, rejected string"
 
@@ -106,6 +105,25 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_carries_rests(spark):
+    """Only a task's last sequences are shorter than the window, however small its shards; each token is once in the pieces."""
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice(["tree", "stone", "river", "of", "light"]) for _ in range(rnd.randrange(1, 400)))) for k in range(200)]
+    out = packing.pack_documents(frame(spark, rows).coalesce(1), shard_tokens=3000, window=256).collect()
+    seqs, docs = defaultdict(int), defaultdict(list)
+    for r in out:
+        seqs[r.sequence_id] += r.length
+        docs[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    short = [n for n in seqs.values() if n != 256]
+    assert len(set(short)) == len(short) and all(n & (n - 1) == 0 for n in short) and len(seqs) > 50
+    for pieces in docs.values():
+        at = 0
+        for start, n, total in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == total
+
+
 def test_packing_scores_all_terms(spark):
     words = sorted(t[:-4] for t in library("word_bpe_49k.json").get_vocab() if re.fullmatch("[a-z]{5,7}</w>", t))[:400]
     rare, middle, other = words[:8], words[8:58], words[58:]

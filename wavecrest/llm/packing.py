@@ -5,7 +5,9 @@ most one number for each vocabulary entry) come from the whole table.  The table
 of bounded size, each with its own inverted index, and no row is shuffled.  In a shard, the full
 windows of a long document are sequences of their own.  Then the largest rest is a seed: its unused
 BM25 neighbours, scored by all its distinct terms, fill the window in order of score, whole ones first;
-the best one left is cut to fill it exactly.  Neighbours in other shards aren't seen.  The last, partial window of a shard is cut into powers of two, so nothing is padded.
+the best one left is cut to fill it exactly.  Neighbours in other shards aren't seen.  What is left of a
+shard, less than a window, goes on with the task's next shard; the last one's is cut into powers of two,
+so nothing is padded.
 
 Null text: empty, only the end id.  Repeated rows are packed each by itself.  Other columns are
 ignored.  An empty table gives no pieces.  Ties in score: the row that came first in the shard.
@@ -119,12 +121,17 @@ class Shard:
         return out
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences, each a list of (document in the shard, start, length)."""
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, begin: list[int] | None = None, last: bool = True) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences, each a list of (document in the shard, start, length).
+
+    begin: where each document's tokens that are still to be packed start.  Unless this is the last shard,
+    less than a window is left; its documents and starts are returned.
+    """
     size = np.array([len(d) for d in docs])
-    start = (size // window) * window
-    for k in np.flatnonzero(start):
-        for at in range(0, int(start[k]), window):
+    from_ = np.zeros(len(docs), np.int64) if begin is None else np.array(begin, np.int64)
+    start = from_ + (size - from_) // window * window
+    for k in np.flatnonzero(start > from_):
+        for at in range(int(from_[k]), int(start[k]), window):
             yield [(int(k), at, window)]
     rest = size - start
     order = np.argsort(-rest, kind="stable")
@@ -171,6 +178,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                 j += 1
         left -= window
         yield seq
+    if not last:
+        return [(int(k), int(start[k])) for k in np.flatnonzero(rest)]
     power = 1 << max(0, left.bit_length() - 1)
     j, seq, room = at, [], power
     while left:
@@ -185,6 +194,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             yield seq
             power = 1 << max(0, left.bit_length() - 1)
             seq, room = [], power
+    return []
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -204,10 +214,20 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
         release(tokenizer)  # the encoding tasks of this worker are over
         part, number = TaskContext.get().partitionId(), 0
 
-        def finish(names: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            rows = []
-            for seq in pack_shard(held, idf, mean, window):
+        names: list = []
+        held: list[np.ndarray] = []
+        begin: list[int] = []
+
+        def finish(last: bool) -> Iterator[pa.RecordBatch]:
+            """Pack what is held; what is left of it stays held."""
+            nonlocal number, names, held, begin
+            rows, packing = [], pack_shard(held, idf, mean, window, begin, last)
+            while True:
+                try:
+                    seq = next(packing)
+                except StopIteration as end:
+                    rest = end.value
+                    break
                 offset = 0
                 for k, a, n in seq:
                     ids = held[k][a : a + n].astype("<u4")
@@ -219,18 +239,20 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
                     rows = []
             if rows:
                 yield batch_of(rows)
+            names, held, begin = [names[k] for k, _ in rest], [held[k] for k, _ in rest], [a for _, a in rest]
 
-        names, held, size = [], [], 0
+        size = 0
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names.append(name)
                 held.append(np.frombuffer(ids.as_py(), "<u2"))
+                begin.append(0)
                 size += len(held[-1])
                 if size >= shard_tokens:
-                    yield from finish(names, held)
-                    names, held, size = [], [], 0
+                    yield from finish(False)
+                    size = 0
         if held:
-            yield from finish(names, held)
+            yield from finish(True)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))

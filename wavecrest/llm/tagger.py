@@ -23,7 +23,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, dim: int = 10, hidden: int = 12, seed: int = 11) -> None:
+    def __init__(self, dim: int = 10, hidden: int = 10, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.hidden = hidden
 
