@@ -121,6 +121,16 @@ class Shard:
         return out
 
 
+def by_score(near: np.ndarray, score: np.ndarray, first: int = 256) -> Iterator[np.ndarray]:
+    """All neighbours by falling score, then position; the first ones are sorted alone, as most windows need no more."""
+    if len(near) > 2 * first:
+        least = np.partition(score, len(score) - first)[len(score) - first]
+        top = score >= least
+        yield near[top][np.argsort(-score[top], kind="stable")]
+        near, score = near[~top], score[~top]
+    yield near[np.argsort(-score, kind="stable")]
+
+
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, begin: list[int] | None = None, last: bool = True) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences, each a list of (document in the shard, start, length).
 
@@ -143,6 +153,22 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         start[k] += n
         rest[k] -= n
 
+    def fill(near: np.ndarray, room: int, cut: int) -> tuple[int, int]:
+        """Take whole neighbours in this order while they fit; cut: the first one that didn't."""
+        size, j = rest[near], 0
+        while room:
+            fits = size[j:] <= room
+            step = int(fits.argmax()) if len(fits) else 0
+            if cut < 0 and len(fits) and not fits[0]:
+                cut = int(near[j])
+            if not len(fits) or not fits[step]:
+                break
+            n = int(size[j + step])
+            take(seq, int(near[j + step]), n)
+            room -= n
+            j += step + 1
+        return room, cut
+
     while left >= window:
         while not rest[order[at]]:
             at += 1
@@ -153,18 +179,11 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         if room:
             score = index.scores(seed)
             near = np.flatnonzero((score > 0) & (rest > 0))
-            near = near[np.argsort(-score[near], kind="stable")]
-            size, cut, j = rest[near], -1, 0
-            while room:
-                fits = size[j:] <= room
-                step = int(fits.argmax()) if len(fits) else 0
-                if cut < 0 and len(fits) and not fits[0]:
-                    cut = int(near[j])
-                if not len(fits) or not fits[step]:
+            cut = -1
+            for some in by_score(near, score[near]):
+                room, cut = fill(some, room, cut)
+                if not room:
                     break
-                take(seq, int(near[j + step]), int(size[j + step]))
-                room -= int(size[j + step])
-                j += step + 1
             if room and cut >= 0:
                 take(seq, cut, room)
                 room = 0
