@@ -17,14 +17,12 @@ def cigar_operations(cigar: Column) -> Column:
     return F.zip_with(n, op, lambda a, b: F.struct(F.when(a == "", 1).otherwise(a.try_cast("long")).cast("long").alias("n"), b.alias("op")))
 
 
-def count_of(operations: Column, op: str) -> Column:
-    return F.aggregate(F.filter(operations, lambda x: x.op == op), F.lit(0).cast("long"), lambda a, x: a + x.n)
-
-
 def error_counts(df: DataFrame, cigar: str) -> DataFrame:
-    """Adds n_match, n_mismatch, n_ins, n_del."""
-    ops = cigar_operations(F.col(cigar))
-    return df.select("*", *(count_of(ops, op).alias(c) for c, op in (("n_match", "="), ("n_mismatch", "X"), ("n_ins", "I"), ("n_del", "D"))))
+    """Adds n_match, n_mismatch, n_ins, n_del, from one pass over the operations."""
+    names = {"n_match": "=", "n_mismatch": "X", "n_ins": "I", "n_del": "D"}
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+    step = lambda a, x: F.struct(*((a[c] + F.when(x.op == op, x.n).otherwise(0)).alias(c) for c, op in names.items()))
+    return df.withColumn("_counts", F.aggregate(cigar_operations(F.col(cigar)), zero, step)).select(*df.columns, "_counts.*")
 
 
 def accuracies() -> tuple[Column, Column]:
