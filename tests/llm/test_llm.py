@@ -496,6 +496,20 @@ def test_pages_differencing_decides(spark):
         assert got[k] == [f"Teaser {own}", f"Body {own}", f"Main {own}", "One sentence" if k < 3 else f"Sentence {k}"]
 
 
+def test_pages_of_much_template(spark):
+    """Short pages under a long template lose it, copies of one article keep their text; with markup and without."""
+    template = "".join(f"<div>Template line number {k}</div>" for k in range(10))
+    schema = "page_id long, url string, html string"
+    for tag in ("div", "article"):
+        own = {k: f"Own text {k} " + " ".join(f"w{(7 * k + j) % 31 * k}" for j in range(30)) for k in range(1, 5)}
+        rows = [(k, f"http://h.org/{k}", f"<body>{template}<{tag}>{t}</{tag}></body>") for k, t in own.items()]
+        assert {r.page_id: r.text for r in page.extract_text(spark.createDataFrame(rows, schema)).collect()} == own
+        article = "".join(f"<p>{t}</p>" for t in own.values())
+        rows = [(k, f"http://h.org/{k}", f"<body><{tag}>{article}<p>Seen {k} times</p></{tag}></body>") for k in range(4)]
+        for r in page.extract_text(spark.createDataFrame(rows, schema)).collect():
+            assert r.text.split("\n") == [*own.values(), f"Seen {r.page_id} times"]
+
+
 def brute_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):

@@ -3,7 +3,9 @@
 Each page becomes lines (one for each block of its markup) with the zone they stand in.  Pages of a
 host are sorted by URL path; each is aligned with its neighbours by a longest common subsequence of
 lines, and lines shared with a neighbour are template and deleted.  Two neighbours that share most
-of their text are copies of one article, whose common lines tell nothing, so they are not differenced.
+of their text, and most of their articles, are copies of one article, whose common lines tell nothing, so
+they are not differenced.  The articles are compared by the lines in an article or main element if both
+have one, else by the squared lengths of all lines, as template lines are short and many.
 Markup is the check on it: a line inside an article or main element is given back if only one neighbour
 has it too, as two articles may share a sentence; one that both neighbours have is template there as
 well.  Lines outside such an element are printed as differencing leaves them.  Lines in elements that
@@ -39,7 +41,7 @@ from wavecrest.llm.common import materialize, slices, table
 KEYS_PER_RANGE = 64
 #: Pages that a range has, about, unless that would be more ranges than the cuts may take memory for.
 RANGE_PAGES, MOST_RANGES = 512, 100_000
-#: Neighbours that share so much of the shorter page's free text are copies of one article.
+#: Neighbours that share more than this of the shorter page's free text, and of its article, are copies of one article.
 COPY_SHARE = 0.6
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -183,12 +185,19 @@ class _Page:
         if other is None or other.host != self.host:
             return
         shared = shared_lines(self.hashes, other.hashes)
-        common = sum(len(self.texts[k]) for k in shared if self.zones[k])
-        least = min(sum(len(t) for t, z in zip(p.texts, p.zones, strict=True) if z) for p in (self, other))
-        if common <= COPY_SHARE * least:
+        if not self.copies(other, shared):
             for k in shared:
                 self.times[k] += 1
 
+    def copies(self, other: _Page, shared: list[int]) -> bool:
+        """Whether most free text is shared, and most of the articles too: by markup or, without it, by the longest lines."""
+
+        def most(zone: int, power: int) -> bool:
+            common = sum(len(self.texts[k]) ** power for k in shared if self.zones[k] >= zone)
+            return common > COPY_SHARE * min(sum(len(t) ** power for t, z in zip(p.texts, p.zones, strict=True) if z >= zone) for p in (self, other))
+
+        return most(1, 1) and (most(2, 1) if 2 in self.zones and 2 in other.zones else most(1, 2))
+
     def main(self) -> str:
         return "\n".join(t for t, z, n in zip(self.texts, self.zones, self.times, strict=True) if z and n < z)
 
