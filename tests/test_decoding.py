@@ -1,6 +1,7 @@
 """Decoders, alignments, filters and stitching against brute force and golden vectors."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from wavecrest.functions import arrays, labels, sequence, signal, weights
 from wavecrest.operators import quantize as V
 from wavecrest.operators import windows as W
+from wavecrest.operators.joins import zip_rows
 
 
 def test_beam_against_all_paths():
@@ -157,3 +159,39 @@ def test_kmeans_redo(spark):
     assert few.shape == (3, 2)
     with pytest.raises(ValueError):
         V.fit_kmeans(df, "id", "v", 500, 1)
+
+
+def test_stitching_by_tokens(spark):
+    rnd = random.Random(8)
+    size, overlap, rows, want = 12, 4, [], []
+    for key in range(60):
+        pieces = [("".join(rnd.choice("ACGT") for _ in range(rnd.randrange(40))), rnd.randrange(13)) for _ in range(rnd.randrange(1, 6))]
+        starts = [8 * k for k in range(len(pieces))]
+        total = max(s + t for s, (_, t) in zip(starts, pieces, strict=True))
+        stub = (total - overlap) % (size - overlap)
+        joined = ""
+        for k, (bases, tokens) in enumerate(pieces):
+            at = lambda t, n=len(bases), tokens=tokens: round(t * n / tokens) if tokens and n else 0
+            begin = 0 if k == 0 else at(overlap // 2)
+            end = len(bases) if k == len(pieces) - 1 else at(stub + overlap // 2 if k == 0 and stub else size - overlap // 2)
+            joined += bases[begin:end]
+            rows.append((key, starts[k], bases, tokens))
+        want.append((key, joined, stub))
+    df = spark.createDataFrame(rows, "key long, start long, bases string, tokens long")
+    got = W.stitch_by_tokens(df, ["key"], "start", "bases", "tokens", size, overlap)
+    assert sorted(map(tuple, got.select("key", "bases", "stub").collect())) == want
+    whole = {r.key: r.bases for r in W.stitch_by_tokens(df, ["key"], "start", "bases", "tokens", size, 0).collect()}
+    assert whole[0] == "".join(b for k, _, b, _ in rows if k == 0)
+    with pytest.raises(ValueError):
+        W.stitch_by_tokens(df, ["key"], "start", "bases", "tokens", 4, 4)
+
+
+def test_zip_rows(spark):
+    left = spark.createDataFrame([(k, i, f"l{k}{i}") for k in (1, 2, None) for i in range(3)], "key long, i int, a string")
+    right = spark.createDataFrame([(k, i * i, f"r{k}{i}") for k in (1, 2, None) for i in range(3)], "key long, j int, b string")
+    got = {(r.key, r.pos, r.a, r.b) for r in zip_rows(left, right, "key", ["i"], ["j"]).collect()}
+    assert got == {(k, i, f"l{k}{i}", f"r{k}{i}") for k in (1, 2, None) for i in range(3)}
+    for a, b in ((left, right.where("b <> 'r12'")), (left.where("key = 1"), right)):
+        with pytest.raises(Exception, match="lengths differ"):
+            zip_rows(a, b, "key", ["i"], ["j"]).collect()
+    assert zip_rows(left.limit(0), right.limit(0), "key", ["i"], ["j"]).count() == 0

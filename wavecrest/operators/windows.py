@@ -113,15 +113,23 @@ def token_cut(tokens: Column, total_tokens: Column, bases: Column) -> Column:
 
 
 def stitch_by_tokens(df: DataFrame, keys: list[str], order: str, bases: str, tokens: str, size: int, overlap: int) -> DataFrame:
-    """Called bases of overlapping token windows joined; at each inner edge half of the overlap goes.
+    """Called bases of overlapping token windows joined; half of the overlap goes at each inner edge.
 
-    The end of the last but one piece depends on how far the last one reaches back: its overlap is
-    size less the rest of the whole, stub = (total - overlap) mod (size - overlap).
+    Cuts are at a piece's own bases for a token.  As the last window is moved back to end with the whole,
+    the first piece ends after stub = (total - overlap) mod (size - overlap) tokens and half of the overlap
+    where the stub isn't 0.  A single piece stays whole, and so do all without an overlap.
     """
+    if overlap >= size > 0:
+        raise ValueError("the overlap must be smaller than the window")
     w, half = Window.partitionBy(*keys), overlap // 2
     rows = df.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w)).withColumn("_total", F.max(F.col(order) + F.col(tokens)).over(w))
-    n = F.length(bases)
-    left = F.when(F.col("_k") == 1, 0).otherwise(token_cut(F.lit(half), F.col(tokens), n))
-    right = F.when(F.col("_k") == F.col("_n"), n).otherwise(n - token_cut(F.lit(overlap - half), F.col(tokens), n))
-    part = rows.withColumn("_part", F.substring(bases, left + 1, F.greatest(right - left, F.lit(0))))
-    return part.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "").alias("bases"), F.first(F.pmod(F.col("_total") - overlap, F.lit(size - overlap))).alias("stub"))
+    n, first = F.length(bases), F.col("_k") == 1
+    if overlap <= 0 or size <= 0:
+        stub, left, right = F.lit(0).cast("long"), F.lit(0), n
+    else:
+        stub = F.pmod(F.col("_total") - overlap, F.lit(size - overlap)).cast("long")
+        end = F.when(first & (stub > 0), stub + half).otherwise(size - half)
+        left = F.when(first, 0).otherwise(token_cut(F.lit(half), F.col(tokens), n))
+        right = F.when(F.col("_k") == F.col("_n"), n).otherwise(token_cut(end, F.col(tokens), n))
+    part = rows.withColumn("_part", F.substring(bases, left + 1, F.greatest(right - left, F.lit(0)))).withColumn("_stub", stub)
+    return part.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "").alias("bases"), F.max("_stub").alias("stub"))

@@ -172,15 +172,15 @@ def margin_stitch(spark, sf_dir):
 
 @query(
     "stitch_chunks",
-    """with c as (select conv_id, turn, text, length(text) as n, 8 + (length(text) % 5) as tok, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as m, max(turn + 8 + (length(text) % 5)) over (partition by conv_id) as total from conversations),
-p as (select *, case when k = 1 then 0 else round_even(2 * n / tok::double, 0)::int end as a, case when k = m then n else n - round_even(2 * n / tok::double, 0)::int end as b from c)
-select conv_id, md5(string_agg(substr(text, (a + 1)::int, greatest(b - a, 0)::int), '' order by k)) as digest, any_value((total - 4) % 8)::bigint as stub from p group by conv_id""",
+    """with c as (select conv_id, turn, text, length(text) as n, 8 + (length(text) % 5) as tok, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as m, (max(turn + 8 + (length(text) % 5)) over (partition by conv_id) - 4) % 8 as stub from conversations where text is not null),
+p as (select *, case when k = 1 then 0 else round_even(2 * n / tok::double, 0)::int end as a, case when k = m then n else round_even((case when k = 1 and stub > 0 then stub + 2 else 10 end) * n / tok::double, 0)::int end as b from c)
+select conv_id, md5(string_agg(substr(text, (a + 1)::int, greatest(b - a, 0)::int), '' order by k)) as digest, any_value(stub)::bigint as stub from p group by conv_id""",
 )
 def stitch_chunks(spark, sf_dir):
     """Turns as called pieces: the overlap of four tokens is cut by the pieces' own bases for a token."""
     c = table(spark, sf_dir, "conversations").where("text is not null").withColumn("tok", (F.length("text") % 5 + 8).cast("long"))
     out = W.stitch_by_tokens(c, ["conv_id"], "turn", "text", "tok", 12, 4)
-    return out.select("conv_id", F.md5("bases").alias("digest"), F.col("stub").cast("long").alias("stub"))
+    return out.select("conv_id", F.md5("bases").alias("digest"), "stub")
 
 
 @query("overlap_plans", "select c::bigint as chunk_size, t::bigint as target, (round_even(t / 50.0, 0) * 50)::bigint as overlap, (c - round_even(t / 50.0, 0) * 50)::bigint as stride, (c // 50)::bigint as tokens from (select unnest([1000, 2000, 6000]) as c), (select unnest([0, 120, 260, 475]) as t)")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.functions import sequence as Q
+from wavecrest.operators import joins as J
 from wavecrest.operators import quantize as V
 from wavecrest.operators import sampling as P
 from wavecrest.operators import windows as W
@@ -322,27 +323,14 @@ def shard_manifest(spark, sf_dir):
 
 @query("zip_join", "with a as (select conv_id, list(text order by turn) as t, list(role order by turn) as r from conversations group by conv_id) select conv_id, (i - 1)::int as pos, r[i] as role, md5(t[i]) as digest from (select conv_id, t, r, unnest(generate_series(1, len(t))) as i from a)")
 def zip_join(spark, sf_dir):
-    """Two ordered arrays row by row; unequal lengths are an error."""
-    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
-    both = s.select("conv_id", F.transform("s", lambda x: x.role).alias("r"), F.transform("s", lambda x: x.text).alias("t"))
-    z = F.when(F.size("r") == F.size("t"), F.arrays_zip("r", "t")).otherwise(F.raise_error(F.lit("lengths differ")))
-    return both.select("conv_id", F.posexplode(z).alias("pos", "x")).select("conv_id", "pos", F.col("x.r").alias("role"), F.md5("x.t").alias("digest"))
+    c = table(spark, sf_dir, "conversations")
+    both = J.zip_rows(c.select("conv_id", "turn", "role"), c.select("conv_id", "turn", F.md5("text").alias("digest")), "conv_id", ["turn", "role"], ["turn", "digest"])
+    return both.select("conv_id", F.col("pos").cast("int").alias("pos"), "role", "digest")
 
 
 # -- sequences -----------------------------------------------------------------------------------------
 
 
-@query("stitch_chunks", "with c as (select conv_id, turn, text, min(turn) over (partition by conv_id) as a, max(turn) over (partition by conv_id) as b from conversations) select conv_id, md5(string_agg(case when a = b then text when turn = a then substr(text, 1, (length(text) - 3)::int) when turn = b then substr(text, 4) else substr(text, 4, greatest(length(text) - 6, 0)::int) end, '' order by turn)) as digest from c where length(text) >= 6 group by conv_id")
-def stitch_chunks(spark, sf_dir):
-    """Overlapping pieces joined, half of the overlap (3 characters) cut at each inner edge."""
-    w = Window.partitionBy("conv_id")
-    c = table(spark, sf_dir, "conversations").withColumn("a", F.min("turn").over(w)).withColumn("b", F.max("turn").over(w)).where(F.length("text") >= 6)
-    n = F.length("text")
-    cut = F.when(F.col("a") == F.col("b"), F.col("text")).when(F.col("turn") == F.col("a"), F.substring("text", F.lit(1), n - 3)).when(F.col("turn") == F.col("b"), F.substring("text", F.lit(4), n)).otherwise(F.substring("text", F.lit(4), F.greatest(n - 6, F.lit(0))))
-    s = c.select("conv_id", "turn", cut.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "x"))).alias("s"))
-    return s.select("conv_id", F.md5(F.array_join(F.transform("s", lambda x: x.x), "")).alias("digest"))
-
-
 def _aligned(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
     return b.select("item_id", "ref", F.concat(F.substring("ref", 4, 20), F.lit("x"), F.substring("ref", F.lit(25), F.length("ref"))).alias("query"))
