@@ -195,3 +195,9 @@ def test_zip_rows(spark):
         with pytest.raises(Exception, match="lengths differ"):
             zip_rows(a, b, "key", ["i"], ["j"]).collect()
     assert zip_rows(left.limit(0), right.limit(0), "key", ["i"], ["j"]).count() == 0
+
+
+def test_coverage(spark):
+    df = spark.createDataFrame([(5, 10, 20), (15, 10, 20), (5, 0, 20), (5, -1, 20), (3, 4, 0), (0, 4, 8)], "decoded int, steps int, ref int")
+    got = df.select(*labels.coverage(F.col("decoded"), F.col("steps"), F.col("ref"))).collect()
+    assert list(map(tuple, got)) == [(0.25, 0.5), (0.5, 0.0), (0.0, 1.0), (0.0, 1.0), (3.0, 0.25), (0.0, 1.0)]

@@ -30,5 +30,9 @@ def resolve_length(given: Column, mask: Column, width: Column) -> Column:
 
 
 def coverage(decoded: Column, steps: Column, ref: Column) -> tuple[Column, Column]:
-    """Decoded bases over reference bases (one at least), and the share of steps without a base, 0 at least."""
-    return decoded / F.greatest(ref, F.lit(1)), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(decoded, steps), F.lit(0.0)))
+    """Decoded bases over reference bases (one at least), and the share of steps without a base, 0 at least.
+
+    No more bases count than there are steps; without steps nothing is decoded and all is blank.
+    """
+    decoded = F.greatest(F.lit(0), F.least(decoded, steps))
+    return decoded / F.greatest(ref, F.lit(1)), F.greatest(F.lit(0.0), 1 - F.when(steps > 0, F.try_divide(decoded, steps)).otherwise(0.0))

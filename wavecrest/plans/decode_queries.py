@@ -113,7 +113,7 @@ def deletion_position_hist(spark, sf_dir):
     return d.groupBy(F.floor(F.col("position") * 10).alias("bin")).agg(F.count("*").alias("n")).where("bin < 10")
 
 
-@query("coverage_blank", "with x as (select doc_id, n_chars, doc_id % 50 as decoded, doc_id % 40 as steps from documents) select doc_id, round(decoded / greatest(n_chars, 1)::double, 6) as coverage, round(greatest(0.0, 1 - case when steps = 0 then 0.0 else decoded / steps::double end)::double, 6) as blank from x")
+@query("coverage_blank", "with x as (select doc_id, n_chars, least(doc_id % 50, doc_id % 40) as decoded, doc_id % 40 as steps from documents) select doc_id, round(decoded / greatest(n_chars, 1)::double, 6) as coverage, round((1 - case when steps = 0 then 0.0 else decoded / steps::double end)::double, 6) as blank from x")
 def coverage_blank(spark, sf_dir):
     c, b = L.coverage(F.col("doc_id") % 50, F.col("doc_id") % 40, F.col("n_chars"))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(c, 6).alias("coverage"), F.round(b, 6).alias("blank"))
