@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavecrest.functions import arrays, labels, sequence, signal, weights
+from wavecrest.functions import alignment, arrays, labels, sequence, signal, weights
 from wavecrest.operators import quantize as V
 from wavecrest.operators import windows as W
 from wavecrest.operators.joins import zip_rows
@@ -201,3 +201,14 @@ def test_coverage(spark):
     df = spark.createDataFrame([(5, 10, 20), (15, 10, 20), (5, 0, 20), (5, -1, 20), (3, 4, 0), (0, 4, 8)], "decoded int, steps int, ref int")
     got = df.select(*labels.coverage(F.col("decoded"), F.col("steps"), F.col("ref"))).collect()
     assert list(map(tuple, got)) == [(0.25, 0.5), (0.5, 0.0), (0.0, 1.0), (0.0, 1.0), (3.0, 0.25), (0.0, 1.0)]
+
+
+def test_confusion_of_odd_letters(spark):
+    df = spark.createDataFrame([(1, "aCx-G-*T", "ACRT-*-n")], "id long, q string, r string")
+    got = alignment.confusion(alignment.aligned_columns(df, "id", "q", "r")).collect()
+    assert sorted(map(tuple, got)) == [("deletion", "N", "-", 1), ("deletion", "T", "-", 1), ("insertion", "-", "G", 1), ("insertion", "-", "N", 1), ("mismatch", "N", "T", 1)]
+
+
+def test_match_vector_of_operations(spark):
+    df = spark.createDataFrame([("2S3=1X2I2D1=",), ("",)], "c string")
+    assert [r.v for r in df.select(alignment.match_vector(F.col("c")).alias("v")).collect()] == [[1, 1, 1, 0, 0, 0, 1], []]

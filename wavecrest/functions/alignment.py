@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Operations that use up a reference base.
-ON_REFERENCE = ("=", "X", "D", "M")
-BASES = "ATGCN"
+ON_REFERENCE = ("=", "X", "D")
+BASES = "ATGC"
 
 
 def cigar_operations(cigar: Column) -> Column:
@@ -47,11 +47,15 @@ def aligned_columns(df: DataFrame, key: str, query: str, ref: str) -> DataFrame:
 
 
 def confusion(columns: DataFrame) -> DataFrame:
-    """kind, ref, query, n: mismatches of bases, deletions by reference base, insertions by query base."""
-    q, r = F.col("q"), F.col("r")
-    known = lambda c: c.isin(*BASES)
-    kind = F.when(known(q) & known(r) & (q != r), "mismatch").when((q == "-") & known(r), "deletion").when((r == "-") & known(q), "insertion")
-    return columns.select(kind.alias("kind"), r.alias("ref"), q.alias("query")).where("kind is not null").groupBy("kind", "ref", "query").agg(F.count("*").alias("n"))
+    """kind, ref, query, n: mismatches of bases, deletions by reference base, insertions by query base.
+
+    Lower-case letters count as upper-case ones, all other than A, T, G and C as N.
+    """
+    gap = lambda c: F.col(c) == "-"
+    base = lambda c: F.when(gap(c), "-").when(F.upper(c).isin(*BASES), F.upper(c)).otherwise("N")
+    kind = F.when(gap("q"), "deletion").when(gap("r"), "insertion").otherwise("mismatch")
+    pairs = columns.select(kind.alias("kind"), base("r").alias("ref"), base("q").alias("query"))
+    return pairs.where(F.col("ref") != F.col("query")).groupBy("kind", "ref", "query").agg(F.count("*").alias("n"))
 
 
 def deletion_positions(columns: DataFrame, key: str) -> DataFrame:
