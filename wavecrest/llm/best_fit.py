@@ -103,9 +103,10 @@ def pack_best(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
             number += 2 * n
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = list(batches)
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         # an order of the rows' own, whatever order they came in
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         state, number = SumOfSquares(window), (TaskContext.get().partitionId() << 33) + 1
