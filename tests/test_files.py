@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavecrest.operators import sampling as P
-from wavecrest.sources import files, scratch, writers
+from wavecrest.operators import joins
+from wavecrest.sources import dense, files, scratch
 
 
 def test_jsonl_variants(spark, tmp_path):
@@ -24,17 +25,72 @@ def test_concatenated(spark, tmp_path):
     assert sorted((r.a, r.b) for r in out) == [(1, None), (2, None), (3, "}{")]
 
 
-def test_npy(spark, tmp_path):
+def test_dense_layouts(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
     np.save(tmp_path / "b.npy", np.arange(4, dtype=np.int16))
     np.save(tmp_path / "c.npy", np.zeros((2, 2, 2)))
     np.save(tmp_path / "d.npy", np.zeros((0, 5)))
-    rows = sorted((r.path[-5:], r.row, r.data) for r in files.read_npy(spark, str(tmp_path)).collect())
-    assert rows == [("a.npy", 0, [0, 1, 2]), ("a.npy", 1, [3, 4, 5]), ("b.npy", 0, [0, 1, 2, 3])]
-    assert files.read_npy(spark, str(tmp_path), exact=3).count() == 2
-    empty = spark.createDataFrame([], "v array<float>").coalesce(1)
-    assert [(r.file, r.rows) for r in writers.write_npy(empty, f"file://{tmp_path}/out", "v", 7).collect()] == [("part-000000.npy", 0)]
-    assert np.load(tmp_path / "out" / "part-000000.npy").shape == (0, 7)
+    (tmp_path / "sub").mkdir()
+    np.save(tmp_path / "sub" / "e.npy", np.asfortranarray(np.arange(12, dtype=">f8").reshape(4, 3)))
+    np.save(tmp_path / ".hidden.npy", np.zeros((1, 1)))
+    for size in (1, 24, 10**6):
+        rows = sorted((r["index"], r.path[-5:], r.row, r.data) for r in dense.read_dense(spark, str(tmp_path), rangeBytes=size).collect())
+        want = [("a.npy", 0, [0, 1, 2]), ("a.npy", 1, [3, 4, 5]), ("b.npy", 0, [0, 1, 2, 3])] + [("e.npy", k, [3 * k, 3 * k + 1, 3 * k + 2]) for k in range(4)]
+        assert rows == [(k, *r) for k, r in enumerate(want)]
+    assert dense.read_dense(spark, str(tmp_path), exact=3).count() == 6
+    (tmp_path / "raw.bin").write_bytes(np.arange(6, dtype="<f4").tobytes())
+    assert [r.data for r in dense.read_dense(spark, str(tmp_path / "raw.bin"), rawWidth=2).collect()] == [[0, 1], [2, 3], [4, 5]]
+    np.save(tmp_path / "bad.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="not numbers"):
+        dense.read_dense(spark, str(tmp_path)).collect()
+
+
+def test_dense_reads_ranges_only(tmp_path, monkeypatch):
+    """No task reads more than its range, and together they read the file once."""
+    x = np.arange(4000, dtype=np.float32).reshape(1000, 4)
+    np.save(tmp_path / "a.npy", x)
+    reader, took = dense.DenseReader({"path": str(tmp_path), "rangeBytes": "1600"}), []
+    parts = reader.partitions()
+    assert [(p.first, p.last) for p in parts] == [(k, k + 100) for k in range(0, 1000, 100)]
+    plain = dense.read_rows
+    monkeypatch.setattr(dense, "read_rows", lambda f, a, first, last: took.append((last - first) * a.row_bytes) or plain(f, a, first, last))
+    got = np.concatenate([np.array(b.column(3).to_pylist()) for p in parts for b in reader.read(p)])
+    assert (got == x).all() and max(took) <= 1600 and sum(took) == x.nbytes
+
+
+def test_dense_shards(spark, tmp_path):
+    rows = spark.range(250).repartitionByRange(3, "id").sortWithinPartitions("id").select(F.array(F.col("id").cast("float"), F.when(F.col("id") != 7, 2.0).cast("float")).alias("v"))
+    path = f"file://{tmp_path}/out"
+    dense.write_dense(rows, path, "v", 2, shard_rows=40)
+    m = dense.read_manifest(spark, path).orderBy("start").collect()
+    assert sum(r.rows for r in m) == 250 and max(r.rows for r in m) == 40 and [r.start for r in m] == [sum(x.rows for x in m[:k]) for k in range(len(m))]
+    back = dense.read_dense(spark, path, rangeBytes=80).orderBy("index").collect()
+    assert [r["index"] for r in back] == [r.data[0] for r in back] == list(range(250))
+    assert np.isnan(back[7].data[1]) and sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".npy") == [r.shard for r in m]
+    with pytest.raises(Exception, match="holds arrays already"):
+        dense.write_dense(rows, path, "v", 2)
+    assert dense.read_dense(spark, path).count() == 250
+    dense.write_dense(rows.limit(0), path, "v", 2, overwrite=True)
+    assert [p.name for p in (tmp_path / "out").glob("*.npy")] == ["shard_00000.npy"] and np.load(tmp_path / "out" / "shard_00000.npy").shape == (0, 2)
+    assert dense.read_dense(spark, path).count() == 0
+
+
+def test_failed_task_leaves_no_shard(spark, tmp_path):
+    rows = spark.range(200).repartitionByRange(4, "id").select(F.when(F.col("id") != 190, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0))).alias("v"))
+    with pytest.raises(Exception, match="doesn't have 2 numbers"):
+        dense.write_dense(rows, f"file://{tmp_path}/out", "v", 2, shard_rows=10)
+    assert [p for p in (tmp_path / "out").rglob("*")] == []
+
+
+def test_rows_at(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/out"
+    dense.write_dense(spark.range(500).coalesce(2).select(F.array(F.col("id").cast("float")).alias("v")), path, "v", 1, shard_rows=30)
+    wanted = spark.createDataFrame([(k, "x") for k in [3, 3, 3, 499, 29, 30, 500, -1, None, *range(200, 260)]], "g long, data0 string")
+    for shards in (10**6, 0):
+        monkeypatch.setattr(joins, "BROADCAST_SHARDS", shards)
+        out = dense.rows_at(wanted, "g", path).collect()
+        assert len(out) == 69
+        assert all((r.data == [r.g]) if r.g is not None and 0 <= r.g < 500 else r.data is None for r in out)
 
 
 def test_csv_and_pairs(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Joins by position."""
+"""Joins by position and by range."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from wavecrest.sources.scratch import dense_index
 
 
+#: A manifest of so many shards is broadcast; beyond, indices and shards meet in blocks of indices.
+BROADCAST_SHARDS, BLOCK = 100_000, 1 << 20
+
+
+def locate(wanted: DataFrame, index: str, manifest: DataFrame) -> DataFrame:
+    """The wanted rows whose index lies in a shard, with the shard's columns; a shard holds the indices from lo up to hi."""
+    inside = (F.col("lo") <= F.col(index)) & (F.col(index) < F.col("hi"))
+    if manifest.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS:
+        return wanted.join(F.broadcast(manifest), inside)
+    # an equality on blocks of indices, each shard in all blocks that it reaches
+    spread = manifest.where("lo < hi").withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))))
+    return wanted.withColumn("_block", F.floor(F.col(index) / BLOCK)).join(spread, "_block").where(inside).drop("_block")
+
+
 def positions(df: DataFrame, key: str, order: list[str], name: str = "pos") -> DataFrame:
     """Adds each row's place from 0 in its group; ranks are global, so a hot group is no hot task."""
     at = dense_index(df, key, *order, name="_rank")

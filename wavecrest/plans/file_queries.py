@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.sources import files, scratch, writers
+from wavecrest.sources import dense, files, scratch, writers
 from wavecrest.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,12 +54,55 @@ def csv_checked(spark, sf_dir):
 @query("npy_roundtrip", "select count(*) as n, round(sum(list_sum(embedding::double[])), 4) as total, round(max(list_max(embedding))::double, 6) as mx from embeddings")
 def npy_roundtrip(spark, sf_dir):
     path = scratch.folder(spark, "npy")
-    e = table(spark, sf_dir, "embeddings")
-    written = writers.write_npy(e, path, "embedding", 64).agg(F.sum("rows")).first()[0]
-    rows = files.read_npy(spark, path, 64)
+    dense.write_dense(table(spark, sf_dir, "embeddings"), path, "embedding", 64)
     x = F.transform("data", lambda v: v.cast("double"))
-    out = rows.agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)), 4).alias("total"), F.round(F.max(F.array_max(x)), 6).alias("mx"))
-    return out.where(F.col("n") == written)
+    out = dense.read_dense(spark, path, exact=64).agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)), 4).alias("total"), F.round(F.max(F.array_max(x)), 6).alias("mx"))
+    return out.where(F.col("n") == dense.read_manifest(spark, path).agg(F.sum("rows")).first()[0])
+
+
+def _ordered_shards(spark, sf_dir) -> str:
+    """Embeddings in the order of vec_id, in shards of at most 100 rows."""
+    path = scratch.folder(spark, "dense")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+    dense.write_dense(rows, path, "embedding", 64, shard_rows=100)
+    return path
+
+
+_RANKED = "with e as (select row_number() over (order by vec_id) - 1 as gid, embedding from embeddings)"
+
+
+def _total(data: str) -> Column:
+    return F.round(F.aggregate(F.transform(data, lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v), 6).alias("total")
+
+
+@query("dense_ranges", _RANKED + " select gid, embedding[1]::double as first, round(list_sum(embedding::double[]), 6) as total from e")
+def dense_ranges(spark, sf_dir):
+    """Shards read in ranges of 4 kB, each a task of its own."""
+    rows = dense.read_dense(spark, _ordered_shards(spark, sf_dir), rangeBytes=4096)
+    return rows.select(F.col("index").alias("gid"), F.col("data")[0].cast("double").alias("first"), _total("data"))
+
+
+@query(
+    "dense_lookup",
+    _RANKED + ", w as (select event_id, (event_id * 7919 + 42) % ((select count(*) from embeddings) + 5) as gid from events) select event_id, w.gid, e.embedding[1]::double as first, round(list_sum(e.embedding::double[]), 6) as total from w left join e on w.gid = e.gid",
+)
+def dense_lookup(spark, sf_dir):
+    """For each event the vector at an index, by reads of those rows alone; some indices are past the end."""
+    path = _ordered_shards(spark, sf_dir)
+    n = dense.read_manifest(spark, path).agg(F.sum("rows")).first()[0]
+    wanted = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 7919 + 42) % F.lit(n + 5)).alias("gid"))
+    return dense.rows_at(wanted, "gid", path).select("event_id", "gid", F.col("data")[0].cast("double").alias("first"), _total("data"))
+
+
+@query("dense_manifest", "select count(*) as total, 64::bigint as width, true as within, true as gapless from embeddings")
+def dense_manifest(spark, sf_dir):
+    """The manifest of the shards against their files: rows in all, at most 100 in one, each starting where the one before ends."""
+    path = _ordered_shards(spark, sf_dir)
+    m = dense.read_manifest(spark, path)
+    found = dense.read_dense(spark, path).groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("shard")).agg(F.min("index").alias("least"), F.max("index").alias("most"), F.count("*").alias("n"))
+    fits = (F.col("least") == F.col("start")) & (F.col("most") + 1 == F.col("start") + F.col("rows")) & (F.col("n") == F.col("rows"))
+    return m.join(found, "shard", "full").agg(F.sum("rows").alias("total"), F.max("width").alias("width"), (F.max("rows") <= 100).alias("within"), F.every(F.coalesce(fits, F.lit(False))).alias("gapless"))
 
 
 @query("feature_budget", "select vec_id, row_number() over (order by vec_id) - 1 as gid, embedding[1]::double as first from embeddings order by vec_id limit 300")

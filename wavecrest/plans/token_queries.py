@@ -13,6 +13,7 @@ from wavecrest.operators import joins as J
 from wavecrest.operators import quantize as V
 from wavecrest.operators import sampling as P
 from wavecrest.operators import windows as W
+from wavecrest.sources.scratch import total_before
 from wavecrest.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,20 +300,11 @@ _OFF = "with s as (select source, sum(n) over (order by source) - n as lo, sum(n
 
 @query("range_locate", _OFF + " select i.g::bigint as g, s.source, (i.g - s.lo)::bigint as local from i join s on s.lo <= i.g and i.g < s.hi")
 def range_locate(spark, sf_dir):
-    """Global indices to shard and local index; a manifest has one row for each shard, broadcast if they are few."""
+    """Global indices to shard and local index."""
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    w = Window.orderBy("source")
-    manifest = n.select("source", (F.sum("n").over(w) - F.col("n")).alias("lo"), F.sum("n").over(w).alias("hi"))
-    total, shards = n.agg(F.sum("n"), F.count("*")).first()
-    wanted = spark.range(0, total or 0).withColumnRenamed("id", "g")
-    inside = (F.col("lo") <= F.col("g")) & (F.col("g") < F.col("hi"))
-    if shards <= 100_000:
-        found = wanted.join(F.broadcast(manifest), inside)
-    else:
-        # an equality on blocks of indices, each shard in all blocks that it reaches
-        block = 1 << 20
-        spread = manifest.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-        found = wanted.withColumn("block", F.floor(F.col("g") / block)).join(spread, "block").where(inside)
+    manifest = total_before(n, "n", "source", name="lo").select("source", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    total = n.agg(F.sum("n")).first()[0]
+    found = J.locate(spark.range(0, total or 0).withColumnRenamed("id", "g"), "g", manifest)
     return found.select("g", "source", (F.col("g") - F.col("lo")).alias("local"))
 
 

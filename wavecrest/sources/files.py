@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,29 +58,6 @@ def read_csv_checked(spark: SparkSession, path: str, schema: str, column: str, o
     return rows
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.load(io.BytesIO(data.as_buffer()), allow_pickle=False)
-            x = x[None] if x.ndim == 1 else x
-            if x.ndim != 2 or not len(x):
-                continue
-            for at in range(0, len(x), 4096):
-                own = x[at : at + 4096].astype(np.float32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), own.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(own)), pa.array(range(at, at + len(own)), pa.int64()), lists], ["path", "row", "data"])
-
-
-def read_npy(spark: SparkSession, path: str, exact: int | None = None) -> DataFrame:
-    """path, row, data of dense arrays: two dimensions are rows, one is a row, others are skipped; nothing is unpickled.
-
-    exact: only rows of that length.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
-    rows = files.select("path", "content").mapInArrow(_arrays, "path string, row long, data array<float>")
-    return rows if exact is None else rows.where(F.size("data") == exact)
-
-
 def discover(spark: SparkSession, paths: str, suffix: str, group_by: str = "file", recursive: bool = True) -> DataFrame:
     """path and group of the files in a comma list of files and folders, each once, in order.
 

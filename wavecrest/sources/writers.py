@@ -1,13 +1,7 @@
-"""Writers: JSON lines, FASTQ, dense arrays, part files, batches and feature shards."""
+"""Writers: JSON lines, FASTQ, part files, batches and numbers of shards; dense.py writes arrays."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +28,6 @@ def write_fastq(df: DataFrame, path: str, read_id: str, bases: str, quality: int
     df.select(fastq(F.col(read_id).cast("string"), F.col(bases), F.lit(quality)).alias("value")).write.text(path)
 
 
-def write_npy(df: DataFrame, path: str, column: str, width: int) -> DataFrame:
-    """One array file for each part of the rows; returns file and rows, written once the result is read.
-
-    A part without rows gives a file of shape (0, width).  Files are complete before they get their name.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        parts = [np.array(b.column(0).to_pylist(), np.float32).reshape(-1, width) for b in batches]
-        data = io.BytesIO()
-        x = np.concatenate(parts) if parts else np.empty((0, width), np.float32)
-        np.save(data, x)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.npy"
-        with store.open_output_stream(f"{root}/.{name}-{task.taskAttemptId()}") as out:
-            out.write(data.getvalue())
-        store.move(f"{root}/.{name}-{task.taskAttemptId()}", f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(x)], pa.int64())], ["file", "rows"])
-
-    return df.select(column).mapInArrow(run, "file string, rows long")
-
-
 def rebatch(df: DataFrame, rows: int, *order: Column | str) -> DataFrame:
     """Adds batch (a name with a number of six digits) of so many rows each, in order."""
     if rows <= 0:
