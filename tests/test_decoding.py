@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavecrest.functions import alignment, arrays, labels, sequence, signal, weights
+from wavecrest.functions import alignment, arrays, crf, labels, sequence, signal, weights
 from wavecrest.operators import quantize as V
 from wavecrest.operators import windows as W
 from wavecrest.operators.joins import zip_rows
@@ -35,6 +35,61 @@ def test_viterbi_against_all_paths():
     assert sequence.collapse_path([0, 0]) == []
 
 
+def all_crf_paths(m, k, b=4):
+    """(total, labels, moves) of every path of one read."""
+    before = crf.predecessors(k, b)
+    for first in range(b**k):
+        for choice in itertools.product(range(1 + b), repeat=m.shape[0]):
+            # a move from a state is fixed by where it leads
+            s, total, edges = first, 0.0, []
+            for t, c in enumerate(choice):
+                to = s if not c else s % b ** (k - 1) * b + c - 1
+                j = 0 if not c else 1 + s // b ** (k - 1)
+                assert before[to, j] == s
+                total += m[t, to, j]
+                edges.append((to, j))
+                s = to
+            yield total, [1 + to % b if j else 0 for to, j in edges], edges
+
+
+@pytest.mark.parametrize(("k", "steps"), [(1, 1), (1, 4), (2, 3)])
+def test_crf_against_all_paths(k, steps):
+    rng = np.random.default_rng(k + steps)
+    for classes in (4 ** (k + 1), 5 * 4**k):
+        m = crf.moves(rng.standard_normal((3, steps, classes)) * 2, stay=0.5)
+        z, p, best, single = crf.log_partition(m, k), crf.posteriors(m, k), crf.viterbi(m, k), crf.posterior_path(m, k)
+        for r in range(3):
+            paths = list(all_crf_paths(m[r], k))
+            totals = np.array([x for x, _, _ in paths])
+            assert np.isclose(z[r], np.log(np.exp(totals).sum()))
+            assert best[r].tolist() == paths[int(totals.argmax())][1]
+            want = np.zeros(m[r].shape)
+            for x, _, edges in paths:
+                for t, e in enumerate(edges):
+                    want[(t, *e)] += np.exp(x - z[r])
+            assert np.allclose(p[r], want) and np.allclose(want.sum((1, 2)), 1)
+            assert single[r].tolist() == [1 + x // 5 % 4 if x % 5 else 0 for x in want.reshape(steps, -1).argmax(1)]
+            assert np.isclose(crf.forward(m, k, log=False)[r, -1].max(), totals.max()) and np.isclose(crf.backward(m, k, log=False)[r, 0].max(), totals.max())
+
+
+def test_crf_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, rng.standard_normal(64).tolist(), "x"), (2, rng.standard_normal(192).tolist(), None), (3, [], "y"), (4, None, "z"), (5, rng.standard_normal(64).tolist(), "x")]
+    df = spark.createDataFrame(rows, "id long, scores array<double>, labels0 string")
+    for posterior in (False, True):
+        out = {r.id: r for r in crf.decode_crf(df, "scores", 16, 0.3, posterior).collect()}
+        for i, x, other in rows:
+            m = crf.moves(np.array(x or [], float).reshape(1, -1, 16), stay=0.3)
+            path = (crf.posterior_path if posterior else crf.viterbi)(m, 1)[0].tolist() if x else []
+            assert out[i].labels == path and out[i].bases == "".join("NACGT"[b] for b in sequence.collapse_path(path)) and out[i].labels0 == other
+    with pytest.raises(Exception, match="whole steps"):
+        crf.decode_crf(df, "scores", 80).collect()
+    assert crf.state_length(5 * 4**5) == (5, True) and crf.state_length(64) == (2, False)
+    for n in (4, 5, 7):
+        with pytest.raises(ValueError):
+            crf.state_length(n)
+
+
 def brute_score(q, r, match=5, mismatch=-4, opening=8, extend=4):
     """Best local score by recursion over states."""
     from functools import lru_cache

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wavecrest.functions import alignment as A
 from wavecrest.functions import labels as L
 from wavecrest.functions import sequence as Q
+from wavecrest.functions.crf import decode_crf
 from wavecrest.operators import quantize as V
 from wavecrest.operators import sampling as P
 from wavecrest.operators import windows as W
@@ -145,6 +146,56 @@ def crf_viterbi(spark, sf_dir):
     return Q.decode_rows(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 12, 5, lambda s: Q.collapse_path(Q.viterbi_path(s, bonus)))
 
 
+def _crf_reads(spark, sf_dir) -> DataFrame:
+    """A read is twenty vectors by their ids, a vector one step: moves into 16 states of two bases, and none for staying."""
+    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("read"), F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double") * 16).alias("m")).alias("step"))
+    return v.groupBy("read").agg(F.flatten(F.transform(F.array_sort(F.collect_list("step")), lambda s: s.m)).alias("scores"))
+
+
+_STEPS = "e as (select vec_id // 20 as read, row_number() over (partition by vec_id // 20 order by vec_id) as t, list_transform(embedding, lambda x: x::double * 16) as m from embeddings)"
+_INTO = ["f.a[s + 1] + 2.0", *(f"f.a[{j * 4} + s // 4 + 1] + e.m[s * 4 + {j + 1}]" for j in range(4))]
+_FIRST = " ".join(f"when {_INTO[j]} >= greatest({', '.join(_INTO)}) then {j}" for j in range(4))
+_BASES = "p as (select *, lag(label) over (partition by read order by t) as before from l) select read, string_agg(label::varchar, '' order by t) as labels, coalesce(string_agg(substr('NACGT', label + 1, 1), '' order by t) filter (label > 0 and (before is null or label <> before)), '') as bases from p group by read"
+
+
+@query(
+    "crf_kmer_viterbi",
+    f"""with recursive {_STEPS},
+f as (select distinct read, 0::bigint as t, list_transform(range(0, 16), lambda s: 0.0::double) as a, list_transform(range(0, 16), lambda s: 0) as b from e
+  union all select e.read, e.t, list_transform(range(0, 16), lambda s: greatest({', '.join(_INTO)})), list_transform(range(0, 16), lambda s: case {_FIRST} else 4 end) from f join e on e.read = f.read and e.t = f.t + 1),
+w as (select read, t, list_position(a, list_max(a)) - 1 as state from f where t = (select max(t) from e where e.read = f.read)
+  union all select w.read, w.t - 1, case f.b[w.state + 1] when 0 then w.state else (f.b[w.state + 1] - 1) * 4 + w.state // 4 end from w join f on f.read = w.read and f.t = w.t where w.t > 0),
+l as (select w.read, w.t, case f.b[w.state + 1] when 0 then 0 else (1 + w.state % 4)::int end as label from w join f on f.read = w.read and f.t = w.t where w.t > 0),
+{_BASES}""",
+)
+def crf_kmer_viterbi(spark, sf_dir):
+    """The best path through states of two bases."""
+    return _crf_bases(decode_crf(_crf_reads(spark, sf_dir), "scores", 64))
+
+
+_LOG = "list_max({0}) + ln(list_sum(list_transform({0}, lambda y: exp(y - list_max({0})))))"
+
+
+@query(
+    "crf_kmer_posterior",
+    f"""with recursive {_STEPS},
+f as (select distinct read, 0::bigint as t, list_transform(range(0, 16), lambda s: 0.0::double) as a from e
+  union all select e.read, e.t, list_transform(list_transform(range(0, 16), lambda s: [{', '.join(_INTO)}]), lambda x: {_LOG.format('x')}) from f join e on e.read = f.read and e.t = f.t + 1),
+g as (select read, max(t) as t, list_transform(range(0, 16), lambda s: 0.0::double) as b from e group by read
+  union all select e.read, e.t - 1, list_transform(list_transform(range(0, 16), lambda s: [g.b[s + 1] + 2.0, {', '.join(f"g.b[s % 4 * 4 + {c + 1}] + e.m[(s % 4 * 4 + {c}) * 4 + s // 4 + 1]" for c in range(4))}]), lambda x: {_LOG.format('x')}) from g join e on e.read = g.read and e.t = g.t where g.t > 0),
+q as (select e.read, e.t, flatten(list_transform(range(0, 16), lambda s: list_transform([{', '.join(_INTO)}], lambda x: x + g.b[s + 1]))) as x from e join f on f.read = e.read and f.t = e.t - 1 join g on g.read = e.read and g.t = e.t),
+l as (select read, t, case when k % 5 = 0 then 0 else (1 + k // 5 % 4)::int end as label from (select read, t, list_position(x, list_max(x)) - 1 as k from q)),
+{_BASES}""",
+)
+def crf_kmer_posterior(spark, sf_dir):
+    """The most probable move of each step, by forward and backward totals."""
+    return _crf_bases(decode_crf(_crf_reads(spark, sf_dir), "scores", 64, posterior=True))
+
+
+def _crf_bases(df: DataFrame) -> DataFrame:
+    return df.select("read", F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"), "bases")
+
+
 @query("crf_states", "select n_classes::bigint as n_classes, case n_classes when 5 then 0 when 20 then 1 when 80 then 2 when 320 then 3 when 1280 then 4 when 4 then 0 when 16 then 1 when 64 then 2 when 256 then 3 when 1024 then 4 end::int as states from (select unnest([5, 20, 80, 320, 1280, 4, 16, 64, 256, 1024]) as n_classes)")
 def crf_states(spark, sf_dir):
     sizes = [5, 20, 80, 320, 1280, 4, 16, 64, 256, 1024]
