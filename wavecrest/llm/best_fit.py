@@ -17,6 +17,7 @@ are alike in all columns can stand for each other, so a repeated task gives the
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -46,17 +47,21 @@ def piece_table(docs: DataFrame, tokenizer: str, end_id: int, window: int, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        end = end_id.to_bytes(int(bpe.kind[-1]), "little")
+        gc.disable()  # the caches are large and hold no cycles
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2048):
+                ids, ends = bpe.encode_flat(part.column(1))
+                # each document's end id after its own
+                ids = np.insert(ids.astype("<u4"), ends, end_id)
+                ends = ends + 1 + np.arange(len(ends))
                 rows = []
-                for doc_id, packed in zip(part.column(0).to_pylist(), bpe.encode_many(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(packed + end, bpe.kind).astype("<u4")
-                    for k, (at, n) in enumerate(cuts(len(ids), window)):
-                        own = ids[at : at + n]
-                        rows.append((doc_id, k, at, n, zlib.crc32(own.tobytes()), *([own.tolist()] if with_ids else [])))
+                for doc_id, to, n in zip(part.column(0).to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+                    for k, (at, size) in enumerate(cuts(n, window)):
+                        own = ids[to - n + at : to - n + at + size]
+                        rows.append((doc_id, k, at, size, zlib.crc32(own), *([own.tolist()] if with_ids else [])))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], [*PIECE, "ids"][: len(rows[0])])
+        gc.enable()
 
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE_DDL + (", ids array<long>" if with_ids else "")))
 

@@ -20,6 +20,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The public pre-token patterns of the two vocabularies.
@@ -552,6 +554,61 @@ class Bpe:
                 found[k] = x
         return b"".join(found)
 
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts in one row, and the place where each text's end (byte-level models; null: empty).
+
+        Parts between single spaces and line breaks are numbered by Arrow, so that each distinct one is looked
+        up once and the ids of all are gathered by number.  A break between two characters that aren't white
+        space is a pre-token of its own; it stays with the part behind it.  A text with other white space
+        beside a space or break is encoded by itself.
+        """
+        texts = pc.fill_null(texts, "")
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = words.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        n = pc.list_value_length(words).to_numpy()
+        first = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(n)), n)
+        found: list = list(map(self.young.get, parts))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        odd = np.zeros(len(parts), bool)
+        odd[[k for k in gaps if not (p := parts[k].removeprefix("\n")) or p[0].isspace() or p[-1].isspace()]] = True
+        apart = np.zeros(len(n), bool)
+        apart[owner[odd[codes]]] = True
+        lines = [k for k in gaps if parts[k][:1] == "\n" and not odd[k]]
+        new = self._learn({parts[k] for k in gaps if parts[k][:1] != "\n" and not odd[k]}) | self._learn_lines([parts[k] for k in lines])
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
+        for k in gaps:
+            found[k] = b"" if odd[k] else new.get(parts[k]) or self.young.get(parts[k]) or self._remember(parts[k])
+        # the first part has no space before it; a text apart is its own first part
+        found += self.encode_many([texts[k].as_py() if x else parts[codes[first[k]]] for k, x in enumerate(apart.tolist())])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // int(self.kind[-1])
+        ids, at = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        codes[first] = len(parts) + np.arange(len(n))
+        keep = ~apart[owner]
+        keep[first] = True
+        codes, owner = codes[keep], owner[keep]
+        taken = size[codes]
+        begin = np.cumsum(taken) - taken
+        out = ids[np.repeat(at[codes] - begin, taken) + np.arange(int(taken.sum()))]
+        return out, np.cumsum(np.bincount(owner, taken, len(n)).astype(np.int64))
+
+    def _learn_lines(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that follow a line break, the break included; plain words are merged together."""
+        plain, found = {}, {}
+        for p in parts:
+            m = TAIL.fullmatch(p, 1)
+            if m and len(p) < 40 and m[1].isalpha():
+                plain[p] = m.groups()
+            else:
+                found[p] = self._pack(self._ids(p))
+        cores, ends = dict.fromkeys(c for c, _ in plain.values()), {t: self._pack(self.piece(t)) if t else b"" for t in {t for _, t in plain.values()}}
+        made = dict(zip(cores, self.merge_batch([c.encode() for c in cores]), strict=True))
+        line = self._pack(self.piece("\n"))
+        return found | {p: line + made[c] + ends[t] for p, (c, t) in plain.items()}
+
     def encode_packed(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
