@@ -1,13 +1,15 @@
 """Decoders, alignments, filters and stitching against brute force and golden vectors."""
 
+import difflib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavecrest.functions import alignment, arrays, crf, labels, sequence, signal, weights
+from wavecrest.functions import alignment, arrays, crf, labels, pairwise, sequence, signal, weights
 from wavecrest.operators import quantize as V
 from wavecrest.operators import windows as W
 from wavecrest.operators.joins import zip_rows
@@ -105,20 +107,83 @@ def brute_score(q, r, match=5, mismatch=-4, opening=8, extend=4):
     return max((h(i, j) for i in range(len(q) + 1) for j in range(len(r) + 1)), default=0)
 
 
+def edited(rnd, text, n, letters):
+    out = list(text)
+    for _ in range(n):
+        k = rnd.randrange(len(out) + 1)
+        if rnd.random() < 0.5 and k < len(out):
+            del out[k]
+        else:
+            out.insert(k, rnd.choice(letters))
+    return "".join(out)
+
+
+def test_alignment_in_blocks():
+    """However few rows are held, the alignment is the same, and its score that of the recursion."""
+    rnd = random.Random(5)
+    for _ in range(150):
+        letters = rnd.choice(["AC", "ACGT", "ABCDEFG"])
+        q = "".join(rnd.choice(letters) for _ in range(rnd.randrange(50)))
+        r = edited(rnd, q, rnd.randrange(10), letters)
+        whole = pairwise.local_alignment(q, r)
+        assert all(pairwise.local_alignment(q, r, cells=c) == whole for c in (1, 60, 400))
+
+
+def test_long_alignment_in_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(6)
+    q = "".join(rnd.choice("ACGT") for _ in range(20_000))
+    r = edited(rnd, q, 1500, "ACGT")
+    tracemalloc.start()
+    a = pairwise.local_alignment(q, r)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and a["n_match"] > 18_500
+    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([=XIDS])", a["cigar"])]
+    assert sum(n for n, op in ops if op in "=XIS") == len(q) and sum(n for n, op in ops if op in "=XD") == a["ref_end"] - a["ref_start"]
+    i, j = 0, a["ref_start"]
+    for n, op in ops:
+        assert op != "=" or q[i : i + n] == r[j : j + n]
+        i, j = i + n * (op in "=XIS"), j + n * (op in "=XD")
+
+
+def test_blocks_against_difflib():
+    rnd = random.Random(7)
+    for _ in range(300):
+        letters = rnd.choice(["AC", "ACGT", "ABCDEFG"])
+        q = "".join(rnd.choice(letters) for _ in range(rnd.randrange(60)))
+        r = edited(rnd, q, rnd.randrange(15), letters)
+        x, y = [], []
+        for _, a, b, c, d in difflib.SequenceMatcher(None, q, r, autojunk=False).get_opcodes():
+            n = max(b - a, d - c)
+            x.append(q[a:b].ljust(n, "-"))
+            y.append(r[c:d].ljust(n, "-"))
+        assert pairwise.gapped(q, r) == ("".join(x), "".join(y))
+
+
+def test_alignment_columns(spark):
+    rows = [(1, "ACGT", "ACGT"), (2, None, "ACGT"), (3, "AC", None), (4, "", ""), (5, "TTACGTACGTAA", "ACGTACGT")]
+    df = spark.createDataFrame(rows, "id long, q string, r string").select("id", pairwise.align("q", "r").alias("a"), pairwise.indel_align("q", "r").alias("g"))
+    out = {r.id: r for r in df.collect()}
+    for i, q, r in rows:
+        assert out[i].a.asDict() == pairwise.local_alignment(q or "", r or "") and tuple(out[i].g) == pairwise.gapped(q or "", r or "")
+
+
 def test_alignment_scores():
     rng = np.random.default_rng(3)
     for _ in range(60):
         q, r = ("".join(rng.choice(list("ACG"), rng.integers(0, 12))) for _ in range(2))
-        a = sequence.local_alignment(q, r)
+        a = pairwise.local_alignment(q, r)
         score, before = 0, ""
         ops = [op for op in sequence.parse_cigar(a["cigar"]) if op != "S"]
         for op in ops:
             score += {"=": 5, "X": -4}.get(op, -4 if op == before else -8)
             before = op
         assert score == brute_score(q, r), (q, r, a)
-    assert sequence.local_alignment("ACGT", "ACGT")["cigar"] == "4="
-    assert sequence.local_alignment("", "ACGT")["n_match"] == 0
-    assert sequence.local_alignment("TTACGTACGTAA", "ACGTACGT")["cigar"] == "2S8=2S"
+    assert pairwise.local_alignment("ACGT", "ACGT")["cigar"] == "4="
+    assert pairwise.local_alignment("", "ACGT")["n_match"] == 0
+    assert pairwise.local_alignment("TTACGTACGTAA", "ACGTACGT")["cigar"] == "2S8=2S"
 
 
 def test_repair_with_nan(spark):

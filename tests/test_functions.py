@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wavecrest.functions import arrays as A
+from wavecrest.functions import pairwise
 from wavecrest.functions import sequence as Q
 from wavecrest.functions import signal as S
 from wavecrest.operators import quantize as V
@@ -77,10 +78,10 @@ def test_collapse_and_tokens(spark):
 
 
 def test_alignment():
-    same = Q.local_alignment("ACGTACGT", "ACGTACGT")
+    same = pairwise.local_alignment("ACGTACGT", "ACGTACGT")
     assert same["cigar"] == "8=" and same["n_match"] == 8
-    assert Q.local_alignment("", "ACG")["n_match"] == 0
-    gap = Q.local_alignment("ACGTACGTTTACGGACGT", "ACGTACGTTACGGACGT")
+    assert pairwise.local_alignment("", "ACG")["n_match"] == 0
+    gap = pairwise.local_alignment("ACGTACGTTTACGGACGT", "ACGTACGTTACGGACGT")
     assert gap["n_ins"] == 1 and gap["n_match"] == 17
     assert Q.match_vector("2=1X1I1=", 4) == [1, 1, 0, 1]
     assert Q.parse_cigar("=2D") == ["=", "D", "D"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,11 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Label 0 is blank.
 ALPHABET = "NACGT"
-ALIGNMENT = T.StructType([T.StructField("cigar", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_match", "n_mismatch", "n_ins", "n_del", "ref_start", "ref_end"))])
 
 
 def ids_to_bases(ids: Column) -> Column:
@@ -36,51 +33,6 @@ def parse_cigar(cigar: str) -> list[str]:
     return [op for n, op in re.findall(r"(\d*)([=XIDMSHN])", cigar) for _ in range(int(n or 1))]
 
 
-def local_alignment(query: str, ref: str, match: int = 5, mismatch: int = -4, opening: int = 8, extend: int = 4) -> dict:
-    """Smith-Waterman with affine gaps: the first gap base costs opening, each further one extend."""
-    n, m = len(query), len(ref)
-    low = -(10**9)
-    h, e, f = (np.zeros((n + 1, m + 1), np.int64) for _ in range(3))
-    e[:], f[:] = low, low
-    a, b = np.array([ord(c) for c in query], np.int64), np.array([ord(c) for c in ref], np.int64)
-    step = min(extend, opening) * np.arange(m + 1)
-    for i in range(1, n + 1):
-        f[i, 1:] = np.maximum(f[i - 1, 1:] - extend, h[i - 1, 1:] - opening)
-        h[i, 1:] = np.maximum(0, np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch), f[i, 1:]))
-        # a gap opened after a gap is a longer gap, so the row without e has all openings
-        e[i, 1:] = np.maximum.accumulate(h[i] - opening + step)[:-1] - step[:-1]
-        h[i] = np.maximum(h[i], e[i])
-    i, j = (int(x) for x in np.unravel_index(h.argmax(), h.shape))
-    ops: list[str] = []
-    end_q, end_r, state = i, j, "h"
-    while i > 0 and j > 0 and (h[i, j] > 0 or state != "h"):
-        if state == "h":
-            if h[i, j] == h[i - 1, j - 1] + (match if query[i - 1] == ref[j - 1] else mismatch):
-                ops.append("=" if query[i - 1] == ref[j - 1] else "X")
-                i, j = i - 1, j - 1
-            else:
-                state = "e" if h[i, j] == e[i, j] else "f"
-        elif state == "e":
-            ops.append("D")
-            state = "e" if e[i, j] == e[i, j - 1] - extend else "h"
-            j -= 1
-        else:
-            ops.append("I")
-            state = "f" if f[i, j] == f[i - 1, j] - extend else "h"
-            i -= 1
-    ops.reverse()
-    runs = re.findall(r"(.)(\1*)", "".join(ops))
-    cigar = (f"{i}S" if i else "") + "".join(f"{1 + len(r)}{c}" for c, r in runs) + (f"{n - end_q}S" if end_q < n else "")
-    count = {c: ops.count(c) for c in "=XID"}
-    return {"cigar": cigar, "n_match": count["="], "n_mismatch": count["X"], "n_ins": count["I"], "n_del": count["D"], "ref_start": j, "ref_end": end_r}
-
-
-@F.udf(ALIGNMENT, useArrow=True)
-def align(query: str, ref: str):
-    found = local_alignment(query or "", ref or "")
-    return tuple(found[f.name] for f in ALIGNMENT)
-
-
 def accuracy(a: Column, ref_length: Column, balanced: bool = False, min_coverage: float = 0.0) -> Column:
     """Percent of matches over all operations; balanced: (= - I) / (= + X + D); low coverage gives 0."""
     up = a["n_match"] - a["n_ins"] if balanced else a["n_match"]
@@ -100,18 +52,6 @@ def match_vector(cigar: str, length: int, start: int = 0) -> list[int]:
     return out
 
 
-@F.udf(T.StructType([T.StructField("query", T.StringType()), T.StructField("ref", T.StringType())]), useArrow=True)
-def indel_align(query: str, ref: str):
-    """Both strings with '-' where the other has more, by longest matching blocks."""
-    q, r = [], []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, query or "", ref or "", autojunk=False).get_opcodes():
-        x, y = (query or "")[a:b], (ref or "")[c:d]
-        n = max(len(x), len(y))
-        q.append(x.ljust(n, "-"))
-        r.append(y.ljust(n, "-"))
-    return "".join(q), "".join(r)
-
-
 def beam_search(probs: np.ndarray, width: int = 5, cut: float = 1e-3) -> list[int]:
     """CTC prefix beam search over (T, C) probabilities, label 0 blank."""
     beams = {(): (1.0, 0.0)}

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavecrest.functions import pairwise as A
 from wavecrest.functions import sequence as Q
 from wavecrest.operators import joins as J
 from wavecrest.operators import quantize as V
@@ -330,13 +331,13 @@ def _aligned(spark, sf_dir) -> DataFrame:
 
 @query("align_accuracy")
 def align_accuracy(spark, sf_dir):
-    a = _aligned(spark, sf_dir).withColumn("a", Q.align("query", "ref"))
+    a = _aligned(spark, sf_dir).withColumn("a", A.align("query", "ref"))
     return a.select("item_id", F.col("a.cigar").alias("cigar"), F.round(Q.accuracy(F.col("a"), F.length("ref")), 6).alias("accuracy"), F.round(Q.accuracy(F.col("a"), F.length("ref"), True), 6).alias("balanced"))
 
 
 @query("align_errors")
 def align_errors(spark, sf_dir):
-    a = _aligned(spark, sf_dir).select(Q.align("query", "ref").alias("a")).select("a.*")
+    a = _aligned(spark, sf_dir).select(A.align("query", "ref").alias("a")).select("a.*")
     s = a.agg(*(F.sum(c).alias(c) for c in ("n_match", "n_mismatch", "n_ins", "n_del")))
     total = F.col("n_match") + F.col("n_mismatch") + F.col("n_ins") + F.col("n_del")
     return s.withColumn("match_ratio", F.coalesce(F.try_divide(F.col("n_match"), total), F.lit(0.0)))
@@ -344,5 +345,5 @@ def align_errors(spark, sf_dir):
 
 @query("indel_align")
 def indel_align(spark, sf_dir):
-    a = _aligned(spark, sf_dir).withColumn("x", Q.indel_align("query", "ref"))
+    a = _aligned(spark, sf_dir).withColumn("x", A.indel_align("query", "ref"))
     return a.select("item_id", F.col("x.query").alias("query"), F.col("x.ref").alias("ref"))
