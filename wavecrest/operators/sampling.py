@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecrest.sources.scratch import dense_index
@@ -20,10 +20,11 @@ def group_split(groups: DataFrame, key: str, order: Column, ratios: tuple[float,
     """Each group (one row) as train, val or test: rounded shares, one group of train at least."""
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("the ratios must sum to 1")
-    ranked = groups.withColumn("_k", F.row_number().over(Window.orderBy(order, key))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    train = F.greatest(F.lit(1), F.round(F.col("_n") * ratios[0]).cast("int"))
-    val = F.least(F.round(F.col("_n") * ratios[1]).cast("int"), F.col("_n") - train)
-    return ranked.withColumn("part", F.when(F.col("_k") <= train, "train").when(F.col("_k") <= train + val, "val").otherwise("test")).drop("_k", "_n")
+    n = F.lit(groups.count())
+    train = F.greatest(F.lit(1), F.round(n * ratios[0]).cast("int"))
+    val = F.least(F.round(n * ratios[1]).cast("int"), n - train)
+    ranked = dense_index(groups, order, key, name="_k")
+    return ranked.withColumn("part", F.when(F.col("_k") < train, "train").when(F.col("_k") < train + val, "val").otherwise("test")).drop("_k")
 
 
 def sample_per_group(df: DataFrame, group: str, order: list[Column], ratio: float) -> DataFrame:

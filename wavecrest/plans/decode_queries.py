@@ -15,6 +15,7 @@ from wavecrest.functions.crf import decode_crf
 from wavecrest.operators import quantize as V
 from wavecrest.operators import sampling as P
 from wavecrest.operators import windows as W
+from wavecrest.operators.quantiles import exact_quantiles
 from wavecrest.plans.token_queries import _CODES, _DIST, _RES, _coded
 from wavecrest.sources import scratch
 from wavecrest.sources.tables import signals, table
@@ -389,13 +390,25 @@ def token_count_hist(spark, sf_dir):
 
 @query("outliers_5sigma", "with g as (select avg(value) as m, stddev_pop(value) as s, quantile_cont(value, 0.001) as lo, quantile_cont(value, 0.999) as hi from events) select count(*) as n, count(*) filter (where abs(value - m) > 5 * s) as outliers, round(count(*) filter (where abs(value - m) > 5 * s) / count(*)::double, 9) as ratio, count(*) filter (where value between lo and hi) as trimmed, round(avg(case when value between lo and hi then value end), 6) as trimmed_mean from events, g")
 def outliers_5sigma(spark, sf_dir):
-    """Five sigmas, and the mean of what lies between the 0.1 and 99.9 percentiles."""
+    """Five sigmas, and the mean of what lies between the 0.1 and 99.9 percentiles, which are exact at any size."""
     v = table(spark, sf_dir, "events").select("value")
-    g = F.broadcast(v.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.percentile("value", F.lit(0.001)).alias("lo"), F.percentile("value", F.lit(0.999)).alias("hi")))
-    far, inner = F.abs(F.col("value") - F.col("m")) > 5 * F.col("s"), F.col("value").between(F.col("lo"), F.col("hi"))
+    lo, hi = exact_quantiles(v, "value", [0.001, 0.999])
+    g = F.broadcast(v.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")))
+    far, inner = F.abs(F.col("value") - F.col("m")) > 5 * F.col("s"), F.col("value").between(F.lit(lo), F.lit(hi))
     return v.join(g).agg(F.count("*").alias("n"), F.count_if(far).alias("outliers"), F.round(F.count_if(far) / F.count("*"), 9).alias("ratio"), F.count_if(inner).alias("trimmed"), F.round(F.avg(F.when(inner, F.col("value"))), 6).alias("trimmed_mean"))
 
 
+_AT = (0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0)
+
+
+@query("exact_quantiles", " union all ".join(f"select {f}::double as fraction, round(quantile_cont(l_extendedprice, {f}), 6) as price, round(quantile_cont(l_quantity, {f}), 6) as quantity from lineitem" for f in _AT))
+def exact_quantiles_of_lines(spark, sf_dir):
+    """Quantiles of a column with nearly as many values as rows and of one with few; intervals are fetched from 200 rows on."""
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    price, quantity = (exact_quantiles(rows, c, list(_AT), few=200) for c in rows.columns)
+    return spark.createDataFrame([(f, round(p, 6), round(q, 6)) for f, p, q in zip(_AT, price, quantity, strict=True)], "fraction double, price double, quantity double")
+
+
 @query("sliding_events", "select time_bucket(interval 30 minute, ts) - k * interval 30 minute as start, event_type, count(*) as n from events, (select unnest([0, 1]) as k) group by all")
 def sliding_events(spark, sf_dir):
     from wavecrest.streaming.windows import sliding
