@@ -29,21 +29,93 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.round(((x[a : a + step] ** 2).sum(1)[:, None] - 2 * x[a : a + step] @ c.T + (c**2).sum(1)), 9).argmin(1) for a in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
 
 
+#: From so many codes on, a search leaves out groups of codes that are too far away.
+INDEXED_CODES = 1024
+#: Where the groups leave out less than the rest, all distances are computed at once instead; the codes are the same.
+MOST_SHARE = 0.5
+
+
+class CodeIndex:
+    """Nearest centroids, exactly, with distances to few of them computed.
+
+    Centroids are dealt to about sqrt(K) groups around centres of their own, each with a radius.  A vector
+    looks at its nearest group first; then a group is left out for all vectors whose distance to its centre,
+    less the radius, exceeds the best distance so far (the triangle inequality), with a margin for the
+    rounding by which equals are told.  ``share`` is the part of all distances that were computed.
+    """
+
+    def __init__(self, centroids: np.ndarray, rounds: int = 4) -> None:
+        self.c, k = centroids, len(centroids)
+        self.computed = self.total = 0
+        if k < INDEXED_CODES:
+            self.groups = None
+            return
+        centres = centroids[np.linspace(0, k - 1, int(np.sqrt(k))).astype(int)].copy()
+        for _ in range(rounds):
+            own = _nearest(centroids, centres)
+            n = np.bincount(own, minlength=len(centres))
+            total = np.zeros_like(centres)
+            np.add.at(total, own, centroids)
+            centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+        own = _nearest(centroids, centres)
+        self.groups = [g for j in range(len(centres)) if len(g := np.flatnonzero(own == j))]
+        self.centres = np.array([centroids[g].mean(0) for g in self.groups])
+        self.radius = np.array([np.sqrt(((centroids[g] - m) ** 2).sum(1).max()) for g, m in zip(self.groups, self.centres, strict=True)])
+
+    @property
+    def share(self) -> float:
+        return self.computed / max(1, self.total)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Row numbers of the nearest centroids by rounded squared distance, the first of equals."""
+        self.total += len(x) * len(self.c)
+        if self.groups is None or not len(x) or (self.computed and self.share > MOST_SHARE):
+            self.computed += len(x) * len(self.c)
+            return _nearest(x, self.c)
+        step = max(1, 8_000_000 // len(self.c))
+        return np.concatenate([self._block(x[a : a + step]) for a in range(0, len(x), step)])
+
+    def _block(self, x: np.ndarray) -> np.ndarray:
+        squares = (x**2).sum(1)
+        far = np.sqrt(np.maximum(squares[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1), 0))
+        self.computed += far.size
+        first = far.argmin(1)
+        best, code = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+
+        def look(rows: np.ndarray, g: int) -> None:
+            own = self.groups[g]
+            c = self.c[own]
+            d = np.round(squares[rows][:, None] - 2 * x[rows] @ c.T + (c**2).sum(1), 9)
+            self.computed += d.size
+            at = d.argmin(1)
+            d, at = d[np.arange(len(rows)), at], own[at]
+            better = (d < best[rows]) | ((d == best[rows]) & (at < code[rows]))
+            best[rows[better]], code[rows[better]] = d[better], at[better]
+
+        for g in np.unique(first):
+            look(np.flatnonzero(first == g), g)
+        for g in range(len(self.groups)):
+            reach = np.sqrt(np.maximum(best, 0) + 1e-8) * (1 + 1e-9)
+            rows = np.flatnonzero((far[:, g] - self.radius[g] <= reach + 1e-9) & (first != g))
+            if len(rows):
+                look(rows, g)
+        return code
+
+
 def nearest_codes(df: DataFrame, vector: str, codes: np.ndarray, centroids: np.ndarray, levels: int = 1) -> DataFrame:
     """The rows with ``codes``: one code per level, each level on the residual of the former."""
-    shared = df.sparkSession.sparkContext.broadcast((codes, centroids))
+    shared = df.sparkSession.sparkContext.broadcast((codes, CodeIndex(centroids)))
     at = df.columns.index(vector)
-    schema = df.schema.simpleString()[7:-1] + ",codes:array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c = shared.value
+        codes, index = shared.value
         for b in batches:
             x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
             found = []
             for _ in range(levels):
-                k = _nearest(x, c)
+                k = index.nearest(x)
                 found.append(codes[k])
-                x = x - c[k]
+                x = x - index.c[k]
             out = pa.array(np.stack(found, 1).tolist() if b.num_rows else [], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "codes"])
 

@@ -126,6 +126,14 @@ class DenseReader(DataSourceReader):
         self.raw = int(options.get("rawWidth", 0))
         self.suffix = options.get("suffix", ".npy")
 
+    def paths(self) -> list[str]:
+        """Files of the folder and those below it, without hidden ones."""
+        store, root = open_store(self.path)
+        if store.get_file_info(root).type == fs.FileType.File:
+            return [root]
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        return sorted(x.path for x in found if x.is_file and x.path.endswith(self.suffix) and not any(n[:1] in "._" for n in x.path[len(root) :].strip("/").split("/")))
+
     def arrays(self) -> list[tuple[Array, int]]:
         """Files in the order of their global index, and the index of the first row of each."""
         store, root = open_store(self.path)
@@ -136,14 +144,8 @@ class DenseReader(DataSourceReader):
             # all of one writer, so of one layout
             first = header_of(store, f"{root}/{shards[0][SHARD_FILE]}") if shards else None
             return [(Array(f"{root}/{s[SHARD_FILE]}", *s[SHAPE], first.kind, first.offset, first.by_column), s[START]) for s in shards]
-        if store.get_file_info(root).type == fs.FileType.File:
-            paths = [root]
-        else:
-            found = store.get_file_info(fs.FileSelector(root, recursive=True))
-            hidden = lambda p: any(x[:1] in "._" for x in p[len(root) :].strip("/").split("/"))
-            paths = sorted(x.path for x in found if x.is_file and x.path.endswith(self.suffix) and not hidden(x.path))
         with ThreadPoolExecutor(16) as pool:
-            arrays = [a for a in pool.map(lambda p: header_of(store, p, self.raw), paths) if a is not None and a.width]
+            arrays = [a for a in pool.map(lambda p: header_of(store, p, self.raw), self.paths()) if a is not None and a.width]
         out, start = [], 0
         for a in arrays:
             if self.exact is None or a.width == self.exact:
@@ -327,3 +329,51 @@ def rows_at(wanted: DataFrame, index: str, path: str) -> DataFrame:
 
     found = ordered.mapInArrow(run, "_index long, data array<float>")
     return wanted.join(found, wanted[index] == found["_index"], "left").drop("_index")
+
+
+def file_histograms(spark: SparkSession, path: str, low: float, high: float, bins: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """One row for each file: path, status, error, total (finite values) and counts (of each bin, the last one closed).
+
+    A file that can't be read has status error and counts of 0, and no other file is touched by it.  Headers
+    are read by tasks, then ranges, so a large file is shared by many.
+    """
+    names = spark.createDataFrame([(p,) for p in DenseReader({"path": path}).paths()], "path string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = np.linspace(low, high, bins + 1)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(path)
+        for batch in batches:
+            out = []
+            for p in batch.column(0).to_pylist():
+                try:
+                    a = header_of(store, p)
+                    step = max(1, range_bytes // a.row_bytes) if a else 1
+                    out += [(p, at, min(at + step, a.rows), None) for at in range(0, a.rows, step)] if a and a.rows else [(p, 0, 0, None)]
+                except Exception as e:  # whatever is wrong with one file
+                    out.append((p, 0, 0, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "first", "last", "error"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(path)
+        for batch in batches:
+            for p, first, last, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, counts = 0, np.zeros(bins, np.int64)
+                try:
+                    if error is None and last > first:
+                        a = header_of(store, p)
+                        step = max(1, BATCH_BYTES // a.row_bytes)
+                        with store.open_input_file(p) as f:
+                            for at in range(first, last, step):
+                                x = read_rows(f, a, at, min(at + step, last)).ravel()
+                                x = x[np.isfinite(x)]
+                                total, counts = total + len(x), counts + np.histogram(x, edges)[0]
+                except Exception as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([error], pa.string()), pa.array([total]), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["path", "error", "total", "counts"])
+
+    ranges = names.repartition(min(parts, max(1, names.count()))).mapInArrow(plan, "path string, first long, last long, error string")
+    found = ranges.repartition(parts).mapInArrow(count, "path string, error string, total long, counts array<long>")
+    sums = found.groupBy("path").agg(F.max("error").alias("error"), F.sum("total").alias("total"), F.array(*(F.sum(F.col("counts")[k]) for k in range(bins))).alias("counts"))
+    bad = F.col("error").isNotNull()
+    return sums.select("path", F.when(bad, "error").otherwise("success").alias("status"), "error", F.when(bad, 0).otherwise(F.col("total")).alias("total"), F.when(bad, F.array_repeat(F.lit(0).cast("long"), bins)).otherwise(F.col("counts")).alias("counts"))
