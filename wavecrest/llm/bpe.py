@@ -35,6 +35,8 @@ TAIL = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)*)")
 JOINED = re.compile(r"[.,](?<=(?:[^\w\s]|_).)")
 #: No id, in a row of merge_batch; no rule has it.
 NONE = (1 << 20) - 1
+#: Parts behind a line break that are remembered.
+PIECES = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -268,6 +270,8 @@ class Bpe:
         #: Packed ids by a part between spaces, the space before it included in byte-level models.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Of a part behind a line break, the break included.
+        self.behind: dict[str, bytes] = {}
         self.table: tuple[np.ndarray, np.ndarray] | None = None
         self.code = "H" if max(self.bytes_of) < 65536 else "I"
         self.kind = "<u2" if self.code == "H" else "<u4"
@@ -571,17 +575,25 @@ class Bpe:
         owner = np.repeat(np.arange(len(n)), n)
         found: list = list(map(self.young.get, parts))
         gaps = [k for k, x in enumerate(found) if x is None]
+        for k in gaps:
+            if parts[k][:1] == "\n":
+                found[k] = self.behind.get(parts[k])
+        gaps = [k for k in gaps if found[k] is None]
         odd = np.zeros(len(parts), bool)
         odd[[k for k in gaps if not (p := parts[k].removeprefix("\n")) or p[0].isspace() or p[-1].isspace()]] = True
         apart = np.zeros(len(n), bool)
         apart[owner[odd[codes]]] = True
         lines = [k for k in gaps if parts[k][:1] == "\n" and not odd[k]]
-        new = self._learn({parts[k] for k in gaps if parts[k][:1] != "\n" and not odd[k]}) | self._learn_lines([parts[k] for k in lines])
+        new, breaks = self._learn({parts[k] for k in gaps if parts[k][:1] != "\n" and not odd[k]}), self._learn_lines([parts[k] for k in lines])
         if len(self.young) + len(new) > self.size:
             self.old, self.young = self.young, {}
         self.young.update(new)
+        if len(self.behind) + len(breaks) > PIECES:
+            self.behind = {}
+        self.behind.update(breaks)
         for k in gaps:
-            found[k] = b"" if odd[k] else new.get(parts[k]) or self.young.get(parts[k]) or self._remember(parts[k])
+            p = parts[k]
+            found[k] = b"" if odd[k] else breaks[p] if p[:1] == "\n" else new.get(p) or self.young.get(p) or self._remember(p)
         # the first part has no space before it; a text apart is its own first part
         found += self.encode_many([texts[k].as_py() if x else parts[codes[first[k]]] for k, x in enumerate(apart.tolist())])
         size = np.fromiter(map(len, found), np.int64, len(found)) // int(self.kind[-1])
@@ -664,4 +676,4 @@ def load(name: str) -> Bpe:
 def release(name: str) -> None:
     """Forget what a worker's model has cached of words; its rules stay."""
     model = load(name)
-    model.young, model.old = {}, {}
+    model.young, model.old, model.behind = {}, {}, {}
