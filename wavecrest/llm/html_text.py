@@ -10,7 +10,8 @@ Markup is the check on it: a line inside an article or main element is given bac
 has it too, as two articles may share a sentence; one that both neighbours have is template there as
 well.  Lines outside such an element are printed as differencing leaves them.  Lines in elements that
 markup names as menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles
-go in any case.
+go in any case.  A class names such an element only by a whole token of such words.  One inside a line of
+text takes its own text out and leaves the line whole.
 
 Lines that repeat in a page are told apart by their occurrence, so the alignment is a longest
 increasing subsequence, O(n log n) at any length.  Pages are dealt by ranges of (host, path, page_id), so
@@ -44,17 +45,21 @@ RANGE_PAGES, MOST_RANGES = 512, 100_000
 #: Neighbours that share more than this of the shorter page's free text, and of its article, are copies of one article.
 COPY_SHARE = 0.6
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][\w:-]*")
+#: What ends a tag or begins a quoted value in it.
+SPECIAL = re.compile("[>\"']")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "math"}
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = {"article", "main"}
 MARK = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+STORY = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody")
 WORD = re.compile(r"[a-z]+")
-#: Words in class, id or role that name page furniture.
+#: Words in class, id or role that name page furniture, if the token has no words but these and neutral ones.
 FURNITURE = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related recommended recommendations replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo".split())
 HEADERS = {"header", "hero", "topbar"}
+NEUTRAL = set("area articles bar block body bottom box btn button buttons center column container content div form group holder icon icons inner item items js left links list main message middle module outer page panel post posts row right section site slot small sticky stories text title top unit user wrap wrapper x".split())
 #: A paragraph or list item ends where one of these begins or where its parent ends.
 IMPLIED = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 
@@ -62,74 +67,200 @@ IMPLIED = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 def furniture(name: str, attrs: str, in_main: bool) -> bool:
     if name in DROP or name == "header" and not in_main:
         return True
+    if not attrs:
+        return False
     if "=" not in attrs or name in ("html", "body"):
         return bool(re.search(r"\bhidden\b", attrs)) if name not in ("html", "body") else False
     for m in MARK.finditer(attrs):
-        words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
-        if words & FURNITURE or words & HEADERS and not in_main:
-            return name not in MAIN
+        for token in (m[1] or m[2] or m[3] or "").split():
+            # a token with a word of its own names a thing of the story: related-work, menu-recipe
+            words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+            named = words & FURNITURE or words & HEADERS and not in_main
+            if named and words <= FURNITURE | HEADERS | NEUTRAL:
+                return name not in MAIN
     return False
 
 
+class Scanner:
+    """Tags and texts of a page, one pass: a tag's end is sought once from each special character."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.ends: dict[int, int] = {}
+        self.span = (0, -1)
+        self.missing: set[str] = set()
+
+    def _find(self, what: str, at: int) -> int:
+        """Once there is none, there is none further on."""
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the > that ends a tag, quoted values skipped; -1 if the page ends before."""
+        path, out = [], -1
+        while True:
+            # no special character lies between the last start and where it led
+            if not self.span[0] <= at <= self.span[1]:
+                m = SPECIAL.search(self.page, at)
+                self.span = (at, m.start() if m else len(self.page))
+            k = self.span[1]
+            if k == len(self.page):
+                break
+            if k in self.ends:
+                out = self.ends[k]
+                break
+            path.append(k)
+            if self.page[k] == ">":
+                out = k + 1
+                break
+            at = self.page.find(self.page[k], k + 1) + 1
+            if not at:
+                break
+        for k in path:
+            self.ends[k] = out
+        return out
+
+    def parts(self) -> Iterator[tuple[str, str, str]]:
+        """("", "", text), (name, "/" or "", attributes); comments, declarations and raw elements are left out."""
+        page, at, text = self.page, 0, 0
+        while True:
+            k = page.find("<", at)
+            if k < 0:
+                break
+            second, end = page[k + 1 : k + 2], -1
+            if second == "!" or second == "?":
+                if page.startswith("<!--", k):
+                    end = self._find("-->", k + 4) + 3
+                    end = len(page) if end == 2 else end
+                elif not page.startswith("<![CDATA[", k) or (end := self._find("]]>", k + 9) + 3) == 2:
+                    end = self._find(">", k + 2) + 1 or -1
+                if end < 0:
+                    at = k + 1
+                    continue
+                if text < k:
+                    yield "", "", page[text:k]
+                at = text = end
+                continue
+            closing = second == "/"
+            m = NAME.match(page, k + 1 + closing)
+            end = self._tag_end(m.end()) if m else -1
+            if end < 0:
+                at = k + 1
+                continue
+            if text < k:
+                yield "", "", page[text:k]
+            at = text = end
+            name, attrs = m[0].lower(), page[m.end() : end - 1]
+            if name in RAW and not closing:
+                if not attrs.endswith("/"):
+                    found = re.compile(rf"</{name}\s*>", re.I).search(page, at) if name not in self.missing else None
+                    if not found:
+                        self.missing.add(name)
+                    at = text = found.end() if found else len(page)
+                continue
+            yield name, "/" if closing else "", attrs
+        if text < len(page):
+            yield "", "", page[text:]
+
+
+class Open:
+    """Open elements, with counts of those that hide or mark text, so that no tag looks through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.aside = self.main = self.hidden = 0
+
+    @property
+    def zone(self) -> int:
+        return 0 if self.aside else 2 if self.main else 1
+
+    def push(self, name: str, out: bool, main: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, out, main))
+        self._count(name, out, main, 1)
+
+    def pop(self) -> None:
+        name, out, main = self.stack.pop()
+        self.places[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        self._count(name, out, main, -1)
+
+    def _count(self, name: str, out: bool, main: bool, by: int) -> None:
+        # furniture in a line of text hides its own text and leaves the line whole
+        self.aside += by * (out and name in BLOCK)
+        self.hidden += by * (out and name not in BLOCK)
+        self.main += by * main
+
+    def closed_by(self, name: str) -> int | None:
+        """The place of the element that a closing tag ends; one in a line of text ends nothing outside its block."""
+        own = self.places.get(name)
+        if not own or name not in BLOCK and self.blocks and self.blocks[-1] > own[-1]:
+            return None
+        return own[-1]
+
+    def ended_by(self, name: str) -> int | None:
+        """The place of an element that the beginning of a block ends: a paragraph, an item beside it, open marks of text."""
+        if self.blocks:
+            last = self.stack[self.blocks[-1]][0]
+            if last == "p" or last == name and name in IMPLIED:
+                return self.blocks[-1]
+        if self.stack and self.stack[-1][0] not in BLOCK and not self.stack[-1][1]:
+            return len(self.stack) - 1
+        return None
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """Lines of a page with zone: 2 in an article or main element, 1 elsewhere, 0 furniture; so many neighbours delete a line."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
-    zone = 1
-    at, end = 0, len(page)
+    now = Open()
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((text, zone))
-
-    def rezone() -> int:
-        return 0 if any(x[1] for x in stack) else 2 if any(x[2] for x in stack) else 1
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            buffer.append(page[at:])
-            break
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+                out.append((text, now.zone))
+
+    def close(place: int) -> None:
+        if (now.aside or now.main) and any(x[2] or x[1] and x[0] in BLOCK for x in now.stack[place:]):
+            # the zone may change
+            flush()
+        while len(now.stack) > place:
+            now.pop()
+
+    for name, closing, attrs in Scanner(page).parts():
+        if not name:
+            if not now.hidden:
+                buffer.append(attrs)
             continue
-        name, closing = m[2].lower(), bool(m[1])
         if name == "br":
             buffer.append(" ")
             continue
-        if name in RAW and not closing:
-            if not m[3].endswith("/"):
-                found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = found.end() if found else end
-            continue
         block = name in BLOCK
         if block:
             flush()
-        elif closing is False and name not in VOID and name not in ("span", "b", "i", "em", "strong", "a", "u", "small", "code", "sup", "sub") and furniture(name, m[3], zone == 2):
-            flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if not block and stack[k][1]:
-                        flush()
-                    del stack[k:]
-                    break
-                if not block and stack[k][0] in BLOCK:
-                    break
-            zone = rezone()
-        elif name not in VOID and not m[3].endswith("/"):
-            if block and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "ul", "ol", "dl") or name in ("li", "td", "th", "tr", "dt", "dd"):
-                while stack and (stack[-1][0] == "p" and name != "span" or stack[-1][0] == name and name in IMPLIED or stack[-1][0] not in BLOCK and not stack[-1][1]):
-                    stack.pop()
-                zone = rezone()
-            stack.append((name, furniture(name, m[3], zone == 2), name in MAIN or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", m[3]))))
-            zone = rezone()
+            place = now.closed_by(name)
+            if place is not None:
+                close(place)
+        elif name not in VOID and not attrs.endswith("/"):
+            if block and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "ul", "ol", "dl") or name in IMPLIED:
+                while (place := now.ended_by(name)) is not None:
+                    close(place)
+            main = name in MAIN or bool(attrs and STORY.search(attrs))
+            if main and not block:
+                flush()
+            now.push(name, furniture(name, attrs, now.zone == 2), main)
     flush()
     return out
 
