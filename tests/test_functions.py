@@ -95,6 +95,42 @@ def test_beam_and_states():
         Q.crf_states(7)
 
 
+def test_plans_and_states_of_columns(spark):
+    sizes = [5 * 4**k for k in range(9)] + [4 ** (k + 1) for k in range(9)]
+    out = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", Q.crf_state_length(F.col("n")).alias("k")).collect()
+    assert all(r.k == Q.crf_states(r.n) for r in out)
+    with pytest.raises(Exception, match="no state length"):
+        spark.createDataFrame([(7,)], "n long").select(Q.crf_state_length(F.col("n"))).collect()
+    rows = spark.createDataFrame([(1000, t) for t in range(-100, 900, 25)], "c long, t long").select("t", *W.overlap_plans(F.col("c"), 50, F.col("t"))).collect()
+    assert all(list(W.overlap_plan(1000, 50, r.t).values())[2:] == list(r)[1:] for r in rows)
+    with pytest.raises(Exception, match="smaller than the chunk"):
+        spark.createDataFrame([(100, 200)], "c long, t long").select(*W.overlap_plans(F.col("c"), 10, F.col("t"))).collect()
+
+
+def test_codebook_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((37, 5))
+    codes = [*range(35), 3, 3]
+    df = spark.createDataFrame([(c, v.tolist()) for c, v in zip(codes, x, strict=True)], "c int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (u @ u.T)[np.array(codes)[:, None] != np.array(codes)]
+    for block in (4, 10, 1000):
+        r = V.pair_cosines(df, "c", "v", block).first()
+        assert r.n == len(s) and r.b3 == (abs(s) < 0.3).sum() and r.a9 == (abs(s) > 0.9).sum()
+        assert np.allclose([r.total, r.total_abs, r.squares, r.mx, r.mn], [s.sum(), abs(s).sum(), (s * s).sum(), s.max(), s.min()])
+
+
+def test_selected_shards(spark):
+    from wavecrest.operators.sampling import select_shards, spread
+
+    m = spark.range(100).select("id", (F.col("id") * 2).alias("n"))
+    kept, totals = select_shards(m, "id", "n", 0.3)
+    ids = [r.id for r in m.where(spread(F.col("id")) < 300000.9).collect()]
+    assert sorted(r.id for r in kept.collect()) == ids and totals == {"shards": len(ids), "rows": 2 * sum(ids)}
+    with pytest.raises(ValueError):
+        select_shards(m, "id", "n", 0.0)
+
+
 def test_stream_repair(spark, tmp_path):
     from wavecrest.streaming.windows import repair_stream
 

@@ -78,6 +78,15 @@ def crf_states(n_classes: int, bases: int = 4) -> int:
     raise ValueError(f"no state length gives {n_classes} classes")
 
 
+def crf_state_length(n_classes: Column, bases: int = 4) -> Column:
+    """crf_states() of a column."""
+    with_blank = F.round(F.log(float(bases), n_classes / (bases + 1)))
+    without = F.round(F.log(float(bases), n_classes)) - 1
+    fits = lambda k, n: (k >= 0) & (F.pow(F.lit(bases), k) * n == n_classes)
+    wrong = F.raise_error(F.concat(F.lit("no state length gives "), n_classes.cast("string"))).cast("int")
+    return F.when(fits(with_blank, bases + 1), with_blank.cast("int")).when(fits(without, bases), without.cast("int")).otherwise(wrong)
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavecrest.sources.scratch import dense_index
+
 #: A codebook is broadcast to all tasks; larger ones are refused.
 MAX_CODEBOOK_BYTES = 512 << 20
 
@@ -138,11 +140,12 @@ def kmeans(df: DataFrame, vector: str, start: np.ndarray, iterations: int) -> np
                 n += np.bincount(k, minlength=len(c))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int64()), pa.array(n), pa.array(total.tolist(), pa.list_(pa.float64()))], ["k", "n", "s"])
 
-        parts = df.select(vector).mapInArrow(run, "k long, n long, s array<double>").select("k", "n", F.posexplode("s").alias("d", "v"))
-        sums = parts.groupBy("k", "d").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).where("n > 0").collect()
+        parts = df.select(vector).mapInArrow(run, "k long, n long, s array<double>").where("n > 0")
+        # one row of sums for each centroid
+        sums = parts.groupBy("k").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[d]) for d in range(c.shape[1]))).alias("s")).collect()
         c = c.copy()
         for r in sums:
-            c[r.k, r.d] = r.v / r.n
+            c[r.k] = np.array(r.s) / r.n
     return c
 
 
@@ -185,26 +188,35 @@ def assign(df: DataFrame, key: str, vector: str, centroids: np.ndarray) -> DataF
     return df.select(key, vector).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, cluster long, distance double")
 
 
-def pair_cosines(df: DataFrame, codes: np.ndarray, centroids: np.ndarray) -> DataFrame:
+#: Rows of a block; a task compares two blocks.
+BLOCK_ROWS = 2048
+
+
+def pair_cosines(df: DataFrame, code: str, vector: str, block: int = BLOCK_ROWS) -> DataFrame:
     """One row of sums over the cosines of all ordered pairs of different codes: n, total, total_abs, squares, mx, mn,
-    b1 .. b9 (absolute value below 0.1 .. 0.9) and a9 (above 0.9).  df holds the code and the vector."""
-    shared = df.sparkSession.sparkContext.broadcast((codes, centroids / np.linalg.norm(centroids, axis=1, keepdims=True)))
-    names = ["n", *(f"b{k}" for k in range(1, 10)), "a9", "total", "total_abs", "squares", "mx", "mn"]
+    b1 .. b9 (absolute value below 0.1 .. 0.9) and a9 (above 0.9).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c = shared.value
-        step = max(1, 8_000_000 // max(1, len(c)))
-        for b in batches:
-            own, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for a in range(0, len(x), step):
-                s = (x[a : a + step] @ c.T)[own[a : a + step, None] != codes[None]]
-                if len(s):
-                    size = np.abs(s)
-                    row = [len(s), *(int((size < k / 10).sum()) for k in range(1, 10)), int((size > 0.9).sum()), s.sum(), size.sum(), (s * s).sum(), s.max(), s.min()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 11 else pa.float64()) for k, v in enumerate(row)], names)
-
-    parts = df.mapInArrow(run, ", ".join(f"{n} {'long' if k < 11 else 'double'}" for k, n in enumerate(names)))
+    Codes are dealt to blocks by their order and each pair of blocks is one task's, so a codebook of any size
+    is compared and none is held whole; only counts leave a task.
+    """
+    names = ["n", *(f"b{k}" for k in range(1, 10)), "a9", "total", "total_abs", "squares", "mx", "mn"]
+    at = dense_index(df.select(F.col(code).cast("long").alias("code"), F.col(vector).alias("v")), "code", F.xxhash64("v"), name="at").withColumn("b", F.floor(F.col("at") / block).cast("int"))
+    last = at.agg(F.max("b")).first()[0] or 0
+    pair = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    dealt = at.select("code", "v", "b", F.explode(pair).alias("p")).select("p.i", "p.j", "b", "code", "v")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        code, x = rows["code"].to_numpy(), np.array(rows["v"].to_pylist(), float).reshape(rows.num_rows, -1)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        one = rows["b"].to_numpy() == rows["i"][0].as_py()
+        # a pair of blocks stands for both orders
+        left, right, times = (one, one, 1) if rows["i"][0] == rows["j"][0] else (one, ~one, 2)
+        s = (x[left] @ x[right].T)[code[left][:, None] != code[right][None]]
+        size = np.abs(s)
+        row = [times * v for v in (len(s), *(int((size < k / 10).sum()) for k in range(1, 10)), int((size > 0.9).sum()), s.sum(), size.sum(), (s * s).sum())] + [s.max() if len(s) else None, s.min() if len(s) else None]
+        return pa.Table.from_arrays([pa.array([v], pa.int64() if k < 11 else pa.float64()) for k, v in enumerate(row)], names)
+
+    parts = dealt.groupBy("i", "j").applyInArrow(compare, ", ".join(f"{n} {'long' if k < 11 else 'double'}" for k, n in enumerate(names)))
     return parts.agg(*((F.max if n == "mx" else F.min if n == "mn" else F.sum)(n).alias(n) for n in names))
 
 

@@ -44,6 +44,15 @@ def bernoulli(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFram
     return df.where(spread(F.col(key), seed) < 1000003 * ratio)
 
 
+def select_shards(manifest: DataFrame, key: str, rows: str, ratio: float, seed: int = 42) -> tuple[DataFrame, dict[str, int]]:
+    """Shards that a hash keeps with this probability, and the totals (shards, rows) of them; none is an error."""
+    kept = bernoulli(manifest, key, ratio, seed)
+    found = kept.agg(F.count("*").alias("shards"), F.coalesce(F.sum(rows), F.lit(0)).alias("rows")).first().asDict()
+    if not found["shards"]:
+        raise ValueError(f"a ratio of {ratio} keeps no shard")
+    return kept, found
+
+
 def fixed_sample(df: DataFrame, key: str, ratio: float, least: int = 0) -> DataFrame:
     """int(n * ratio) rows of the whole table, so many at least, in order of a hash of the key."""
     if not 0 <= ratio <= 1:

@@ -63,6 +63,13 @@ def overlap_plan(chunk_size: int, window: int, target: int) -> dict[str, int]:
     return {"chunk_size": chunk_size, "window": window, "overlap": overlap, "stride": chunk_size - overlap, "tokens": chunk_size // window}
 
 
+def overlap_plans(chunk_size: Column, window: int, target: Column) -> tuple[Column, Column, Column]:
+    """overlap_plan() of columns: overlap, stride and tokens."""
+    overlap = F.greatest(F.lit(0.0), F.bround(target / window)).cast("long") * window
+    overlap = F.when(overlap >= chunk_size, F.raise_error(F.lit("the overlap must be smaller than the chunk")).cast("long")).otherwise(overlap)
+    return overlap, chunk_size - overlap, F.floor(chunk_size / window)
+
+
 def micro_batches(chunk_index: Column, most: int) -> Column:
     """Number of the batch of at most so many chunks that a chunk of a read goes with."""
     if most <= 0:

@@ -197,10 +197,12 @@ def _crf_bases(df: DataFrame) -> DataFrame:
     return df.select("read", F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"), "bases")
 
 
-@query("crf_states", "select n_classes::bigint as n_classes, case n_classes when 5 then 0 when 20 then 1 when 80 then 2 when 320 then 3 when 1280 then 4 when 4 then 0 when 16 then 1 when 64 then 2 when 256 then 3 when 1024 then 4 end::int as states from (select unnest([5, 20, 80, 320, 1280, 4, 16, 64, 256, 1024]) as n_classes)")
+@query("crf_states", "select p_partkey, p_size::bigint as p_size, n_classes, case n_classes when 5 then 0 when 20 then 1 when 80 then 2 when 320 then 3 when 1280 then 4 when 4 then 0 when 16 then 1 when 64 then 2 when 256 then 3 when 1024 then 4 end::int as states from (select p_partkey, p_size, case when p_partkey % 2 = 0 then 5 * (4 ** (p_size % 5))::bigint else (4 ** (p_size % 5 + 1))::bigint end as n_classes from part)")
 def crf_states(spark, sf_dir):
-    sizes = [5, 20, 80, 320, 1280, 4, 16, 64, 256, 1024]
-    return spark.createDataFrame([(n, Q.crf_states(n)) for n in sizes], "n_classes long, states int")
+    """Widths of score rows, made from the sizes of parts, to lengths of states."""
+    k = F.col("p_size") % 5
+    p = table(spark, sf_dir, "part").withColumn("n_classes", F.when(F.col("p_partkey") % 2 == 0, 5 * F.pow(F.lit(4), k)).otherwise(F.pow(F.lit(4), k + 1)).cast("long"))
+    return p.select("p_partkey", F.col("p_size").cast("long").alias("p_size"), "n_classes", Q.crf_state_length(F.col("n_classes")).alias("states"))
 
 
 # -- windows and stitching ---------------------------------------------------------------------------------
@@ -235,10 +237,12 @@ def stitch_chunks(spark, sf_dir):
     return out.select("conv_id", F.md5("bases").alias("digest"), "stub")
 
 
-@query("overlap_plans", "select c::bigint as chunk_size, t::bigint as target, (round_even(t / 50.0, 0) * 50)::bigint as overlap, (c - round_even(t / 50.0, 0) * 50)::bigint as stride, (c // 50)::bigint as tokens from (select unnest([1000, 2000, 6000]) as c), (select unnest([0, 120, 260, 475]) as t)")
+@query("overlap_plans", "select p_partkey, c as chunk_size, t as target, (round_even(t / 50.0, 0) * 50)::bigint as overlap, (c - round_even(t / 50.0, 0) * 50)::bigint as stride, (c // 50)::bigint as tokens from (select p_partkey, 1000 * (1 + p_size % 6)::bigint as c, (p_partkey * 37 % 500)::bigint as t from part)")
 def overlap_plans(spark, sf_dir):
-    plans = [(c, t, W.overlap_plan(c, 50, t)) for c in (1000, 2000, 6000) for t in (0, 120, 260, 475)]
-    return spark.createDataFrame([(c, t, p["overlap"], p["stride"], p["tokens"]) for c, t, p in plans], "chunk_size long, target long, overlap long, stride long, tokens long")
+    """Chunk sizes and wished overlaps, made from parts, to overlaps of whole windows."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (1000 * (1 + F.col("p_size") % 6)).cast("long").alias("chunk_size"), (F.col("p_partkey") * 37 % 500).alias("target"))
+    overlap, stride, tokens = W.overlap_plans(F.col("chunk_size"), 50, F.col("target"))
+    return p.select("*", overlap.alias("overlap"), stride.alias("stride"), tokens.alias("tokens"))
 
 
 @query("micro_batches", _SIG + " select read, (k // 3)::bigint as batch, count(*) as n from (select read, unnest(generate_series(0, (n - 16) // 8)) as k from a where n >= 16) group by all")

@@ -100,7 +100,7 @@ _ORTHO = "with c as (select vec_id, embedding::double[] as v from embeddings), s
 def codebook_orthogonality(spark, sf_dir):
     """All pairs of a codebook, the whole table here: blocks of it against the broadcast codebook, whose size is checked."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    s = V.pair_cosines(e, *V.load_codebook(e, "vec_id", "embedding"))
+    s = V.pair_cosines(e, "vec_id", "embedding", 512)
     m = F.col("total_abs") / F.col("n")
     mean = F.col("total") / F.col("n")
     share = [F.round(F.col(f"b{k}") / F.col("n"), 6).alias(f"below_0{k}") for k in range(1, 10)]
@@ -272,6 +272,30 @@ def shard_sample(spark, sf_dir):
     return P.bernoulli(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.25)
 
 
+@query("shard_selection", f"with k as (select l_suppkey as shard, count(*) as n from lineitem where (l_suppkey * 7919 + 42) % 1000003 < 1000003 * 0.4 group by 1) select shard, n, (select sum(n) from k)::bigint as total, (select count(*) from k) as shards from k")
+def shard_selection(spark, sf_dir):
+    """Shards of a manifest kept by a hash, with the totals of those that stay."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("shard")).agg(F.count("*").alias("n"))
+    kept, totals = P.select_shards(n, "shard", "n", 0.4)
+    return kept.select("shard", "n", F.lit(totals["rows"]).cast("long").alias("total"), F.lit(totals["shards"]).cast("long").alias("shards"))
+
+
+_DAY = "date_trunc('day', ts)::date"
+
+
+@query("event_rollup", f"select event_type, {_DAY} as day, count(*) as n, count(distinct user_id) as users, grouping(event_type, {_DAY})::bigint as level from events group by rollup (event_type, {_DAY})")
+def event_rollup(spark, sf_dir):
+    """Counts by type and day, by type, and of all."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.grouping_id().alias("level"))
+
+
+@query("line_cube", "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as quantity, grouping(l_returnflag, l_linestatus)::bigint as level from lineitem group by cube (l_returnflag, l_linestatus)")
+def line_cube(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus")
+    return rows.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.grouping_id().alias("level"))
+
+
 # -- joins -------------------------------------------------------------------------------------------
 
 
