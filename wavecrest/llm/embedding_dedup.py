@@ -174,12 +174,14 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, trees: int = 5, leaf: in
     if usual is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     node = ["label", "size", "f1", "f2"]
-    nodes = good.groupBy(*node).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).checkpoint()
-    reps = good.join(nodes, node).where("vec_id = rep").dropDuplicates(["vec_id", *node]).select("vec_id", "label", "size", "m", "unit").checkpoint()
+    # numbers of their own, in the order of the least id: different vectors may share one
+    nodes = good.groupBy(*node).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    nodes = nodes.repartitionByRange(n_parts, "rep", *node).sortWithinPartitions("rep", *node).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    reps = good.join(nodes, node).where("vec_id = rep").dropDuplicates(["id"]).select(F.col("id").alias("vec_id"), "label", "size", "m", "unit").checkpoint()
     # at most SAMPLE_ROWS vectors come to the driver
     n = reps.count()
     labels = max(1, reps.select("label").distinct().count())
-    sample = reps.where(F.col("size") == usual["size"]).orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("unit")).limit(SAMPLE_ROWS).select("unit").collect()
+    sample = reps.where(F.col("size") == usual["size"]).orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE_ROWS).select("unit").collect()
     x = np.frombuffer(b"".join(bytes(r.unit) for r in sample), float).reshape(len(sample), -1)
     depth = max(0, int(np.ceil(np.log2(max(1.0, n / labels / leaf)))))
     gap = np.sqrt(2 - 2 * cosine) / np.sqrt(x.shape[1])
@@ -209,10 +211,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, trees: int = 5, leaf: in
     )
     dealt = block.select("label", "size", "leaf", "vec_id", "m", "unit", "codes", F.explode(pairs).alias("p")).select("label", "size", "leaf", "p.bi", "p.bj", "p.side", "vec_id", "m", "unit", "codes")
     found = materialize(dealt.repartition(n_parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_compare(cosine), "vec_id long, d long, a long, b long"))
-    degree = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("d").alias("d"))
-    groups = components(found.where("a is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    per_class = nodes.join(degree, "rep", "left").join(groups, "rep", "left")
-    per_class = per_class.select(*node, (F.col("m") - 1 + F.coalesce("d", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")).checkpoint()
+    degree = found.where("vec_id is not null").groupBy(F.col("vec_id").alias("id")).agg(F.sum("d").alias("d"))
+    groups = components(found.where("a is not null").select("a", "b"))
+    per_class = nodes.join(degree, "id", "left").join(groups, "id", "left").withColumn("least", F.coalesce("component", "id"))
+    per_class = per_class.join(nodes.select(F.col("id").alias("least"), F.col("rep").alias("c")), "least")
+    per_class = per_class.select(*node, (F.col("m") - 1 + F.coalesce("d", F.lit(0))).alias("n"), "c").checkpoint()
     out = own.join(per_class, node, "left")
     component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("c")), F.col("vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.col("n"))
