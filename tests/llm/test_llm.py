@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavecrest.llm import bpe, encode, jaccard, packing, pii, token_counts, toxicity
@@ -42,6 +44,19 @@ def test_bpe_equals_library():
                 assert list(own.encode_stream(t[j : j + k] for j in range(0, len(t), k))) == ids
 
 
+def test_column_encoding_equals_library():
+    rnd = random.Random(14)
+    own, lib = bpe.load("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    texts = [t for _, t in ODD] + ["", " ", "a\n\nb", "a\n's b", "a \n b", "\nx y", "a\n<|endoftext|> b", "x\n1a b\n", "foo.\nBar baz,\nqux."]
+    texts += ["".join(rnd.choice("ab '<|>\n\t é9-_.   ") for _ in range(rnd.randrange(80))) for _ in range(1500)]
+    column = pa.array(texts, pa.string())
+    for part in (column, column.slice(5, 300), column.slice(0, 0)):
+        ids, ends = own.encode_flat(part)
+        assert len(ends) == len(part) and (not len(ends) or ends[-1] == len(ids))
+        for t, a, b in zip(part.to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+            assert ids[a:b].tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_transducer(monkeypatch):
     """Any cut into blocks gives the library's ids; the state stays small on a text of 50 MB."""
     rnd = random.Random(8)
@@ -246,6 +261,27 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i) for i in (1001, 1002, 1003, 1004, 1005))
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Different vectors under one id have links and classes of their own."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((12, 8))
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.001, 0.0], 0)]
+    rows += [(int(rng.integers(3, 25)), (centres[k % 12] + rng.standard_normal(8) * rng.choice([0, 0.02, 0.3])).tolist(), int(k % 2)) for k in range(150)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    linked = [[j for j in range(len(rows)) if j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98] for i in range(len(rows))]
+    want = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in linked[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        least = min(rows[j][0] for j in seen)
+        want.append((rows[i][0], len(linked[i]), least, rows[i][0] == least))
+    out = emb.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=40).collect()
+    assert sorted(tuple(r) for r in out) == sorted(want)
+
+
 def test_embeddings_of_other_lengths(spark, monkeypatch):
     """Vectors of uncommon lengths link among themselves; large leaves and repeated rows count each link once."""
     monkeypatch.setattr(emb, "LEAF_ROWS", 40)
@@ -322,6 +358,31 @@ def test_learned_filters(spark, sf_dir):
     assert toxicity.drop_toxic(frame(spark, ODD), labels).columns == frame(spark, ODD).columns
 
 
+def test_words_are_chosen_without_the_fold(monkeypatch):
+    """No choice of words behind a fold's probabilities has seen a label of the fold."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(40)) for _ in range(30)) for _ in range(200)]
+    y = np.array([k % 5 == 0 for k in range(200)])
+    group, seen, plain = toxicity.near_groups(texts), [], toxicity._select
+    monkeypatch.setattr(toxicity, "_select", lambda h, y, g, rate=0.05: seen.append(set((g % 4).tolist())) or plain(h, y, g, rate))
+    assert toxicity.fit_chain(texts, np.stack([y, y & False, y], 1))
+    assert [s for s in seen if len(s) == 4] and all({0, 1, 2, 3} - {f} in seen for f in set((group % 4).tolist()))
+
+
+def test_site_priors_leave_the_document_out(spark):
+    """Priors by hand: a document alone on its host gets the global share, others the rest of their sites."""
+    rows = [(1, "a", "a/x", 0.9), (2, "a", "a/x", 0.2), (3, "a", "a/y", 0.6), (4, "b", "b/x", 0.1)]
+    evidence = spark.createDataFrame(rows, "doc_id long, host string, path string, p_doc double")
+    sums = {(r.host, r.path): r for r in site.site_sums(evidence).collect()}
+    for _, host, path, p in rows:
+        r = sums[host, path]
+        same_path, same_host = ([q[3] for q in rows if q[k] == v and q[3] != p] for k, v in ((2, path), (1, host)))
+        own_host = (sum(same_host) + r.kappa * r["mean"]) / (len(same_host) + r.kappa)
+        found = site.priors_without(p, *(r[c] for c in site.SUMS))
+        assert np.allclose(found, (own_host, (sum(same_path) + r.kappa * own_host) / (len(same_path) + r.kappa)))
+        assert np.isclose(r["mean"], 0.45) and (host == "a" or np.isclose(found[1], r["mean"]))
+
+
 def test_toxic_recall_of_small_samples(spark):
     from tests.conftest import SMALL
 
@@ -476,6 +537,33 @@ def test_tagger_held_out(monkeypatch):
     assert len(wanted & set(whole)) > 0.9 * len(wanted)
 
 
+@pytest.mark.parametrize(
+    ("page_html", "lines"),
+    [
+        ("<article><p>Text before <span class='share'>Share</span> text after</p></article>", ["Text before text after"]),
+        ("<article><p>a <a class='search-link'>b</a> c <b class='ad'>no</b> d</p></article>", ["a b c d"]),
+        ("<article><div class='related-work'>story</div><div class='related-posts box'>no</div></article>", ["story"]),
+        ("<article><div class='menu-item-recipe'>soup</div><div class='menuItem'>no</div></article>", ["soup"]),
+        ("<article><p>a <button>no</button> b</p><p><span class=ad>no<p>c</article>", ["a b", "c"]),
+        ("<p>1<p>2<ul><li>3<li>4<ul><li>5</ul></ul>6", ["1", "2", "3", "4", "5", "6"]),
+        ("x <!-- no --> y <![CDATA[no > no]]> z <! no> 1 < 2 <b c='>'>w</b> <u", ["x y z 1 < 2 w <u"]),
+        ("a<script>no</script>b<style>no", ["ab"]),
+        ("<div hidden>no</div><div>yes</div><header>no</header>", ["yes"]),
+    ],
+)
+def test_page_markup(page_html, lines):
+    assert [t for t, z in page.lines_of(page_html) if z] == lines
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<b>x", "<p>", "<li><b>", "<i><div><b>", "</div>", "</b>", " <b><div></i>", '<a b="', "<a b='\"", "<a ", "<!", "<![CDATA[", "<!-- ", "<textarea", "<span class=ad>x", "a<"])
+def test_page_parser_is_linear(unit):
+    """Ten times the page takes about ten times as long, also under a tag that ends far away; 300 kB take seconds at most."""
+    for page_html in (unit * (300_000 // len(unit)), "<a>" + unit * (300_000 // len(unit)) + '">'):
+        began = time.process_time()
+        page.lines_of(page_html)
+        assert time.process_time() - began < 4
+
+
 def test_pages(spark):
     body = "<html><head><title>t</title></head><body><div>Site name</div>{0}<div>All rights &amp; wrongs</div></body></html>"
     rows = [(k, f"http://h.org/a/{k}.html", body.format(f"<p>Own {k}&nbsp;text <b>here</b><p>second {k * k}")) for k in range(3, 6)]
