@@ -332,3 +332,37 @@ def test_confusion_of_odd_letters(spark):
 def test_match_vector_of_operations(spark):
     df = spark.createDataFrame([("2S3=1X2I2D1=",), ("",)], "c string")
     assert [r.v for r in df.select(alignment.match_vector(F.col("c")).alias("v")).collect()] == [[1, 1, 1, 0, 0, 0, 1], []]
+
+
+def plain_residual(signal, tokens, stride, margin, code):
+    """Windows and margins one after the other."""
+    n, size, step = len(signal), tokens * stride, (tokens - 2 * margin) * stride
+    want = -(-n // stride)
+    if n <= size:
+        return code(signal + [0.0] * (size - n))[:want]
+    out, start = [], 0
+    while start < n:
+        real = min(size, n - start)
+        own, valid = code(signal[start : start + real] + [0.0] * (size - real)), -(-real // stride)
+        if start == 0:
+            out += own[: min(tokens - margin, valid)]
+        elif start + step >= n:
+            out += own[margin : max(margin, valid)]
+        else:
+            out += own[margin : max(margin, valid - margin)]
+        start += step
+    return (out + [[0, 0]] * want)[:want]
+
+
+@pytest.mark.parametrize(("tokens", "stride", "margin"), [(8, 2, 1), (6, 3, 2), (4, 1, 0)])
+def test_residual_windows(spark, tokens, stride, margin):
+    rnd = random.Random(tokens)
+    signals = [[float(rnd.randrange(1, 50)) for _ in range(n)] for n in [*range(60), 200]]
+    df = spark.createDataFrame(list(enumerate(signals)), "read int, signal array<double>")
+    w = W.residual_windows(df, "signal", tokens, stride, margin)
+    total = lambda i: F.aggregate(F.slice("chunk", i * stride + 1, F.lit(stride)), F.lit(0.0), lambda a, x: a + x).cast("long")
+    coded = w.withColumn("codes", F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.array(total(i) % 7, total(i) % 5)))
+    got = {r.read: r.codes for r in W.stitch_levels(coded, ["read"], "codes", 2, margin).collect()}
+    code = lambda x: [[int(sum(x[t * stride : (t + 1) * stride])) % m for m in (7, 5)] for t in range(tokens)]
+    for k, x in enumerate(signals):
+        assert got.get(k, []) == [v for t in (plain_residual(x, tokens, stride, margin, code) if x else []) for v in t], len(x)

@@ -61,3 +61,8 @@ def confusion(columns: DataFrame) -> DataFrame:
 def deletion_positions(columns: DataFrame, key: str) -> DataFrame:
     """Relative position (ref_pos - 1) / ref_len of each deleted base."""
     return columns.where((F.col("q") == "-") & (F.col("r") != "-")).select(key, ((F.col("ref_pos") - 1) / F.col("ref_len")).alias("position"))
+
+
+def guarded(accuracy: Column, covered: Column, least: float) -> Column:
+    """0 where the aligned share of the reference is below the least one."""
+    return F.when(covered >= least, accuracy).otherwise(0.0)

@@ -114,6 +114,39 @@ def stitch_windows(df: DataFrame, keys: list[str], codes: str, margin: int = 2)
     return whole.withColumn("codes", F.concat(F.slice("codes", F.lit(1), F.col("n_tokens")), zeros))
 
 
+def residual_windows(df: DataFrame, data: str, tokens: int, stride: int, margin: int = 2) -> DataFrame:
+    """Windows as for residual codes: one begins at every step up to the last sample, and tells how many tokens are real.
+
+    Adds window, n_windows, n_tokens (of the whole), valid and chunk (filled with zeros).  Input of one window
+    at most has one; empty input has none.
+    """
+    size, step = tokens * stride, (tokens - 2 * margin) * stride
+    if step <= 0:
+        raise ValueError("the margins leave nothing of a window")
+    n = F.size(data)
+    rows = df.where(n > 0).withColumn("n_windows", F.when(n <= size, 1).otherwise(F.ceil(n / step)).cast("int")).withColumn("n_tokens", F.ceil(n / stride).cast("int"))
+    rows = rows.withColumn("window", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    own = F.slice(data, F.col("window") * step + 1, F.lit(size))
+    return rows.withColumn("valid", F.ceil(F.size(own) / stride).cast("int")).withColumn("chunk", F.concat(own, F.array_repeat(F.lit(0.0), size - F.size(own))))
+
+
+def stitch_levels(df: DataFrame, keys: list[str], codes: str, levels: int, margin: int = 2) -> DataFrame:
+    """Codes of residual windows (for each token an array of its levels) as one array, token by token.
+
+    The first window ends before its last margin or with its real tokens, the last one begins after a margin,
+    and inner ones give their real tokens less both margins.  Cut, or filled with zeros, to n_tokens.
+    """
+    t, k, valid = F.size(codes), F.col("window"), F.col("valid")
+    only, first, last = F.col("n_windows") == 1, k == 0, k == F.col("n_windows") - 1
+    start = F.when(first, 0).otherwise(margin)
+    length = F.when(only, valid).when(first, F.least(t - margin, valid)).when(last, valid - margin).otherwise(F.when(t > 2 * margin, valid - 2 * margin).otherwise(0))
+    part = df.withColumn("_part", F.slice(codes, start + 1, F.greatest(length, F.lit(0))))
+    whole = part.groupBy(*keys).agg(F.max("n_tokens").alias("n_tokens"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window", "_part"))), lambda x: x["_part"])).alias("codes"))
+    whole = whole.withColumn("codes", F.flatten(F.slice("codes", F.lit(1), F.greatest(F.col("n_tokens"), F.lit(0)))))
+    zeros = F.transform(F.array_repeat(F.lit(0), F.greatest(F.col("n_tokens") * levels - F.size("codes"), F.lit(0))), lambda x: x.cast("bigint"))
+    return whole.withColumn("codes", F.concat("codes", zeros))
+
+
 def token_cut(tokens: Column, total_tokens: Column, bases: Column) -> Column:
     """The base at which so many tokens of a piece end, halves to even; 0 without tokens."""
     return F.coalesce(F.bround(F.try_divide(tokens * bases, total_tokens)), F.lit(0.0)).cast("int")

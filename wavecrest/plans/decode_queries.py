@@ -65,6 +65,19 @@ def error_ratios(spark, sf_dir):
     return s.select("*", *(F.round(F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)), 9).alias(f"{c}_ratio") for c in names))
 
 
+@query(
+    "guarded_accuracy",
+    f"with c as ({_CIGAR}), g as (select *, (m + 1 + x + d) / (m + 1 + x + d + line % 3 * 20)::double as covered from c) select read, line, round(covered, 9) as covered, round(case when covered >= 0.5 then 100.0::double * (m + 1) / (m + 1 + x + i + d) else 0.0 end, 6) as accuracy, round(case when covered >= 0.5 then 100.0::double * (m + 1 - i) / (m + 1 + x + d) else 0.0 end, 6) as balanced from g",
+)
+def guarded_accuracy(spark, sf_dir):
+    """Accuracies that are 0 where less than half of the reference is aligned."""
+    plain, balanced = A.accuracies()
+    rows = A.error_counts(_cigars(spark, sf_dir), "cigar")
+    aligned = F.col("n_match") + F.col("n_mismatch") + F.col("n_del")
+    covered = aligned / (aligned + F.col("line") % 3 * 20)
+    return rows.select("read", "line", F.round(covered, 9).alias("covered"), F.round(A.guarded(plain, covered, 0.5), 6).alias("accuracy"), F.round(A.guarded(balanced, covered, 0.5), 6).alias("balanced"))
+
+
 @query("accuracy_means", f"with c as ({_CIGAR}), a as (select read, 100.0::double * (m + 1) / (m + 1 + x + i + d) as a from c), b as (select read % 16 as batch, avg(a) as m from a group by 1) select round((select avg(m) from b), 6) as batch_mean, round(avg(a), 6) as read_mean, round(avg(case when a = 100 then 1.0 else 0.0 end)::double, 6) as exact_rate from a")
 def accuracy_means(spark, sf_dir):
     """Mean of batch means, mean of reads and the share of exact ones."""
@@ -224,6 +237,25 @@ def margin_stitch(spark, sf_dir):
     return out.select("read", F.size("codes").alias("n_tokens"), F.md5(F.array_join(F.transform("codes", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
+@query(
+    "residual_stitch",
+    _SIG
+    + """, w as (select *, unnest(generate_series(0, cnt - 1)) as k from (select *, case when n <= 32 then 1 else ceil(n / 24.0)::int end as cnt from a)),
+v as (select *, ceil(least(32, n - 24 * k) / 2.0)::int as valid from w),
+r as (select *, case when k = 0 then 0 else 2 end as lo, case when cnt = 1 then valid when k = 0 then least(14, valid) when k = cnt - 1 then greatest(2, valid) else greatest(2, valid - 2) end as hi from v),
+t as (select read, n, k, t, coalesce(d[24 * k + 2 * t + 1], 0) + coalesce(d[24 * k + 2 * t + 2], 0) as x from (select *, unnest(generate_series(lo, hi - 1)) as t from r)),
+o as (select *, row_number() over (partition by read order by k, t) as pos, ceil(n / 2.0)::int as m from t)
+select read, m as n_tokens, md5(string_agg((x % 7)::varchar || ',' || (x % 5)::varchar, ',' order by pos) || repeat(',0,0', cast(m - count(*) as int))) as digest from o where pos <= m group by read, m""",
+)
+def residual_stitch(spark, sf_dir):
+    """Two levels of codes for each token, from windows of 16 tokens with margins of two, joined by the real tokens of each."""
+    w = W.residual_windows(signals(spark, sf_dir), "signal", 16, 2, 2)
+    pair = lambda i: F.floor(F.get("chunk", i * 2)) + F.floor(F.get("chunk", i * 2 + 1))
+    coded = w.withColumn("codes", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array(pair(i) % 7, pair(i) % 5)))
+    out = W.stitch_levels(coded, ["read"], "codes", 2, 2)
+    return out.select("read", "n_tokens", F.md5(F.array_join(F.transform("codes", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
 @query(
     "stitch_chunks",
     """with c as (select conv_id, turn, text, length(text) as n, 8 + (length(text) % 5) as tok, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as m, (max(turn + 8 + (length(text) % 5)) over (partition by conv_id) - 4) % 8 as stub from conversations where text is not null),

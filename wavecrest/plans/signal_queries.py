@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.functions import signal as S
@@ -330,6 +330,33 @@ def hist_merge(spark, sf_dir):
     return merged.join(total).select("bin", "n", F.round(F.col("n") / F.col("t"), 9).alias("ratio"))
 
 
+def merge_histograms(parts: DataFrame, key: str, centers: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Histograms (key, center, n) added up by bin, and the keys that are left out: other numbers of rows, or centres
+    that differ by more than a hundred-thousandth."""
+    grid = parts.sparkSession.createDataFrame(list(enumerate(centers)), "bin int, _center double")
+    ranked = parts.withColumn("bin", F.row_number().over(Window.partitionBy(key).orderBy("center")) - 1).join(F.broadcast(grid), "bin", "left")
+    off = F.col("_center").isNull() | (F.abs(F.col("center") - F.col("_center")) > 1e-8 + 1e-5 * F.abs(F.col("_center")))
+    bad = ranked.groupBy(key).agg(F.count("*").alias("rows"), F.max(off).alias("off")).where((F.col("rows") != len(centers)) | F.col("off")).select(key)
+    return ranked.join(bad, key, "left_anti").groupBy("bin").agg(F.sum("n").alias("n")), bad
+
+
+@query(
+    "hist_merge_checked",
+    "with h as (select l_suppkey % 50 as part, least(floor(l_quantity / 5.0), 9)::int as bin, count(*) as n from lineitem where l_quantity between 0 and 50 group by 1, 2), g as (select p.part, b.bin, coalesce(h.n, 0) as n from (select unnest(range(0, 50)) as part) p cross join (select unnest(range(0, 10))::int as bin) b left join h on h.part = p.part and h.bin = b.bin) select bin, sum(n)::bigint as n, round(sum(n) / (sum(sum(n)) over ())::double, 9) as ratio, 20::bigint as skipped from g where part % 10 not in (1, 3, 5, 7) group by bin",
+)
+def hist_merge_checked(spark, sf_dir):
+    """Histograms of 50 parts; those whose centres are moved or that lack or repeat a bin are left out."""
+    v = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("part"), F.col("l_quantity").alias("v"))
+    h = fixed_histogram(v, "v", 0.0, 50.0, 10, ("part",)).select("part", (F.col("bin") * 5.0 + 2.5).alias("center"), "n")
+    kind = F.col("part") % 10
+    h = h.withColumn("center", F.when(kind == 1, F.col("center") * 1.001).otherwise(F.col("center"))).where((kind != 3) | (F.col("center") != 12.5))
+    h = h.union(h.where((kind == 5) & (F.col("center") == 2.5))).union(h.where((kind == 7) & (F.col("center") == 47.5)).withColumn("center", F.lit(52.5)))
+    merged, bad = merge_histograms(h, "part", [5.0 * k + 2.5 for k in range(10)])
+    total = F.broadcast(merged.agg(F.sum("n").alias("t")))
+    skipped = F.broadcast(bad.agg(F.count("*").alias("skipped")))
+    return merged.join(total).join(skipped).select("bin", "n", F.round(F.col("n") / F.col("t"), 9).alias("ratio"), "skipped")
+
+
 @query("extreme_reads", "select user_id as read, min(value) + 0.0 as mn, max(value) as mx from events group by 1 having max(value) > 200 or min(value) < -200")
 def extreme_reads(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("read").agg((F.min("value") + 0.0).alias("mn"), F.max("value").alias("mx")).where("mx > 200 or mn < -200")
