@@ -228,6 +228,17 @@ def parse_tokens(text: Column, prefix: str = "tok", offset: int = 0) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(rf"<\|{prefix}:(\d+)\|>"), F.lit(1)), lambda x: x.cast("long") - offset)
 
 
+def split_tokens(text: Column, prefix: str = "tok") -> Column:
+    """The tokens themselves, whatever they name; what stands between them is left out."""
+    return F.regexp_extract_all(text, F.lit(rf"<\|{prefix}:[^|>]+\|>"), F.lit(0))
+
+
+def code_counts(df: DataFrame, code: str, size: int) -> DataFrame:
+    """code and n for each code of the book; ids outside it, and null, are left out."""
+    inside = df.where(F.col(code).between(0, size - 1)).groupBy(F.col(code).cast("long").alias("code")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(size).withColumnRenamed("id", "code").join(inside, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def select_levels(codes: Column, level: int, n_levels: int) -> Column:
     """The first levels of interleaved residual codes, position by position."""
     if not 1 <= level <= n_levels:

@@ -35,6 +35,14 @@ def jsonl_roundtrip(spark, sf_dir):
     return rows.select("read_id", "source", F.md5("text").alias("digest"))
 
 
+@query("jsonl_strict", "select doc_id, source, md5(text) as digest from documents")
+def jsonl_strict(spark, sf_dir):
+    """Every line must be an object of the schema; nothing is dropped."""
+    path = scratch.folder(spark, "jsonl")
+    writers.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    return files.read_jsonl(spark, path, "doc_id long, source string, text string", strict=True).select("doc_id", "source", F.md5("text").alias("digest"))
+
+
 @query("concatenated_json", "select doc_id, quality, toxic from labels")
 def concatenated_json(spark, sf_dir):
     """Ten objects to a line, without a break between them."""

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavecrest.functions import labels as L
 from wavecrest.functions import pairwise as A
 from wavecrest.functions import sequence as Q
 from wavecrest.operators import joins as J
@@ -141,6 +142,40 @@ def token_roundtrip(spark, sf_dir):
     return e.select("vec_id", "text", ids[0].alias("first"), (ids[1] - 128).alias("second"), F.size(ids).cast("long").alias("n"))
 
 
+_MIXED = "(select vec_id, label, '<|tok:' || (vec_id % 97) || '|> x <|tok:L1_' || (vec_id % 13) || '|><|tok:|><|other:3|>' || case when vec_id % 3 = 0 then '' else '<|tok:7|>' end as text from embeddings)"
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    """Token texts with other text, empty and foreign tokens between; every third lacks its last token."""
+    text = F.concat(F.lit("<|tok:"), (F.col("vec_id") % 97).cast("string"), F.lit("|> x <|tok:L1_"), (F.col("vec_id") % 13).cast("string"), F.lit("|><|tok:|><|other:3|>"), F.when(F.col("vec_id") % 3 == 0, "").otherwise("<|tok:7|>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", text.alias("text"))
+
+
+@query("token_split", f"select vec_id, len(t)::int as n, array_to_string(t, ' ') as tokens from (select vec_id, regexp_extract_all(text, '<\\|tok:[^|>]+\\|>') as t from {_MIXED})")
+def token_split(spark, sf_dir):
+    tokens = V.split_tokens(F.col("text"))
+    return _mixed(spark, sf_dir).select("vec_id", F.size(tokens).alias("n"), F.array_join(tokens, " ").alias("tokens"))
+
+
+@query("token_count_check", f"select vec_id from {_MIXED} where len(regexp_extract_all(text, '<\\|tok:[^|>]+\\|>')) = 2 + label % 2")
+def token_count_check(spark, sf_dir):
+    """Chunks whose token count isn't the expected one are dropped."""
+    return _mixed(spark, sf_dir).where(F.size(V.split_tokens(F.col("text"))) == 2 + F.col("label") % 2).select("vec_id")
+
+
+@query("code_range", "with c as (select l_partkey - 100 as code from lineitem) select k.code::bigint as code, count(c.code) as n from (select unnest(range(0, 1000)) as code) k left join c on c.code = k.code group by k.code")
+def code_range(spark, sf_dir):
+    """Usage of a book of a thousand codes; ids outside it don't count."""
+    return V.code_counts(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") - 100).alias("code")), "code", 1000)
+
+
+@query("joined_roles", "select conv_id, string_agg(role, '' order by turn) as joined, '' as nothing from conversations where role is not null group by conv_id")
+def joined_roles(spark, sf_dir):
+    """A list of tokens as one text; no list is the empty text."""
+    c = table(spark, sf_dir, "conversations").where("role is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x.role).alias("t"))
+    return c.select("conv_id", L.join_tokens(F.col("t")).alias("joined"), L.join_tokens(F.lit(None).cast("array<string>")).alias("nothing"))
+
+
 # -- token corpus ------------------------------------------------------------------------------------
 
 _WORDS = "with w as (select doc_id, source, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') as t from documents), k as (select doc_id, source, t, len(t)::int as n from w)"
