@@ -7,7 +7,8 @@ prose (of quality 1); toxic junk (of quality 0); toxic, the last one, which rest
 rejected if the end of the chain gives it at least the threshold.
 
 Words get a model weight only if they are more frequent on one side beyond chance, counted once per
-group of near copies in the sample, at a level controlled for the number of words tested.  Null and empty texts: no words, never rejected by words.
+group of near copies in the sample, at a level controlled for the number of words tested; the models
+behind out-of-fold probabilities choose their words without the fold's labels.  Null and empty texts: no words, never rejected by words.
 Repeated rows are judged each; of an id with several texts the sample holds at most ROWS_PER_ID.  A text of any length
 is read whole.  Words of equal evidence are taken in the order of their hashes.  Rows without a label take no part in
 training; without both labels nothing is rejected.  Other columns are kept.  Empty tables give no rows.
@@ -122,23 +123,36 @@ def fit_chain(texts: list[str | None], targets: np.ndarray, folds: int = 4) -> C
     if not len(texts) or targets[:, -1].all() or not targets[:, -1].any():
         return None
     group = near_groups(texts)
-    fold = group % folds
-    chosen = set(_select([_hashes(t) for t in texts], targets[:, -1], group).tolist())
-    rows = [[w for w in words_of(t) if xxhash.xxh3_64_intdigest(w) in chosen] for t in texts]
-    at = {w: k for k, w in enumerate(sorted({w for r in rows for w in r}))}
-    x = np.zeros((len(texts), len(at)))
-    for k, r in enumerate(rows):
-        x[k, [at[w] for w in r]] = 1.0
+    fold, hashes, last = group % folds, [_hashes(t) for t in texts], targets[:, -1]
+
+    def chosen(rows: np.ndarray) -> set[int]:
+        """Words by the labels of these rows alone."""
+        y = last[rows]
+        return set(_select([hashes[k] for k in np.flatnonzero(rows)], y, group[rows]).tolist()) if y.any() and not y.all() else set()
+
+    # a fold's words are chosen without its labels, as its probabilities stand for those of new text
+    words, parts = chosen(np.ones(len(texts), bool)), [chosen(fold != f) for f in range(folds)]
+    every = words.union(*parts)
+    rows = [{h: w for w in words_of(t) if (h := xxhash.xxh3_64_intdigest(w)) in every} for t in texts]
+
+    def design(own: set[int]) -> tuple[dict[str, int], np.ndarray]:
+        at = {w: k for k, w in enumerate(sorted({w for r in rows for h, w in r.items() if h in own}))}
+        x = np.zeros((len(texts), len(at)))
+        for k, r in enumerate(rows):
+            x[k, [at[w] for h, w in r.items() if h in own]] = 1.0
+        return at, x
+
+    at, x = design(words)
     models, earlier = [], np.zeros((len(texts), 0))
     for c in range(targets.shape[1]):
         y = targets[:, c]
-        now = np.hstack([x, earlier])
-        models.append(fit_logistic(now, y.astype(float), L2))
+        models.append(fit_logistic(np.hstack([x, earlier]), y.astype(float), L2))
         out = np.full(len(y), y.mean())
         for f in range(folds):
             test = fold == f
             if test.any() and y[~test].any() and not y[~test].all():
-                out[test] = predict(fit_logistic(now[~test], y[~test].astype(float), L2), now[test])
+                own = np.hstack([design(parts[f])[1], earlier])
+                out[test] = predict(fit_logistic(own[~test], y[~test].astype(float), L2), own[test])
         earlier = np.hstack([earlier, out[:, None]])
     return Chain(at, models)
 
