@@ -5,7 +5,7 @@ evidence.  Expected counts of good documents are summed by path (source and lang
 (source).  The host's share of good documents is shrunk towards the global one, the path's towards
 its host's; the strength of each prior comes from how much shares vary between sites beyond chance
 (method of moments).  A document's posterior adds its path's prior log-odds, less the global ones, to
-its own.  Sums are partial aggregates, so a source with a third of all rows is no hot task.
+its own; its own evidence is left out of its priors, so that it counts once.  Sums are partial aggregates, so a source with a third of all rows is no hot task.
 
 Null and empty texts: a document without words, judged by its statistics.  A text of any length is
 read whole.  Null source or language: a site of its own.  Repeated rows count each; of one id the
@@ -88,8 +88,12 @@ def _strength(n_sites, var_between, mean):
     return F.when(n_sites < 2, F.lit(LEAST)).otherwise(F.least(F.greatest(raw, F.lit(LEAST)), F.lit(MOST)))
 
 
-def site_priors(evidence: DataFrame) -> DataFrame:
-    """path with prior_path, and host with prior_host, from grouped sums of the evidence."""
+#: What a site's prior is made of: the evidence of its path and host with their numbers of documents, the share of all, and the priors' strength.
+SUMS = ["n", "s", "hn", "hs", "mean", "kappa"]
+
+
+def site_sums(evidence: DataFrame) -> DataFrame:
+    """host, path and SUMS, from grouped sums of the evidence."""
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     # the variance between sites, less what chance gives
@@ -97,9 +101,21 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     world = hosts.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs"), F.count("*").alias("sites"), F.var_pop(share).alias("v"), F.avg(1 / F.col("hn")).alias("c")).withColumn("mean", F.greatest(F.least(F.col("gs") / F.col("gn"), F.lit(1 - 1e-6)), F.lit(1e-6)))
     world = world.withColumn("kappa", _strength(F.col("sites"), F.col("v") - F.col("c") * F.col("mean") * (1 - F.col("mean")), F.col("mean"))).select("mean", "kappa")
     # one row
-    hosts = hosts.join(F.broadcast(world)).withColumn("prior_host", (F.col("hs") + F.col("kappa") * F.col("mean")) / (F.col("hn") + F.col("kappa")))
-    both = paths.join(hosts.select("host", "mean", "kappa", "prior_host"), "host")
-    return both.withColumn("prior_path", (F.col("s") + F.col("kappa") * F.col("prior_host")) / (F.col("n") + F.col("kappa"))).select("host", "path", "mean", "prior_host", "prior_path")
+    hosts = hosts.join(F.broadcast(world))
+    return paths.join(hosts, "host").select("host", "path", *SUMS)
+
+
+def site_priors(evidence: DataFrame) -> DataFrame:
+    """host, path, mean, prior_host and prior_path, by all documents of a site: what a new document there is given."""
+    host = (F.col("hs") + F.col("kappa") * F.col("mean")) / (F.col("hn") + F.col("kappa"))
+    path = (F.col("s") + F.col("kappa") * host) / (F.col("n") + F.col("kappa"))
+    return site_sums(evidence).select("host", "path", "mean", host.alias("prior_host"), path.alias("prior_path"))
+
+
+def priors_without(p, n, s, hn, hs, mean, kappa) -> tuple:
+    """The priors of a document's host and path by all their other documents, as columns or arrays."""
+    host = (hs - p + kappa * mean) / (hn - 1 + kappa)
+    return host, (s - p + kappa * host) / (n - 1 + kappa)
 
 
 #: Sites that are broadcast; rows of more sites are joined, salted in so many parts, as one path may hold a third of them.
@@ -129,8 +145,10 @@ def _sites() -> tuple:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_doc, prior_host, prior_path, posterior, kept for each row."""
     evidence = materialize(document_evidence(docs, fit_evidence(docs, labels)))
-    priors = materialize(site_priors(evidence))
-    out = with_priors(evidence, priors, "host", "path", F.struct("doc_id", "p_doc"))
+    sums = materialize(site_sums(evidence))
+    out = with_priors(evidence, sums, "host", "path", F.struct("doc_id", "p_doc"))
+    host, path = priors_without(*(F.col(c) for c in ("p_doc", *SUMS)))
+    out = out.withColumn("prior_host", host).withColumn("prior_path", path)
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(odds("p_doc") + odds("prior_path") - odds("mean")))))
     return out.select("doc_id", "p_doc", "prior_host", "prior_path", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
@@ -141,22 +159,24 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     The texts are read twice rather than joined with their verdicts, so they aren't shuffled.
     """
     model = fit_evidence(docs, labels)
-    priors = materialize(site_priors(materialize(document_evidence(docs, model))))
-    names = ["_site_host", "_site_path", "_site_odds"]
+    sums = materialize(site_sums(materialize(document_evidence(docs, model))))
+    names = ["_site_host", "_site_path", *(f"_site_{c}" for c in SUMS)]
     while set(names) & set(docs.columns):
         names = [f"_{n}" for n in names]
     host, path = _sites()
-    rows = with_priors(docs.withColumn(names[0], host).withColumn(names[1], path), priors.select("host", "path", (odds("prior_path") - odds("mean")).alias(names[2])), names[0], names[1], F.col("text"))
+    rows = with_priors(docs.withColumn(names[0], host).withColumn(names[1], path), sums.select("host", "path", *(F.col(c).alias(n) for c, n in zip(SUMS, names[2:], strict=True))), names[0], names[1], F.col("text"))
     columns, at, least = docs.columns, docs.columns.index("text"), float(np.log(threshold / (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                p = model(np.array([statistics(t.as_py()) for t in part.column(at)], float)) if model else np.full(part.num_rows, 1 - 1e-6)
-                own = np.log(p / (1 - p)) + part.column(part.num_columns - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], columns).filter(pa.array(own >= least))
+                p = model(np.array([statistics(t.as_py()) for t in part.column(at)], float)) if model else np.ones(part.num_rows)
+                sums = [part.column(k).to_numpy().astype(float) for k in range(len(columns), part.num_columns)]
+                prior = priors_without(p, *sums)[1]
+                own, site, mean = (np.log(x / (1 - x)) for x in (np.clip(y, 1e-6, 1 - 1e-6) for y in (p, prior, sums[4])))
+                yield pa.RecordBatch.from_arrays(part.columns[: len(columns)], columns).filter(pa.array(own + site - mean >= least))
 
-    return rows.select(*columns, names[2]).mapInArrow(run, docs.schema)
+    return rows.select(*columns, *names[2:]).mapInArrow(run, docs.schema)
 
 
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
