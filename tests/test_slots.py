@@ -81,6 +81,27 @@ def test_code_index_of_the_full_size():
     assert (index.nearest(x) == V._nearest(x, c)).all() and index.share < 0.05
 
 
+def test_code_index_grows_with_the_logarithm(spark):
+    """Sixteen times the codes: less than twice the distances for a row; ties, copies, rows far off and without numbers as by brute force."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random((2000, 3)), 5 * rng.random((50, 3)), np.full((1, 3), np.nan), rng.integers(0, 9, (100, 3)) / 16])
+    x[-200, 1] = np.inf
+    work = []
+    for k in (4000, 64_000):
+        c = np.concatenate([rng.random((k, 3)), rng.integers(0, 5, (500, 3)) / 8])[rng.permutation(k + 500)]
+        index = V.CodeIndex(c)
+        real = x[np.isfinite(x).all(1)]
+        brute = np.concatenate([np.round(((real[a : a + 50, None] - c) ** 2).sum(2), 9).argmin(1) for a in range(0, len(real), 50)])
+        assert (index.nearest(real) == brute).all()
+        work.append(index.computed / len(real))
+        assert (index.nearest(x)[~np.isfinite(x).all(1)] == 0).all()
+    assert work[1] < 2 * work[0] and work[1] < 1000
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(real)], "id long, v array<double>")
+    got = {r.id: r.codes for r in V.nearest_codes(rows, "v", np.arange(len(c)) * 2, c).collect()}
+    assert got == {k: [2 * b] for k, b in enumerate(brute.tolist())}
+    assert V.nearest_codes(rows.limit(0), "v", np.arange(len(c)), c).count() == 0
+
+
 def test_histograms_of_broken_files(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((50, 8)).astype(np.float32)

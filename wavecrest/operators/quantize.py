@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,19 @@ def load_codebook(codes: DataFrame, code: str, centroid: str) -> tuple[np.ndarra
     first = codes.select(F.size(centroid)).first()
     if n * (first[0] if first else 0) * 8 > MAX_CODEBOOK_BYTES:
         raise ValueError("the codebook is too large to broadcast")
-    rows = codes.select(code, centroid).orderBy(code).collect()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    rows = codes.select(F.col(code).cast("long"), centroid).orderBy(code).toArrow().combine_chunks()
+    return rows.column(0).to_numpy(), vectors(rows.column(1))
+
+
+def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    n = len(column)
+    sizes = pc.list_value_length(column)
+    if not n or column.null_count or pc.any(pc.not_equal(sizes, sizes[0])).as_py():
+        return np.array(column.to_pylist(), float).reshape(n, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -35,12 +47,110 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 INDEXED_CODES = 1024
 #: Where the groups leave out less than the rest, all distances are computed at once instead; the codes are the same.
 MOST_SHARE = 0.5
+#: The same for the tree, whose distances are computed pair by pair.
+MOST_OF_TREE = 0.1
+#: Up to this width the codes stand in a tree of boxes; wider vectors have groups around centres.
+TREE_WIDTH = 8
+#: Codes of a leaf at most, rows searched together, and pairs of a row and a node that are looked at together.
+LEAF, ROWS, PAIRS = 16, 8192, 1 << 17
+
+
+class CodeTree:
+    """Different centroids in halves by their widest coordinate, each half with the box around it.
+
+    A row goes down to the nearest leaf and takes its best code; then it looks, from the root, at the nodes whose
+    box is no further away than the best so far, with a margin for the rounding by which equals are told.  What a
+    row looks at grows with the logarithm of the codes where rows lie near them.
+    """
+
+    def __init__(self, centroids: np.ndarray) -> None:
+        # of equal centroids the first, as no other can be an answer
+        order = np.lexsort(centroids.T[::-1])
+        new = np.concatenate([[True], (centroids[order[1:]] != centroids[order[:-1]]).any(1)])
+        order = order[new]
+        c, n = centroids[order], len(order)
+        self.depth = max(0, int(np.ceil(np.log2(n / LEAF))))
+        cuts, at = np.array([0, n]), np.arange(n)
+        low, high = [np.empty((0, c.shape[1]))], [np.empty((0, c.shape[1]))]
+        for level in range(self.depth + 1):
+            low.append(np.minimum.reduceat(c[at], cuts[:-1]))
+            high.append(np.maximum.reduceat(c[at], cuts[:-1]))
+            if level < self.depth:
+                node = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                widest = (high[-1] - low[-1]).argmax(1)
+                at = at[np.lexsort((c[at, widest[node]], node))]
+                cuts = np.sort(np.concatenate([cuts, (cuts[:-1] + cuts[1:]) // 2]))
+        # node k has the halves 2k and 2k + 1; node 0 is none
+        none = np.zeros((1, c.shape[1]))
+        self.low, self.high = (np.ascontiguousarray(np.concatenate([none, *v]).T) for v in (low, high))
+        at = at[np.lexsort((order[at], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))))]
+        # leaves have one size, or one less: the last code stands twice then
+        place = np.minimum(cuts[:-1, None] + np.arange(np.diff(cuts).max()), cuts[1:, None] - 1)
+        self.codes = order[at[place]]
+        self.leaves = np.ascontiguousarray(c[at[place]].transpose(2, 0, 1))
+
+    def _gap(self, x: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to the boxes of nodes."""
+        total = np.zeros(len(rows))
+        for v, low, high in zip(x, self.low, self.high, strict=True):
+            v = v[rows]
+            d = np.maximum(np.maximum(low[nodes] - v, v - high[nodes]), 0)
+            total += d * d
+        return total
+
+    def _leaf(self, x: np.ndarray, rows: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros((len(rows), self.codes.shape[1]))
+        for v, c in zip(x, self.leaves, strict=True):
+            d = v[rows][:, None] - c[leaves]
+            total += d * d
+        total = np.round(total, 9)
+        at, k = total.argmin(1), np.arange(len(rows))
+        return total[k, at], self.codes[leaves, at]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """Row numbers of the nearest centroids, and how many distances were computed; x has finite values."""
+        x, n = np.ascontiguousarray(x.T), len(x)
+        every, own, computed = np.arange(n), np.ones(n, np.int64), 0
+        for _ in range(self.depth):
+            own = 2 * own + (self._gap(x, every, 2 * own + 1) < self._gap(x, every, 2 * own))
+            computed += 2 * n
+        first = 1 << self.depth
+        best, code = self._leaf(x, every, own - first)
+        computed += n * self.codes.shape[1]
+        waiting = [(every, np.ones(n, np.int64), 0)] if self.depth else []
+        while waiting:
+            rows, nodes, level = waiting.pop()
+            if len(rows) > PAIRS:
+                half = len(rows) // 2
+                waiting += [(rows[half:], nodes[half:], level), (rows[:half], nodes[:half], level)]
+                continue
+            if level < self.depth:
+                rows, nodes, level = np.repeat(rows, 2), (2 * nodes[:, None] + np.array([0, 1])).ravel(), level + 1
+                near = self._gap(x, rows, nodes) <= best[rows] * (1 + 1e-9) + 1e-8
+                computed += len(rows)
+                if level == self.depth:
+                    near &= nodes != own[rows]
+                if near.any():
+                    waiting.append((rows[near], nodes[near], level))
+                continue
+            near = self._gap(x, rows, nodes) <= best[rows] * (1 + 1e-9) + 1e-8
+            rows, nodes = rows[near], nodes[near]
+            d, k = self._leaf(x, rows, nodes - first)
+            computed += len(near) + d.size * self.codes.shape[1]
+            order = np.lexsort((k, d, rows))
+            rows, d, k = rows[order], d[order], k[order]
+            one = np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)]
+            rows, d, k = rows[one], d[one], k[one]
+            better = (d < best[rows]) | ((d == best[rows]) & (k < code[rows]))
+            best[rows[better]], code[rows[better]] = d[better], k[better]
+        return code, computed
 
 
 class CodeIndex:
     """Nearest centroids, exactly, with distances to few of them computed.
 
-    Centroids are dealt to about sqrt(K) groups around centres of their own, each with a radius.  A vector
+    Narrow vectors are searched in a tree of boxes.  Wider centroids are dealt to about sqrt(K) groups around
+    centres of their own, each with a radius.  A vector
     looks at its nearest group first; then a group is left out for all vectors whose distance to its centre,
     less the radius, exceeds the best distance so far (the triangle inequality), with a margin for the
     rounding by which equals are told.  ``share`` is the part of all distances that were computed.
@@ -49,8 +159,11 @@ class CodeIndex:
     def __init__(self, centroids: np.ndarray, rounds: int = 4) -> None:
         self.c, k = centroids, len(centroids)
         self.computed = self.total = 0
+        self.groups = self.tree = None
         if k < INDEXED_CODES:
-            self.groups = None
+            return
+        if centroids.shape[1] <= TREE_WIDTH and np.isfinite(centroids).all():
+            self.tree = CodeTree(centroids)
             return
         centres = centroids[np.linspace(0, k - 1, int(np.sqrt(k))).astype(int)].copy()
         for _ in range(rounds):
@@ -71,7 +184,14 @@ class CodeIndex:
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """Row numbers of the nearest centroids by rounded squared distance, the first of equals."""
         self.total += len(x) * len(self.c)
-        if self.groups is None or not len(x) or (self.computed and self.share > MOST_SHARE):
+        if self.tree is not None and len(x) and not (self.computed and self.share > MOST_OF_TREE):
+            # without numbers all codes are equally far, and the first is the answer
+            out, real = np.zeros(len(x), np.int64), np.flatnonzero(np.isfinite(x).all(1))
+            for a in range(0, len(real), ROWS):
+                out[real[a : a + ROWS]], n = self.tree.nearest(x[real[a : a + ROWS]])
+                self.computed += n
+            return out
+        if not self.groups or not len(x) or (self.computed and self.share > MOST_SHARE):
             self.computed += len(x) * len(self.c)
             return _nearest(x, self.c)
         step = max(1, 8_000_000 // len(self.c))
@@ -112,13 +232,14 @@ def nearest_codes(df: DataFrame, vector: str, codes: np.ndarray, centroids: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, index = shared.value
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
+            x = vectors(b.column(at))
             found = []
-            for _ in range(levels):
+            for level in range(levels if b.num_rows else 0):
                 k = index.nearest(x)
                 found.append(codes[k])
-                x = x - index.c[k]
-            out = pa.array(np.stack(found, 1).tolist() if b.num_rows else [], pa.list_(pa.int64()))
+                if level + 1 < levels:
+                    x = x - index.c[k]
+            out = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * levels, pa.int32()), pa.array(np.stack(found, 1).ravel() if found else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "codes"])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", codes array<bigint>")

@@ -68,8 +68,9 @@ p as (select p_partkey as code, p_retailprice / 1e3 as a, p_size / 12.0::double
 select o_orderkey, arg_min(code, (round((o.a - p.a) * (o.a - p.a) + (o.b - p.b) * (o.b - p.b) + (o.c - p.c) * (o.c - p.c), 9), code)) as code from o, p group by o_orderkey""",
 )
 def nearest_code_indexed(spark, sf_dir):
-    """Orders to the nearest of the parts as codes, groups of codes left out by the triangle inequality."""
+    """Orders to the nearest of the parts as codes, found in a tree of boxes; of equal codes the least stands for all."""
     book = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.array(F.col("p_retailprice") / 1e3, F.col("p_size") / 12.0, (F.col("p_partkey") % 7) / 7.0).alias("v"))
+    book = book.groupBy("v").agg(F.min("code").alias("code"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_totalprice") / 1e5, (F.col("o_custkey") % 100) / 25.0, (F.col("o_orderkey") % 7) / 7.0).alias("v"))
     return V.nearest_codes(rows, "v", *V.load_codebook(book, "code", "v")).select("o_orderkey", F.col("codes")[0].alias("code"))
 
