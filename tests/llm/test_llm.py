@@ -652,3 +652,29 @@ def test_postings_pack():
         blob, ends = token_counts.packed(codes >> 16, codes & 0xFFFF, n, 40)
         doc, times, sizes = token_counts.unpacked(np.frombuffer(blob, np.uint8), ends)
         assert (np.repeat(np.arange(40), sizes) << 16 | doc).tolist() == codes.tolist() and times.tolist() == n.tolist()
+
+
+def test_tagger_steps_and_digit_patterns():
+    """Ragged windows as by the plain steps; digit patterns pass over other text as fast as a search for a digit, with the same matches."""
+    from wavecrest.llm.tagger import CODES, Tagger
+
+    rng = np.random.default_rng(9)
+    model = Tagger()
+    sizes = [60, 60, *rng.integers(1, 60, 40).tolist()]
+    parts = [rng.integers(1, CODES, n) for n in sizes]
+    for own, found in zip(parts, model.emissions_of(parts), strict=True):
+        assert np.allclose(found, model.emissions(own[None])[0], atol=1e-4)
+    plain = {pii.IP: re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+"), pii.CARD: re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")}
+    texts = ["".join(rng.choice(list("0019. -a"), 60)) for _ in range(3000)]
+    assert all([m.span() for m in a.finditer(t)] == [m.span() for m in b.finditer(t)] for t in texts for a, b in plain.items())
+
+    def least(pattern: re.Pattern) -> float:
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            assert pattern.search(letters) is None
+            took.append(time.process_time() - start)
+        return min(took)
+
+    letters = "abc def, " * 200_000
+    assert all(least(p) < 3 * least(re.compile("[0-9]")) for p in plain)

@@ -32,9 +32,9 @@ from wavecrest.llm.tagger import KINDS, Tagger, codes
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# a match never starts inside a run of digits, so the look-behind changes no result
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
+# a match never starts inside a run of digits, so the look-behind changes no result; it follows the digit that is sought
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]+\.[0-9]+\.[0-9]+")
+CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Characters of a window, of a training example, and what neighbouring windows share.
 WINDOW, EXAMPLE, OVERLAP = 768, 96, 64

@@ -67,27 +67,33 @@ class Tagger:
         size = np.array([len(parts[k]) for k in order])
         length, n, k = int(size[0]), len(parts), self.hidden
         live = np.searchsorted(-size, -np.arange(length), "left")
-        # sigmoid(z) = (tanh(z / 2) + 1) / 2
+        # sigmoid(z) = (tanh(z / 2) + 1) / 2; h is kept doubled, which the weights after it take back
         half = np.where(np.arange(4 * k) < 3 * k, 0.5, 1.0).astype(np.float32)
+        letters = np.ascontiguousarray(self.p["E"].T)
+        dim = len(letters)
         out = []
         for turn, d in enumerate("fb"):
-            x = np.zeros((n, length), np.int64)
+            x = np.zeros((n, length), np.uint8)
             for j, i in enumerate(order):
                 x[j, : size[j]] = parts[i] if d == "f" else parts[i][::-1]
             x = np.ascontiguousarray(x.T)
-            wide = (self.p["E"] @ self.p[f"W{d}"] + self.p[f"c{d}"]) * half
-            u = np.ascontiguousarray((self.p[f"U{d}"] * half).T)
-            h, c, product = np.zeros((3, k, n), np.float32)
-            rows, z = np.empty((n, 4 * k), np.float32), np.empty((4 * k, n), np.float32)
-            states = np.zeros((length, k, n), np.float32)
+            # one product a step, of what stands in one matrix: h, the letter, and a row of ones
+            w = np.ascontiguousarray((np.concatenate([self.p[f"U{d}"] * 0.5, self.p[f"W{d}"], self.p[f"c{d}"][None]]) * half).T, np.float32)
+            given = np.zeros((k + dim + 1, n), np.float32)
+            given[-1] = 1
+            c, product = np.zeros((2, k, n), np.float32)
+            z = np.empty((4 * k, n), np.float32)
+            h, letter = given[:k], given[k:-1]
+            states, m = np.zeros((length, k, n), np.float32), n
             for t in range(length):
-                m = live[t]
-                if m < h.shape[1]:
-                    h, c, product = (np.ascontiguousarray(v[:, :m]) for v in (h, c, product))
-                    rows, z = rows[:m], np.empty((4 * k, m), np.float32)
-                np.take(wide, x[t, :m], axis=0, out=rows, mode="clip")
-                np.matmul(u, h, out=z)
-                z += rows.T
+                # columns that have ended are left out by sixteenths
+                if live[t] <= m - m // 16 - 1:
+                    m = live[t]
+                    given, c, product = (np.ascontiguousarray(v[:, :m]) for v in (given, c, product))
+                    z = np.empty((4 * k, m), np.float32)
+                    h, letter = given[:k], given[k:-1]
+                np.take(letters, x[t, :m], axis=1, out=letter, mode="clip")
+                np.matmul(w, given, out=z)
                 np.tanh(z, out=z)
                 z[: 3 * k] += 1
                 c *= z[k : 2 * k]
@@ -96,15 +102,17 @@ class Tagger:
                 c *= 0.5
                 np.tanh(c, out=h)
                 h *= z[2 * k : 3 * k]
-                h *= 0.5
                 states[t, :, :m] = h
-            out.append(np.matmul(self.p["O"][turn * k : (turn + 1) * k].T, states))
+            out.append(np.matmul(states.transpose(0, 2, 1), self.p["O"][turn * k : (turn + 1) * k] * np.float32(0.5)))
         whole = int(live[-1])
         forth, back = out
-        full = np.ascontiguousarray((forth[:, :, :whole] + back[::-1, :, :whole]).transpose(2, 0, 1)) + self.p["bo"]
+        # a position's scores stand together, so that turning the whole moves them as one
+        full = forth[:, :whole] + back[::-1, :whole]
+        full += self.p["bo"]
+        full = np.ascontiguousarray(full.transpose(1, 0, 2))
         found: list[np.ndarray] = [np.empty(0)] * n
         for j, i in enumerate(order):
-            found[i] = full[j] if j < whole else forth[: size[j], :, j] + back[: size[j], :, j][::-1] + self.p["bo"]
+            found[i] = full[j] if j < whole else forth[: size[j], j] + back[: size[j], j][::-1] + self.p["bo"]
         return found
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
