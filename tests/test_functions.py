@@ -120,6 +120,36 @@ def test_codebook_blocks(spark):
         assert np.allclose([r.total, r.total_abs, r.squares, r.mx, r.mn], [s.sum(), abs(s).sum(), (s * s).sum(), s.max(), s.min()])
 
 
+def test_codebook_blocks_grow_with_the_table(spark, monkeypatch):
+    """Four times the rows are sent four times as often, not sixteen times, and the sums are those of all pairs."""
+    rng = np.random.default_rng(5)
+    sent, deal = [], F.explode
+    for n in (300, 1200):
+        x = rng.standard_normal((n, 4)).astype(np.float32)
+        codes = np.arange(n) // 2 * (np.arange(n) < 40) + np.arange(n) * (np.arange(n) >= 40)
+        df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(codes, x, strict=True)], "c long, v array<float>")
+        seen = spark.sparkContext.accumulator(0)
+
+        def explode(pairs, seen=seen):
+            def count(v):
+                seen.add(len(v))
+                return v
+
+            return deal(F.udf(count, "array<struct<i: long, j: long>>")(pairs))
+
+        monkeypatch.setattr(F, "explode", explode)
+        for tile in (7, 512):
+            monkeypatch.setattr(V, "TILE", tile)
+            seen.value = 0
+            r = V.pair_cosines(df, "c", "v", 10).first()
+            u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+            s = (u @ u.T)[codes[:, None] != codes]
+            assert r.n == len(s) and all(r[f"b{k}"] == (abs(s) < k / 10).sum() for k in range(1, 10)) and r.a9 == (abs(s) > 0.9).sum()
+            assert np.allclose([r.total, r.total_abs, r.squares, r.mx, r.mn], [s.sum(), abs(s).sum(), (s * s).sum(), s.max(), s.min()])
+        sent.append(seen.value)
+    assert sent[1] < 5 * sent[0]
+
+
 def test_selected_shards(spark):
     from wavecrest.operators.sampling import select_shards, spread
 

@@ -309,8 +309,8 @@ def assign(df: DataFrame, key: str, vector: str, centroids: np.ndarray) -> DataF
     return df.select(key, vector).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, cluster long, distance double")
 
 
-#: Rows of a block; a task compares two blocks.
-BLOCK_ROWS = 2048
+#: Rows of a block at least, blocks of a table, bytes of a block's doubles at most, and rows that are multiplied together.
+BLOCK_ROWS, BLOCKS, BLOCK_BYTES, TILE = 2048, 24, 128 << 20, 512
 
 
 def pair_cosines(df: DataFrame, code: str, vector: str, block: int = BLOCK_ROWS) -> DataFrame:
@@ -318,23 +318,36 @@ def pair_cosines(df: DataFrame, code: str, vector: str, block: int = BLOCK_ROWS)
     b1 .. b9 (absolute value below 0.1 .. 0.9) and a9 (above 0.9).
 
     Codes are dealt to blocks by their order and each pair of blocks is one task's, so a codebook of any size
-    is compared and none is held whole; only counts leave a task.
+    is compared and none is held whole; only counts leave a task.  A row is sent once for each block: blocks grow
+    with the table while their number stays, so what is shuffled grows as the table does, until a block has BLOCK_BYTES.
     """
     names = ["n", *(f"b{k}" for k in range(1, 10)), "a9", "total", "total_abs", "squares", "mx", "mn"]
-    at = dense_index(df.select(F.col(code).cast("long").alias("code"), F.col(vector).alias("v")), "code", F.xxhash64("v"), name="at").withColumn("b", F.floor(F.col("at") / block).cast("int"))
-    last = at.agg(F.max("b")).first()[0] or 0
-    pair = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    at = dense_index(df.select(F.col(code).cast("long").alias("code"), F.col(vector).alias("v")), "code", F.xxhash64("v"), name="at")
+    last, width = at.agg(F.max("at"), F.max(F.size("v"))).first()
+    rows = max(block, min(-(-((last or 0) + 1) // BLOCKS), BLOCK_BYTES // (8 * max(1, width or 1))))
+    pair = F.transform(F.sequence(F.lit(0), F.lit((last or 0) // rows)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    at = at.withColumn("b", F.floor(F.col("at") / rows).cast("long"))
     dealt = at.select("code", "v", "b", F.explode(pair).alias("p")).select("p.i", "p.j", "b", "code", "v")
 
     def compare(rows: pa.Table) -> pa.Table:
-        code, x = rows["code"].to_numpy(), np.array(rows["v"].to_pylist(), float).reshape(rows.num_rows, -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        one = rows["b"].to_numpy() == rows["i"][0].as_py()
-        # a pair of blocks stands for both orders
-        left, right, times = (one, one, 1) if rows["i"][0] == rows["j"][0] else (one, ~one, 2)
-        s = (x[left] @ x[right].T)[code[left][:, None] != code[right][None]]
-        size = np.abs(s)
-        row = [times * v for v in (len(s), *(int((size < k / 10).sum()) for k in range(1, 10)), int((size > 0.9).sum()), s.sum(), size.sum(), (s * s).sum())] + [s.max() if len(s) else None, s.min() if len(s) else None]
+        i, j, b = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["b"].to_numpy()
+        code, x = rows["code"].to_numpy(), vectors(rows["v"])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        (left, u), (right, v) = ((code[b == k], x[b == k]) for k in (i, j))
+        counts, sums, ends = np.zeros(11, np.int64), np.zeros(3), []
+        for p in range(0, len(u), TILE):
+            for q in range(p if i == j else 0, len(v), TILE):
+                s, own, other = u[p : p + TILE] @ v[q : q + TILE].T, left[p : p + TILE], right[q : q + TILE]
+                if len(np.intersect1d(own, other)):
+                    s = s[own[:, None] != other]
+                if not s.size:
+                    continue
+                # two tiles stand for both orders
+                times, size = 1 if i == j and p == q else 2, np.abs(s)
+                counts += times * np.array([s.size, *(np.count_nonzero(size < k / 10) for k in range(1, 10)), np.count_nonzero(size > 0.9)])
+                sums += times * np.array([s.sum(), size.sum(), np.vdot(s, s)])
+                ends += [s.max(), s.min()]
+        row = [*counts.tolist(), *sums.tolist(), *([np.max(ends), np.min(ends)] if ends else [None, None])]
         return pa.Table.from_arrays([pa.array([v], pa.int64() if k < 11 else pa.float64()) for k, v in enumerate(row)], names)
 
     parts = dealt.groupBy("i", "j").applyInArrow(compare, ", ".join(f"{n} {'long' if k < 11 else 'double'}" for k, n in enumerate(names)))

@@ -99,7 +99,7 @@ _ORTHO = "with c as (select vec_id, embedding::double[] as v from embeddings), s
     + ", round(a9 / n, 6) as above_09, case when m < 0.05 then 'excellent' when m < 0.1 then 'good' when m < 0.2 then 'fair' else 'poor' end as grade from t",
 )
 def codebook_orthogonality(spark, sf_dir):
-    """All pairs of a codebook, the whole table here: blocks of it against the broadcast codebook, whose size is checked."""
+    """All pairs of a codebook, the whole table here, compared block by block."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     s = V.pair_cosines(e, "vec_id", "embedding", 512)
     m = F.col("total_abs") / F.col("n")
