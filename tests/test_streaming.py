@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,55 @@ def test_sessions_across_runs(spark):
     assert sorted((r.key, r.n, r.timed) for r in out.collect()) == [(1, 3, True), (2, 1, False), (2, 1, True)]
 
 
+def test_idle_sessions_of_a_batch_go_out_together():
+    """One table for all sessions that a batch ends of a key, as by a loop over its rows, late rows included."""
+
+    class Open:
+        value, timers = None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            assert at not in self.timers
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        Open.timers = set()
+        state, own = Open(), stateful.IdleSessions(10)
+        own.init(state)
+        now, want, got = None, [], []
+        for _ in range(4):
+            ms = rng.integers(0, 300, int(rng.integers(1, 20)))
+            for v in sorted(ms.tolist()):
+                if now is not None and v - now[2] > 10:
+                    want.append((7, *now, False))
+                    now = None
+                now = (1, v, v) if now is None else (now[0] + 1, now[1], max(now[2], v))
+            tables = list(own.handleInputRows((7,), iter([pd.DataFrame({"ms": ms[:3]}), pd.DataFrame({"ms": ms[3:]})]), None))
+            assert len(tables) <= 1
+            got += [tuple(r) for t in tables for r in t.itertuples(index=False)]
+            assert tuple(state.value) == now and state.timers == {now[2] + 10}
+        assert got == want
+        assert [tuple(r) for t in own.handleExpiredTimer((7,), None, None) for r in t.itertuples(index=False)] == [(7, *now, True)] and state.value is None
+
+
 def test_state_lives_between_runs(spark):
     arrivals = [events(spark, [(0, 1, t) for t in "aab"]), events(spark, [(1, 1, t) for t in "a"]), events(spark, [(2, 1, t) for t in "abb"])]
     out = runs.in_runs(arrivals, lambda s: stateful.recent_mean(s, "event_type", "event_id", "value", 2))

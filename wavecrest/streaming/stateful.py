@@ -98,23 +98,30 @@ class IdleSessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "n long, first long, last long")
 
-    def _row(self, key, state, timed: bool) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "n": [state[0]], "first_ms": [state[1]], "last_ms": [state[2]], "timed": [timed]})
+    def _rows(self, key, n, first, last, timed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "n": n, "first_ms": first, "last_ms": last, "timed": timed})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = tuple(self.open.get()) if self.open.exists() else None
+        ms = np.sort(np.concatenate([part["ms"].to_numpy(np.int64) for part in rows]))
+        now = self.open.get()
+        # the open session is one row more, in front: its first time counts as it is, its last one as far as it reaches
+        n = np.ones(len(ms), np.int64)
+        first = last = ms
         if now is not None:
-            self.handle.deleteTimer(now[2] + self.gap_ms)
-        for (ms,) in _in_order(rows, "ms"):
-            if now is not None and ms - now[2] > self.gap_ms:
-                yield self._row(key, now, False)
-                now = None
-            now = (1, ms, ms) if now is None else (now[0] + 1, now[1], max(now[2], ms))
-        self.open.update(now)
-        self.handle.registerTimer(now[2] + self.gap_ms)
+            n, first, last = np.concatenate([now[:1], n]), np.concatenate([now[1:2], ms]), np.maximum.accumulate(np.concatenate([now[2:3], ms]))
+        at = np.flatnonzero(np.concatenate([[True], first[1:] - last[:-1] > self.gap_ms]))
+        n, first, last = np.add.reduceat(n, at), first[at], last[np.append(at[1:], len(last)) - 1]
+        # all that a batch ends of a key goes out as one table
+        if len(at) > 1:
+            yield self._rows(key, n[:-1], first[:-1], last[:-1], False)
+        self.open.update((int(n[-1]), int(first[-1]), int(last[-1])))
+        if now is None or now[2] != last[-1]:
+            if now is not None:
+                self.handle.deleteTimer(now[2] + self.gap_ms)
+            self.handle.registerTimer(int(last[-1]) + self.gap_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key, tuple(self.open.get()), True)
+        yield self._rows(key, *([v] for v in self.open.get()), True)
         self.open.clear()
 
     def close(self) -> None:
