@@ -225,6 +225,21 @@ def test_jaccard_long_lists(spark, monkeypatch, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_jaccard_long_lists_have_small_plans(spark, monkeypatch):
+    """What a comparison of tiles reads is planned once, not again in each of its sides."""
+    plans, links = [], jaccard.tile_links
+
+    def seen(units, *rest):
+        plans.append(units._jdf.queryExecution().optimizedPlan().toString())
+        return links(units, *rest)
+
+    monkeypatch.setattr(jaccard, "tile_links", seen)
+    texts = near_group(random.Random(13), 40, 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_classes(frame(spark, texts.items())).collect()}
+    assert got == brute_classes(texts)
+    assert plans and max(p.count("Join") for p in plans) <= 2
+
+
 def test_jaccard_light_sets(spark, monkeypatch):
     """The boundary follows the cost; at any boundary the links are the same."""
     assert jaccard.boundary([], 4, 5) == 1

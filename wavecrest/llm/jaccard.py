@@ -431,7 +431,7 @@ def _tiles(members: DataFrame, *group: str) -> DataFrame:
 
 def long_list_links(entries: DataFrame, docs: DataFrame, known: DataFrame, words: int, num: int, den: int) -> list[DataFrame]:
     """Links, as stars, between members (key, doc_id, n) of long lists; known: links found so far."""
-    lists = entries.groupBy("key").agg(F.count("*").alias("m"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("m")).checkpoint()
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("size_class")
     top = entries.join(lists, "key").groupBy("doc_id").agg(F.max(F.struct("m", "key")).alias("top"), F.max("n").alias("n"), F.count("*").alias("keys"))
     home = _tiles(top.select("doc_id", "n", "keys", F.col("top.key").alias("home"), size_class), "home", "size_class").checkpoint()
@@ -453,16 +453,17 @@ def long_list_links(entries: DataFrame, docs: DataFrame, known: DataFrame, words
     kinds = placed.groupBy("kind", "size_class", "label").agg(F.count("*").alias("docs"))
     at = entries.select("key", "doc_id").join(placed.select("doc_id", "kind"), "doc_id").select("key", "kind").distinct().join(kinds, "kind")
     spread = at.groupBy("key").agg(F.count("*").alias("k"), F.sum("docs").alias("docs")).join(lists, "key").where("docs > 4 * m or k * k > 4 * m").select("key").checkpoint()
-    at = at.join(spread, "key", "left_anti")
+    # each of these is read several times below: its plan would be in every one of them
+    at = at.join(spread, "key", "left_anti").checkpoint()
     x, y = at.alias("x"), at.alias("y")
     near = F.expr("x.key = y.key and x.kind <= y.kind and abs(x.size_class - y.size_class) <= 1 and not (x.label <=> y.label and x.label is not null)")
     met = x.join(y, near).selectExpr("x.kind as left_kind", "y.kind as right_kind").distinct()
     tiles = placed.select("kind", "tile").distinct()
-    pairs = met.join(tiles.selectExpr("kind as left_kind", "tile as u"), "left_kind").join(tiles.selectExpr("kind as right_kind", "tile as v"), "right_kind").select("u", "v")
+    pairs = met.join(tiles.selectExpr("kind as left_kind", "tile as u"), "left_kind").join(tiles.selectExpr("kind as right_kind", "tile as v"), "right_kind").select("u", "v").checkpoint()
     # lists that spread over many tiles, by themselves
     alone = _tiles(entries.join(spread, "key").join(placed.select("doc_id", "size_class"), "doc_id"), "key", "size_class").checkpoint()
     own = alone.select("key", "size_class", "tile").distinct()
-    own = own.alias("x").join(own.alias("y"), F.expr("x.key = y.key and (x.size_class = y.size_class and x.tile <= y.tile or x.size_class = y.size_class - 1)")).selectExpr("x.tile as u", "y.tile as v")
+    own = own.alias("x").join(own.alias("y"), F.expr("x.key = y.key and (x.size_class = y.size_class and x.tile <= y.tile or x.size_class = y.size_class - 1)")).selectExpr("x.tile as u", "y.tile as v").checkpoint()
     for pair, rows in ((pairs, placed), (own, alone)):
         rows = rows.select("tile", "doc_id").distinct()
         sides = [pair.join(rows.withColumnRenamed("tile", s), s).select("u", "v", F.lit(k).alias("side"), "doc_id") for k, s in enumerate("uv")]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import slices, table
+from wavecrest.llm.common import give_back, slices, table
 from wavecrest.llm.jaccard import mix, shingles
 from wavecrest.llm.linear import fit_logistic, predict
 from wavecrest.llm.quality_rules import labelled_sample, sampled_rows
@@ -164,7 +164,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain | None:
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     toxic = np.array([r.toxic == 1 for r in rows], bool)
     good = np.array([r.quality == 1 for r in rows], bool)
-    return fit_chain([r.text for r in rows], np.stack([toxic & good, toxic & ~good, toxic], 1))
+    texts = [r.text for r in rows]
+    del rows
+    chain = fit_chain(texts, np.stack([toxic & good, toxic & ~good, toxic], 1))
+    del texts
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
