@@ -44,6 +44,17 @@ def test_bpe_equals_library():
                 assert list(own.encode_stream(t[j : j + k] for j in range(0, len(t), k))) == ids
 
 
+def test_words_of_like_length_are_merged_together(monkeypatch):
+    """One long word doesn't widen the rows of thousands of short ones."""
+    rnd, own, looked = random.Random(21), bpe.load("word_bpe_49k.json"), []
+    words = [bytes(rnd.choices(b"abcdeinrst", k=4)) for _ in range(2000)] + [b"internationalisation" * 2]
+    ranks = own._ranks
+    monkeypatch.setattr(own, "_ranks", lambda u, w: looked.append(len(u)) or ranks(u, w))
+    got = own.merge_batch(words)
+    assert [np.frombuffer(x, own.kind).tolist() for x in got] == [own.piece(w.decode()) for w in words]
+    assert sum(looked) < 10 * len(words)
+
+
 def test_column_encoding_equals_library():
     rnd = random.Random(14)
     own, lib = bpe.load("byte_bpe_50k.json"), library("byte_bpe_50k.json")

@@ -34,6 +34,8 @@ TERM = np.dtype([("term", "<u2"), ("n", "<i8")])
 K1, B = 1.2, 0.75
 #: Terms that one document in so many has are summed as rows of a matrix, not from lists.
 DENSE = 16
+#: So many best neighbours are sorted before the others.
+FIRST = 256
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -98,7 +100,8 @@ class Shard:
         length = np.repeat(np.array([len(d) for d in docs], np.float32), sizes)
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
+        # as bincount() takes them
+        self.owner, self.weight = owner[order].astype(np.intp), weight[order].astype(np.float64)
         self.bounds = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
         self.ends = np.cumsum(sizes)
         self.terms, self.n = terms, len(docs)
@@ -114,21 +117,18 @@ class Shard:
         """BM25 of each document for all distinct terms of document k; 0: no term in common."""
         own = self.terms[self.ends[k - 1] if k else 0 : self.ends[k]]
         rows = self.row[own]
-        out = self.dense[rows[rows >= 0]].sum(axis=0)
+        out = np.zeros(self.n, np.float32)
+        for r in rows[rows >= 0].tolist():
+            out += self.dense[r]
         lists = [slice(self.bounds[t], self.bounds[t + 1]) for t in own[rows < 0].tolist()]
         if lists:
             out = out + np.bincount(np.concatenate([self.owner[s] for s in lists]), np.concatenate([self.weight[s] for s in lists]), self.n)
         return out
 
 
-def by_score(near: np.ndarray, score: np.ndarray, first: int = 256) -> Iterator[np.ndarray]:
-    """All neighbours by falling score, then position; the first ones are sorted alone, as most windows need no more."""
-    if len(near) > 2 * first:
-        least = np.partition(score, len(score) - first)[len(score) - first]
-        top = score >= least
-        yield near[top][np.argsort(-score[top], kind="stable")]
-        near, score = near[~top], score[~top]
-    yield near[np.argsort(-score, kind="stable")]
+def by_score(near: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Neighbours by falling score, then position."""
+    return near[np.argsort(-score, kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, begin: list[int] | None = None, last: bool = True) -> Iterator[list[tuple[int, int, int]]]:
@@ -179,11 +179,14 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         if room:
             score = index.scores(seed)
             near = np.flatnonzero((score > 0) & (rest > 0))
-            cut = -1
-            for some in by_score(near, score[near]):
-                room, cut = fill(some, room, cut)
-                if not room:
-                    break
+            score, cut = score[near], -1
+            # the first ones are sorted alone, as most windows are full or nearly full by them
+            top = score >= (np.partition(score, len(score) - FIRST)[len(score) - FIRST] if len(near) > 2 * FIRST else 0)
+            room, cut = fill(by_score(near[top], score[top]), room, cut)
+            if room and not top.all():
+                # once it is known which one may be cut, the others count only if they fit
+                more = ~top & (rest[near] <= room) if cut >= 0 else ~top
+                room, cut = fill(by_score(near[more], score[more]), room, cut)
             if room and cut >= 0:
                 take(seq, cut, room)
                 room = 0
