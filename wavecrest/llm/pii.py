@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrest.llm.common import slices, table
-from wavecrest.llm.tagger import KINDS, Tagger, codes
+from wavecrest.llm.tagger import KINDS, TAGS, Tagger, codes
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -177,17 +178,17 @@ def possible(kind: str, value: str) -> bool:
     return 7 <= len(d) <= 15
 
 
-def _spans(tags: np.ndarray, at: int) -> Iterator[Span]:
-    """Spans of decoded tags, the first one standing at this place of the text."""
+def _spans(tags: np.ndarray, starts: np.ndarray) -> Iterator[Span]:
+    """Spans of decoded tags; none goes over one of these starts of texts."""
     if not len(tags):
         return
     kind = (tags + 1) // 2
     first = (tags % 2 == 1) | (kind != np.concatenate([[0], kind[:-1]]))
-    cuts = np.flatnonzero(first & (kind > 0))
+    first[starts] = True
     ends = np.flatnonzero(first)
-    for s in cuts.tolist():
-        k = int(np.searchsorted(ends, s, "right"))
-        yield KINDS[kind[s] - 1], at + s, at + (int(ends[k]) if k < len(ends) else len(tags))
+    own = np.flatnonzero(kind[ends])
+    for k, s, t in zip(kind[ends[own]].tolist(), ends[own].tolist(), np.append(ends, len(tags))[own + 1].tolist(), strict=True):
+        yield KINDS[k - 1], s, t
 
 
 def windows(text: str) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -199,50 +200,68 @@ def windows(text: str) -> Iterator[tuple[np.ndarray, int, int]]:
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """Spans by the tagger alone, for many texts at once."""
+    """Spans by the tagger alone, for many texts at once; those that are long go one by one."""
     out: list[list[Span]] = [[] for _ in texts]
     rows: list[tuple[int, np.ndarray, int, int]] = []
-    held: list[np.ndarray] = []
-    owner, at = 0, 0
-
-    def close(last: bool) -> None:
-        """Decode what is held of a text: all of it, or up to the last sure position."""
-        nonlocal held, at
-        e = np.concatenate(held)
-        end = len(e)
-        if not last:
-            sure = np.flatnonzero(model.outside(e, False))
-            end = int(sure[-1]) + 1 if len(sure) else 0
-        out[owner].extend(_trimmed(texts[owner], s) for s in _spans(model.decode(e[:end]), at))
-        # the sure position stays, fixed, as the left neighbour of the rest
-        end = max(0, end - 1)
-        at, held = at + end, [e[end:].copy()]
-        if end:
-            held[0][0, 1:] = -1e9
-
-    def run() -> None:
-        nonlocal owner, at, held
-        for (k, _, a, b), e in zip(rows, model.emissions_of([r[1] for r in rows]), strict=True):
-            if k != owner:
-                if held:
-                    close(True)
-                owner, at, held = k, 0, []
-            held.append(e[a:b])
-            if sum(map(len, held)) > HELD:
-                close(False)
-        rows.clear()
-
     for k, text in enumerate(texts):
-        if text:
-            for part, a, b in windows(text):
-                rows.append((k, part, a, b))
-                if len(rows) == BATCH:
-                    run()
+        if len(text) > HELD:
+            out[k] = _long_spans(text, model)
+        elif text:
+            own = [(k, *w) for w in windows(text)]
+            if rows and len(rows) + len(own) > BATCH:
+                _run(rows, out, model)
+                rows = []
+            rows += own
     if rows:
-        run()
-    if held:
-        close(True)
-    return [[s for s in found if s[1] < s[2]] for found in out]
+        _run(rows, out, model)
+    return [[x for s in found if (x := _trimmed(text, s))[1] < x[2]] for text, found in zip(texts, out, strict=True)]
+
+
+def _run(rows: list[tuple[int, np.ndarray, int, int]], out: list[list[Span]], model: Tagger) -> None:
+    """Spans of the texts whose windows these are, all decoded together, one behind the other."""
+    e, gain, column = model.scores([r[1] for r in rows])
+    owner, a, size = (np.array(v) for v in zip(*((k, a, b - a) for k, _, a, b in rows), strict=True))
+    begin = np.cumsum(size) - size
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    starts = begin[first]
+    edges = np.append(starts, size.sum())
+    across = np.ascontiguousarray(gain.T)
+    gains = np.concatenate([across[j, x : x + n] for j, x, n in zip(column.tolist(), a.tolist(), size.tolist(), strict=True)])
+    # into a text's first tag there is no transition
+    head = e[0][:, column[first]]
+    gains[starts] = np.maximum(gains[starts], head[1:].max(0) - head[0])
+    at = np.concatenate([s + np.flatnonzero(~model.sure(gains[s:t])) for s, t in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+    row = np.searchsorted(begin, at, "right") - 1
+    tags = np.zeros(len(gains), np.int8)
+    tags[at] = model.decode_open(e[at - begin[row] + a[row], :, column[row]], at, edges)
+    for kind, s, t in _spans(tags, starts):
+        j = bisect_right(starts, s) - 1
+        out[owner[first[j]]].append((kind, int(s - starts[j]), int(t - starts[j])))
+
+
+def _long_spans(text: str, model: Tagger) -> list[Span]:
+    """Spans of one text, whose emissions are held only up to the last sure position."""
+    out: list[Span] = []
+    held, many, at = np.empty((0, TAGS), np.float32), [], 0
+    parts = windows(text)
+    while rows := list(islice(parts, BATCH)):
+        for (_, a, b), e in zip(rows, model.emissions_of([r[0] for r in rows]), strict=True):
+            many.append(e[a:b])
+            last = at + len(held) + sum(map(len, many)) == len(text)
+            # what stays held is not searched again before as much has come
+            if last or sum(map(len, many)) > max(HELD - len(held), len(held)):
+                held, many = np.concatenate([held, *many]), []
+                end = len(held)
+                if not last:
+                    sure = np.flatnonzero(model.outside(held, False))
+                    end = int(sure[-1]) + 1 if len(sure) else 0
+                out.extend((kind, at + s, at + t) for kind, s, t in _spans(model.decode(held[:end]), np.array([0])))
+                # the sure position stays, fixed, as the left neighbour of the rest
+                end = max(0, end - 1)
+                at, held = at + end, held[end:].copy()
+                if end:
+                    held[0, 1:] = -1e9
+    return out
 
 
 def _trimmed(text: str, span: Span) -> Span:

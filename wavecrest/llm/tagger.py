@@ -9,13 +9,14 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 #: Character codes: 0 padding, 1 white space, 2 letters beyond ASCII, 3 other, 4.. printable ASCII.
 CODES = 4 + 95
+#: Codes of the characters up to U+00A0; those beyond have the last one's.
+CODE_OF = np.array([p - 28 if 32 < p < 127 else 2 if p >= 0xA0 else 1 if 9 <= p <= 32 else 3 for p in range(0xA1)], np.uint8)
+#: Gates are steady beyond this, and the product of two exponentials is finite up to it.
+STEEP = 43.0
 
 
 def codes(text: str) -> np.ndarray:
-    out = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    ascii_ = (out > 32) & (out < 127)
-    wide = np.where(out >= 0xA0, 2, np.where((out <= 32) & (out >= 9), 1, 3))
-    return np.where(ascii_, out - 28, wide)
+    return CODE_OF[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0xA0)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,59 +62,79 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._run(x, "f"), self._run(x, "b")], 2) @ self.p["O"] + self.p["bo"]
 
-    def emissions_of(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Emissions of sequences of any lengths: the longest first, so that each step has live columns only."""
+    def scores(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions (position, TAGS, column) and gains (position, column) of sequences of any lengths, and each one's column.
+
+        Columns stand by length, the longest first, so that each step has live columns only; what
+        stands beyond a column's end means nothing.
+        """
         order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
         size = np.array([len(parts[k]) for k in order])
         length, n, k = int(size[0]), len(parts), self.hidden
-        live = np.searchsorted(-size, -np.arange(length), "left")
-        # sigmoid(z) = (tanh(z / 2) + 1) / 2; h is kept doubled, which the weights after it take back
-        half = np.where(np.arange(4 * k) < 3 * k, 0.5, 1.0).astype(np.float32)
-        letters = np.ascontiguousarray(self.p["E"].T)
-        dim = len(letters)
-        out = []
-        for turn, d in enumerate("fb"):
-            x = np.zeros((n, length), np.uint8)
-            for j, i in enumerate(order):
-                x[j, : size[j]] = parts[i] if d == "f" else parts[i][::-1]
-            x = np.ascontiguousarray(x.T)
-            # one product a step, of what stands in one matrix: h, the letter, and a row of ones
-            w = np.ascontiguousarray((np.concatenate([self.p[f"U{d}"] * 0.5, self.p[f"W{d}"], self.p[f"c{d}"][None]]) * half).T, np.float32)
-            given = np.zeros((k + dim + 1, n), np.float32)
-            given[-1] = 1
-            c, product = np.zeros((2, k, n), np.float32)
-            z = np.empty((4 * k, n), np.float32)
-            h, letter = given[:k], given[k:-1]
-            states, m = np.zeros((length, k, n), np.float32), n
-            for t in range(length):
-                # columns that have ended are left out by sixteenths
-                if live[t] <= m - m // 16 - 1:
-                    m = live[t]
-                    given, c, product = (np.ascontiguousarray(v[:, :m]) for v in (given, c, product))
-                    z = np.empty((4 * k, m), np.float32)
-                    h, letter = given[:k], given[k:-1]
-                np.take(letters, x[t, :m], axis=1, out=letter, mode="clip")
+        live = np.searchsorted(-size, -np.arange(length), "left").tolist()
+        # columns that have ended are left out by sixteenths, a step late
+        wide = [n]
+        for m in live[:-1]:
+            wide.append(m if m <= wide[-1] - wide[-1] // 16 - 1 else wide[-1])
+        x = np.zeros((n, length), np.uint8)
+        for j, i in enumerate(order):
+            x[j, : size[j]] = parts[i]
+        x = x.T.astype(np.intp, "C")
+        letters = np.ascontiguousarray(self.p["E"].T, np.float32)
+        # sigmoid(z) = 1 / (1 + exp(-z)) and tanh(z) = 2 / (1 + exp(-2 z)) - 1: one exp for all gates
+        turn = -np.where(np.arange(4 * k) < 3 * k, 1.0, 2.0)
+        e = np.zeros((length, TAGS, n), np.float32)
+        for d in "fb":
+            w = np.concatenate([self.p[f"U{d}"], self.p[f"W{d}"], self.p[f"c{d}"][None]]) * turn
+            steep = (np.abs(w[:k]).sum(0) + np.abs(self.p["E"] @ w[k:-1] + w[-1]).max(0)).max() > STEEP
+            # one product a step, of the state before it, the letter, and a one; it also gives what that state adds to the emissions
+            last = np.zeros((len(w), TAGS))
+            last[:k] = self.p["O"][:k] if d == "f" else self.p["O"][k:]
+            last[-1] = self.p["bo"] if d == "f" else 0
+            w = np.ascontiguousarray(np.concatenate([w, last], 1).T, np.float32)
+            before, m = -1, -1
+            given, c = np.zeros((w.shape[1], 0), np.float32), np.zeros((k, 0), np.float32)
+            for t in [*range(length), -1] if d == "f" else [*range(length - 1, -1, -1), -1]:
+                if t >= 0 and wide[t] != m:
+                    # columns go in one direction and come in the other, each with a state of zeros
+                    kept, m = given.shape[1], wide[t]
+                    given, c = (np.concatenate([v[:, :m], np.zeros((len(v), max(0, m - kept)), np.float32)], 1) for v in (given, c))
+                    given[-1] = 1
+                    z, product = np.empty((len(w), m), np.float32), np.empty((k, m), np.float32)
+                    h, letter, gates, g, adds = given[:k], given[k:-1], z[: 4 * k], z[3 * k : 4 * k], z[4 * k :]
+                if d == "b" and t >= 0 and (came := live[t + 1] if t + 1 < length else 0) < live[t]:
+                    given[:k, came:], c[:, came:] = 0, 0
+                if t >= 0:
+                    letters.take(x[t, :m], 1, letter, "clip")
                 np.matmul(w, given, out=z)
-                np.tanh(z, out=z)
-                z[: 3 * k] += 1
-                c *= z[k : 2 * k]
-                np.multiply(z[:k], z[3 * k :], out=product)
+                if before >= 0:
+                    e[before, :, :m] += adds
+                before = t
+                if t < 0:
+                    break
+                if steep:
+                    np.minimum(gates, STEEP, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.subtract(2, g, out=product)
+                g *= z[:k]
+                product /= g
+                c /= z[k : 2 * k]
                 c += product
-                c *= 0.5
-                np.tanh(c, out=h)
-                h *= z[2 * k : 3 * k]
-                states[t, :, :m] = h
-            out.append(np.matmul(states.transpose(0, 2, 1), self.p["O"][turn * k : (turn + 1) * k] * np.float32(0.5)))
-        whole = int(live[-1])
-        forth, back = out
-        # a position's scores stand together, so that turning the whole moves them as one
-        full = forth[:, :whole] + back[::-1, :whole]
-        full += self.p["bo"]
-        full = np.ascontiguousarray(full.transpose(1, 0, 2))
-        found: list[np.ndarray] = [np.empty(0)] * n
-        for j, i in enumerate(order):
-            found[i] = full[j] if j < whole else forth[: size[j], j] + back[: size[j], j][::-1] + self.p["bo"]
-        return found
+                np.tanh(c, out=product)
+                np.divide(product, z[2 * k : 3 * k], out=h)
+        gain = np.empty((length, n), np.float32)
+        # some positions at a time, which stay in the cache
+        for t in range(0, length, 16):
+            gain[t : t + 16] = self.gains(e[t : t + 16])
+        column = np.empty(n, np.int64)
+        column[order] = np.arange(n)
+        return e, gain, column
+
+    def emissions_of(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Emissions (L, TAGS) of sequences of any lengths."""
+        e, _, column = self.scores(parts)
+        return [e[: len(p), :, j].copy() for p, j in zip(parts, column.tolist(), strict=True)]
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags of one sequence of emissions (L, TAGS)."""
@@ -127,57 +148,72 @@ class Tagger:
             out.append(int(b[out[-1]]))
         return np.array(out[::-1])
 
-    def outside(self, e: np.ndarray, last: bool = True) -> np.ndarray:
-        """Positions that the best path has outside (if more emissions follow: whatever these are).
+    def gains(self, e: np.ndarray) -> np.ndarray:
+        """At each position of emissions (..., TAGS, positions), the most that another tag and the transition into it gain over outside."""
+        tr = self.p["T"].astype(float)
+        into = (tr.max(0)[1:] - tr[0, 0]).astype(np.float32)
+        return (e[..., 1:, :] + into[:, None]).max(-2) - e[..., 0, :]
+
+    def sure(self, gain: np.ndarray, last: bool = True) -> np.ndarray:
+        """Positions that the best path has outside (if more follow: whatever these are), by a text's gains.
 
         A stretch of other tags between two outsides gains at most, at each position, the best of
         emission and transition into it over those of outside, and loses the transition back.  In
         the best path no stretch loses, so a position is open only if the best sum around it doesn't.
         """
         tr = self.p["T"].astype(float)
-        oo = tr[0, 0]
-        into, leave = (tr.max(0)[1:] - oo).astype(np.float32), tr[1:, 0].max() - oo
-        gain = e[:, 1] + into[0]
-        for k in range(2, TAGS):
-            np.maximum(gain, e[:, k] + into[k - 1], out=gain)
-        gain -= e[:, 0]
-        gain[0] = max(gain[0], (e[0, 1:] - e[0, 0]).max())
-        total = np.concatenate([[0.0], np.cumsum(gain, dtype=float)])
+        total = np.zeros(len(gain) + 1)
+        np.cumsum(gain, dtype=float, out=total[1:])
         low = np.minimum.accumulate(total[:-1])
-        inner = np.maximum.accumulate(total[:0:-1])[::-1] - low + leave
+        inner = np.maximum.accumulate(total[:0:-1])[::-1] + (tr[1:, 0].max() - tr[0, 0])
         # at the end there is no way back; before more emissions a stretch may be cut where it loses
-        end = total[-1] - low + (0.0 if last else float((tr[1:, 1:] - tr[:1, 1:]).max()))
-        return np.maximum(inner, end) < -1e-3
+        end = total[-1] + (0.0 if last else float((tr[1:, 1:] - tr[:1, 1:]).max()))
+        np.maximum(inner, end, out=inner)
+        inner -= low
+        return inner < -1e-3
+
+    def outside(self, e: np.ndarray, last: bool = True) -> np.ndarray:
+        """Positions of one sequence of emissions (L, TAGS) that are surely outside."""
+        gain = self.gains(e.T)
+        gain[0] = max(gain[0], (e[0, 1:] - e[0, 0]).max())
+        return self.sure(gain, last)
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Best tags of one sequence, as viterbi(): between sure positions, all stretches at once."""
         tags = np.zeros(len(e), np.int64)
-        if not len(e):
-            return tags
-        open_ = ~self.outside(e)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
-        start, size = edge[::2], np.diff(edge)[::2]
-        if not len(start):
+        if len(e):
+            at = np.flatnonzero(~self.outside(e))
+            tags[at] = self.decode_open(e[at], at, np.array([0, len(e)]))
+        return tags
+
+    def decode_open(self, e: np.ndarray, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Best tags of the open positions `at` of sequences that follow each other and begin at `edges` (the last: their end)."""
+        tags = np.zeros(len(at), np.int64)
+        if not len(at):
             return tags
+        opens = np.isin(at, edges)
+        start = np.flatnonzero(opens | (np.diff(at, prepend=-2) > 1))
+        size = np.diff(start, append=len(at))
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         tr = self.p["T"].astype(float)
-        live = np.searchsorted(-size, -np.arange(size[0]), "left")
-        best = e[start] + np.where(start[:, None] > 0, tr[0], 0.0)
-        back = np.zeros((size[0], len(start), TAGS), np.int8)
+        live = np.searchsorted(-size, -np.arange(size[0]), "left").tolist()
+        best = e[start] + np.where(opens[start][:, None], 0.0, tr[0])
+        # of each step only what is live, so that one long stretch doesn't widen the others
+        back = [np.zeros((0, TAGS), np.int8)]
         for t in range(1, int(size[0])):
             m = live[t]
-            s = best[:m, :, None] + tr
-            back[t, :m] = s.argmax(1)
-            best[:m] = s.max(1) + e[start[:m] + t]
-        best += np.where((start + size < len(e))[:, None], tr[:, 0], 0.0)
+            s = best[:m, None, :] + tr.T
+            back.append(s.argmax(2).astype(np.int8))
+            best[:m] = s.max(2) + e[start[:m] + t]
+        best += np.where(np.isin(at[start + size - 1] + 1, edges)[:, None], 0.0, tr[:, 0])
         now = best.argmax(1)
         rows = np.arange(len(start))
         for t in range(int(size[0]) - 1, -1, -1):
             m = live[t]
             tags[start[:m] + t] = now[:m]
             if t:
-                now[:m] = back[t, rows[:m], now[:m]]
+                now[:m] = back[t][rows[:m], now[:m]]
         return tags
 
     # -- training --------------------------------------------------------------------------------
